@@ -1,0 +1 @@
+"""Intentionally empty: every dataset this package handles is batch."""
