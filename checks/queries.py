@@ -26,24 +26,26 @@ PATTERN = "{table}.parquet"
 CONCAT_CHUNKS = 4
 STDDEV_DIGITS = 6
 
-_input_bytes: dict[tuple[str, str], int] = {}
+_opened: dict[tuple[SparkSession, str], Warehouse] = {}
 
 
 def open_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """A warehouse over the raw tables, with shuffles sized for them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _input_bytes:
-        _input_bytes[key] = ParquetSource(spark, sf_dir, PATTERN).input_bytes()
-    tune(spark, _input_bytes[key])
-    return Warehouse.over_raw(spark, sf_dir, PATTERN)
+    """The warehouse over a directory of raw tables, opened once per session.
+
+    Opening lists the files, sizes shuffles by them and reads schemas; no data is kept.
+    """
+    if (spark, sf_dir) not in _opened:
+        tune(spark, ParquetSource(spark, sf_dir, PATTERN).input_bytes())
+        _opened[spark, sf_dir] = Warehouse.over_raw(spark, sf_dir, PATTERN)
+    return _opened[spark, sf_dir]
 
 
 def as_doubles(df: DataFrame) -> DataFrame:
-    return df.select(
+    return df.selectExpr(
         *(
-            F.col(f.name).cast("double").alias(f.name)
+            f"CAST({f.name} AS DOUBLE) AS {f.name}"
             if isinstance(f.dataType, T.DecimalType)
-            else F.col(f.name)
+            else f.name
             for f in df.schema.fields
         )
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,21 +19,20 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     """
     spec = TABLES[table]
     present = {f.name.lower(): f for f in df.schema.fields}
-    extra = [F.col(f"`{f.name}`").alias(n) for n, f in present.items() if n not in spec.columns]
-    return df.select(
-        *(_typed(present.get(name), name, kind) for name, kind in spec.columns.items()), *extra
-    )
+    extra = [f"`{f.name}` AS `{n}`" for n, f in present.items() if n not in spec.columns]
+    declared = [_typed(present.get(name), kind) + f" AS {name}" for name, kind in spec.columns.items()]
+    return df.selectExpr(*declared, *extra)
 
 
-def _typed(source: T.StructField | None, name: str, kind: str) -> Column:
+def _typed(source: T.StructField | None, kind: str) -> str:
     if source is None:
-        return F.lit(None).cast(kind).alias(name)
-    column = F.col(f"`{source.name}`")
+        return f"CAST(NULL AS {kind})"
+    column = f"`{source.name}`"
     if source.dataType.simpleString() == kind:
-        return column.alias(name)
+        return column
     if kind == MONEY:
-        column = column.cast("double")
-    return column.cast(kind).alias(name)
+        column = f"CAST({column} AS double)"
+    return f"CAST({column} AS {kind})"
 
 
 def concat(frames: list[DataFrame]) -> DataFrame:

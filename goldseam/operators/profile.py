@@ -1,17 +1,23 @@
-"""Profiles of a table, each from a single scan."""
+"""Profiles of a table, each from a single scan.
+
+Expressions over all columns are written as SQL text: a wide table needs hundreds of them.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Text that reads as a number.  Tested first, because a failing cast costs an exception.
+NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
 
 def row_counts(df: DataFrame, table: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
-        F.lit(table).alias("table_name"), "row_count"
+    return df.selectExpr("count(1) AS row_count").selectExpr(
+        f"'{table}' AS table_name", "row_count"
     )
 
 
@@ -20,40 +26,30 @@ def partition_counts(df: DataFrame, table: str) -> DataFrame:
     return (
         df.groupBy(F.spark_partition_id().alias("partition_id"))
         .agg(F.count(F.lit(1)).alias("row_count"))
-        .select(F.lit(table).alias("table_name"), "partition_id", "row_count")
+        .selectExpr(f"'{table}' AS table_name", "partition_id", "row_count")
     )
 
 
 def table_info(df: DataFrame, table: str) -> DataFrame:
     """Row count with one row per column, its position and its type."""
-    columns = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("column_type"),
-            )
-            for i, f in enumerate(df.schema.fields, start=1)
-        )
+    columns = [
+        (str(i), f"'{f.name}'", f"'{f.dataType.simpleString()}'")
+        for i, f in enumerate(df.schema.fields, start=1)
+    ]
+    return row_counts(df, table).selectExpr(
+        "*", _stack(columns, "position", "column_name", "column_type")
     )
-    return row_counts(df, table).select("table_name", "row_count", F.inline(columns))
 
 
 def null_counts(df: DataFrame, table: str) -> DataFrame:
-    totals = df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        *(F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)),
+    columns = df.columns
+    totals = df.selectExpr(
+        "count(1) AS row_count", *(f"count(`{c}`) AS n{i}" for i, c in enumerate(columns))
     )
-    per_column = F.array(
-        *(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                (F.col("row_count") - F.col(f"n{i}")).alias("null_count"),
-            )
-            for i, c in enumerate(df.columns)
-        )
+    nulls = [(f"'{c}'", f"row_count - n{i}") for i, c in enumerate(columns)]
+    return totals.selectExpr(
+        f"'{table}' AS table_name", "row_count", _stack(nulls, "column_name", "null_count")
     )
-    return totals.select(F.lit(table).alias("table_name"), "row_count", F.inline(per_column))
 
 
 def cardinality(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
@@ -63,48 +59,37 @@ def cardinality(df: DataFrame, table: str, approximate: bool = False) -> DataFra
     map side before the shuffle, so only distinct values travel.  The approximate form keeps
     one sketch per column and shuffles no values at all.
     """
+    columns = df.columns
     if approximate:
-        return _approximate_cardinality(df, table)
-    pairs = df.select(
-        F.inline(
-            F.array(
-                *(
-                    F.struct(F.lit(f.name).alias("column_name"), _as_text(f).alias("value"))
-                    for f in df.schema.fields
-                )
+        sketches = df.selectExpr(
+            *(
+                f"approx_count_distinct(`{c}`) + max(int(`{c}` IS NULL)) AS d{i}"
+                for i, c in enumerate(columns)
             )
         )
-    )
+        counted = [(f"'{c}'", f"d{i}") for i, c in enumerate(columns)]
+        return sketches.selectExpr(
+            f"'{table}' AS table_name", _stack(counted, "column_name", "distinct_values")
+        )
+    cells = [(str(i), _as_text(f)) for i, f in enumerate(df.schema.fields)]
+    names = ", ".join(f"'{c}'" for c in columns)
     return (
-        pairs.distinct()
-        .groupBy("column_name")
+        df.selectExpr(_stack(cells, "column_no", "value"))
+        .distinct()
+        .groupBy("column_no")
         .agg(F.count(F.lit(1)).alias("distinct_values"))
-        .select(F.lit(table).alias("table_name"), "column_name", "distinct_values")
+        .selectExpr(
+            f"'{table}' AS table_name",
+            f"get(array({names}), column_no) AS column_name",
+            "distinct_values",
+        )
     )
 
 
-def _as_text(field: T.StructField) -> Column:
-    column = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        column = column + F.lit(0.0)  # one zero, not two
-    return column.cast("string")
-
-
-def _approximate_cardinality(df: DataFrame, table: str) -> DataFrame:
-    columns = list(enumerate(df.columns))
-    sketches = df.agg(
-        *(
-            (F.approx_count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"d{i}")
-            for i, c in columns
-        )
-    )
-    per_column = F.array(
-        *(
-            F.struct(F.lit(c).alias("column_name"), F.col(f"d{i}").alias("distinct_values"))
-            for i, c in columns
-        )
-    )
-    return sketches.select(F.lit(table).alias("table_name"), F.inline(per_column))
+def _as_text(field: T.StructField) -> str:
+    fraction = isinstance(field.dataType, (T.FloatType, T.DoubleType))
+    zero = " + 0.0D" if fraction else ""  # one zero, not two
+    return f"CAST(`{field.name}`{zero} AS STRING)"
 
 
 def numeric_stats(df: DataFrame, table: str) -> DataFrame:
@@ -115,33 +100,30 @@ def numeric_stats(df: DataFrame, table: str) -> DataFrame:
     fields = [f for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType))]
     aggregates = []
     for i, f in enumerate(fields):
-        column = F.col(f.name)
-        number = column.try_cast("double")
-        exact = column if isinstance(f.dataType, T.NumericType) else number
+        exact = column = f"`{f.name}`"
+        number = f"CAST({column} AS DOUBLE)"
+        if isinstance(f.dataType, T.StringType):
+            exact = number = f"IF({column} RLIKE '{NUMBER}', TRY_CAST({column} AS DOUBLE), NULL)"
         aggregates += [
-            F.count(column).alias(f"count{i}"),
-            F.try_divide(F.sum(exact).cast("double"), F.count(exact)).alias(f"mean{i}"),
-            F.stddev_samp(number).alias(f"stddev{i}"),
-            F.min(column).cast("string").alias(f"min{i}"),
-            F.max(column).cast("string").alias(f"max{i}"),
+            f"count({column}) AS count{i}",
+            f"try_divide(CAST(sum({exact}) AS DOUBLE), count({exact})) AS mean{i}",
+            f"stddev_samp({number}) AS stddev{i}",
+            f"min({column}) AS min{i}",
+            f"max({column}) AS max{i}",
         ]
-    names = {
-        "count": "value_count",
-        "mean": "mean",
-        "stddev": "stddev",
-        "min": "min_value",
-        "max": "max_value",
-    }
-    per_column = F.array(
-        *(
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                *(F.col(f"{measure}{i}").alias(name) for measure, name in names.items()),
-            )
-            for i, f in enumerate(fields)
+    stats = [
+        (
+            f"'{f.name}'",
+            f"count{i}",
+            f"mean{i}",
+            f"stddev{i}",
+            f"CAST(min{i} AS STRING)",
+            f"CAST(max{i} AS STRING)",
         )
-    )
-    return df.agg(*aggregates).select(F.lit(table).alias("table_name"), F.inline(per_column))
+        for i, f in enumerate(fields)
+    ]
+    names = ("column_name", "value_count", "mean", "stddev", "min_value", "max_value")
+    return df.selectExpr(*aggregates).selectExpr(f"'{table}' AS table_name", _stack(stats, *names))
 
 
 def sample_rows(df: DataFrame, table: str, key: tuple[str, ...], n: int = 5) -> DataFrame:
@@ -149,20 +131,22 @@ def sample_rows(df: DataFrame, table: str, key: tuple[str, ...], n: int = 5) ->
 
     The remaining columns break ties, so the choice does not depend on partitioning.
     """
-    others = [c for c in df.columns if c not in key]
-    first = df.orderBy(*key, *others).limit(n)
-    cells = F.array(
-        *(
-            F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-            for c in df.columns
-        )
-    )
-    row_key = F.concat_ws("|", *(F.col(c).cast("string") for c in key))
-    return first.select(
-        F.lit(table).alias("table_name"), row_key.alias("row_key"), F.inline(cells)
+    columns = df.columns
+    first = df.orderBy(*key, *(c for c in columns if c not in key)).limit(n)
+    cells = [(f"'{c}'", f"CAST(`{c}` AS STRING)") for c in columns]
+    return first.selectExpr(
+        f"'{table}' AS table_name",
+        f"concat_ws('|', {', '.join(f'CAST({c} AS STRING)' for c in key)}) AS row_key",
+        _stack(cells, "column_name", "value"),
     )
 
 
 def over_tables(profiles: list[DataFrame]) -> DataFrame:
     """The same profile of several tables as one frame."""
     return reduce(DataFrame.unionByName, profiles)
+
+
+def _stack(rows: list[tuple[str, ...]], *names: str) -> str:
+    """SQL that turns each tuple of expressions into a row."""
+    cells = ", ".join(", ".join(row) for row in rows)
+    return f"stack({len(rows)}, {cells}) AS ({', '.join(names)})"

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,18 +17,21 @@ MAX_KEY_COLUMNS = 2
 
 @dataclass(frozen=True)
 class Rule:
-    """``holds`` is what a good row satisfies; NULL counts as not satisfied."""
+    """``holds`` is the SQL condition of a good row; NULL counts as not satisfied."""
 
     name: str
-    holds: Column
+    holds: str
 
 
 def not_null_rules(columns: Iterable[str]) -> list[Rule]:
-    return [Rule(f"not_null:{c}", F.col(c).isNotNull()) for c in columns]
+    return [Rule(f"not_null:{c}", f"{c} IS NOT NULL") for c in columns]
 
 
 def accepted_value_rules(accepted: dict[str, tuple[str, ...]]) -> list[Rule]:
-    return [Rule(f"accepted_values:{c}", F.col(c).isin(*v)) for c, v in accepted.items()]
+    return [
+        Rule(f"accepted_values:{c}", f"{c} IN ({', '.join(map(repr, values))})")
+        for c, values in accepted.items()
+    ]
 
 
 # The lower bound of each measure, and whether the bound itself is allowed.
@@ -54,53 +57,47 @@ ACCEPTED: dict[str, dict[str, tuple[str, ...]]] = {
 
 def range_rules(table: str) -> list[Rule]:
     return [
-        Rule(f"range:{c} {bound}", F.expr(f"{c} {bound}"))
+        Rule(f"range:{c} {bound}", f"{c} {bound}")
         for c, bound in LOWER_BOUNDS.get(table, {}).items()
     ]
 
 
 def check_rows(df: DataFrame, table: str, rules: list[Rule]) -> DataFrame:
     """All row-level rules of one relation from one scan."""
-    totals = df.agg(
-        F.count(F.lit(1)).alias("checked"),
-        *(F.count_if(r.holds).alias(f"ok{i}") for i, r in enumerate(rules)),
+    totals = df.selectExpr(
+        "count(1) AS checked", *(f"count_if({r.holds}) AS ok{i}" for i, r in enumerate(rules))
     )
-    per_rule = F.array(
-        *(
-            F.struct(
-                F.lit(r.name).alias("rule"),
-                F.col("checked").alias("checked"),
-                (F.col("checked") - F.col(f"ok{i}")).alias("failed"),
-            )
-            for i, r in enumerate(rules)
-        )
+    per_rule = ", ".join(f"'{r.name}', checked - ok{i}" for i, r in enumerate(rules))
+    return totals.selectExpr(
+        f"'{table}' AS table_name",
+        "checked",
+        f"stack({len(rules)}, {per_rule}) AS (rule, failed)",
     )
-    return totals.select(F.lit(table).alias("table_name"), F.inline(per_rule))
 
 
 def check_unique(tables: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
     """Surplus rows per key, for all tables in one shuffle.
 
-    Rows are counted per (table, key) on the map side first.  Incomplete keys are left to the
-    not-null rules.
+    Rows are counted per (rule, key) on the map side first; the rule travels as its number.
+    Incomplete keys are left to the not-null rules.
     """
+    rules = [(table, "unique:" + ",".join(key)) for table, (_, key) in tables.items()]
+    parts = [f"k{i}" for i in range(MAX_KEY_COLUMNS)]
     keyed = _union(
-        df.dropna(subset=list(key)).select(
-            F.lit(table).alias("table_name"),
-            F.lit("unique:" + ",".join(key)).alias("rule"),
+        df.dropna(subset=list(key)).selectExpr(
+            f"{number} AS rule_no",
             *(
-                (_key(df, key[i]) if i < len(key) else F.lit(None).cast("bigint")).alias(f"k{i}")
-                for i in range(MAX_KEY_COLUMNS)
+                f"{_key(df, key[i]) if i < len(key) else 'CAST(NULL AS BIGINT)'} AS {part}"
+                for i, part in enumerate(parts)
             ),
         )
-        for table, (df, key) in tables.items()
-    )
-    per_key = keyed.groupBy("table_name", "rule", *(f"k{i}" for i in range(MAX_KEY_COLUMNS))).agg(
-        F.count(F.lit(1)).alias("n")
+        for number, (df, key) in enumerate(tables.values())
     )
-    return per_key.groupBy("table_name", "rule").agg(
+    per_key = keyed.groupBy("rule_no", *parts).agg(F.count(F.lit(1)).alias("n"))
+    per_rule = per_key.groupBy("rule_no").agg(
         F.sum("n").alias("checked"), F.sum(F.col("n") - 1).alias("failed")
     )
+    return _named(per_rule, rules)
 
 
 @dataclass(frozen=True)
@@ -126,37 +123,47 @@ def check_references(frames: dict[str, DataFrame], references: list[Reference])
     """
     sides = []
     for name, df in frames.items():
-        entries = [_entry(r, _key(df, r.column), False) for r in references if r.child == name]
-        entries += [
-            _entry(r, _key(df, r.parent_column), True) for r in references if r.parent == name
+        entries = [
+            f"{number}, {_key(df, column)}, {is_parent}"
+            for number, r in enumerate(references)
+            for relation, column, is_parent in (
+                (r.child, r.column, "false"),
+                (r.parent, r.parent_column, "true"),
+            )
+            if relation == name
         ]
         if entries:
-            sides.append(df.select(F.inline(F.array(*entries))))
+            rows = f"stack({len(entries)}, {', '.join(entries)}) AS (rule_no, key, is_parent)"
+            sides.append(df.selectExpr(rows))
     per_key = (
         _union(sides)
         .filter(F.col("key").isNotNull())
-        .groupBy("table_name", "rule", "key")
+        .groupBy("rule_no", "key")
         .agg(F.count_if(~F.col("is_parent")).alias("n"), F.max("is_parent").alias("has_parent"))
     )
-    return per_key.groupBy("table_name", "rule").agg(
+    per_rule = per_key.groupBy("rule_no").agg(
         F.sum("n").alias("checked"),
         F.sum(F.when(F.col("has_parent"), 0).otherwise(F.col("n"))).alias("failed"),
     )
+    return _named(per_rule, [(r.child, r.rule) for r in references])
+
+
+def _named(per_rule: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Replace rule numbers by table and rule names."""
+    tables = ", ".join(f"'{t}'" for t, _ in rules)
+    names = ", ".join(f"'{r}'" for _, r in rules)
+    return per_rule.selectExpr(
+        f"get(array({tables}), rule_no) AS table_name",
+        f"get(array({names}), rule_no) AS rule",
+        "checked",
+        "failed",
+    )
 
 
-def _key(df: DataFrame, column: str) -> Column:
+def _key(df: DataFrame, column: str) -> str:
     """Keys are whole numbers or dates; both compare as whole numbers."""
     is_date = isinstance(df.schema[column].dataType, T.DateType)
-    return (F.unix_date(column) if is_date else F.col(column)).cast("bigint")
-
-
-def _entry(reference: Reference, key: Column, is_parent: bool) -> Column:
-    return F.struct(
-        F.lit(reference.child).alias("table_name"),
-        F.lit(reference.rule).alias("rule"),
-        key.alias("key"),
-        F.lit(is_parent).alias("is_parent"),
-    )
+    return f"CAST({f'unix_date({column})' if is_date else column} AS BIGINT)"
 
 
 def score(results: DataFrame) -> DataFrame:
@@ -171,14 +178,11 @@ def score(results: DataFrame) -> DataFrame:
 def reconcile(layers: dict[str, dict[str, DataFrame]]) -> DataFrame:
     """Row counts of each relation in every layer that has it, one column per layer."""
     counts = _union(
-        df.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(relation).alias("table_name"),
-            *(
-                F.when(F.lit(layer == column), F.col("n")).alias(f"{column}_rows")
-                for column in layers
-            ),
+        df.selectExpr("count(1) AS n").selectExpr(
+            f"'{relation}' AS table_name",
+            *(f"{'n' if layer == own else 'CAST(NULL AS BIGINT)'} AS {layer}_rows" for layer in layers),
         )
-        for layer, relations in layers.items()
+        for own, relations in layers.items()
         for relation, df in relations.items()
     )
     return counts.groupBy("table_name").agg(
