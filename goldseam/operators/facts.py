@@ -11,8 +11,9 @@ from goldseam import functions as fn
 def fct_sales(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """Order lines with the context of their order; lines without an order drop out.
 
-    One shuffle of each side on the order key.  A hot order key is split by adaptive skew
-    handling, and a small orders side is broadcast once its size is known.
+    One shuffle of each side on the order key, which later aggregates by order reuse.  Orders
+    grow with the lines, so they are never broadcast; a hot order key is split by adaptive
+    skew handling.
     """
     context = orders.select(
         "order_key",
@@ -23,7 +24,7 @@ def fct_sales(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         F.col("total_price").alias("order_total_price"),
     )
     price, discount, tax = F.col("extended_price"), F.col("discount"), F.col("tax")
-    return lineitem.join(context, "order_key", "inner").select(
+    return lineitem.join(context.hint("merge"), "order_key", "inner").select(
         "order_key",
         "line_number",
         "customer_key",

@@ -8,11 +8,13 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from goldseam.operators import bronze, silver
+from goldseam.plans import quality
 from goldseam.plans.warehouse import Warehouse, bronze_of
 from goldseam.schemas import TABLES
 from goldseam.session import build_session, tune
@@ -24,14 +26,10 @@ from goldseam.sources.jdbc import JdbcSource
 log = logging.getLogger(__name__)
 
 STAGES = ("ingest", "model", "all")
-GOLD_BUILD_ORDER = (
-    "dim_date",
-    "dim_customer",
-    "dim_supplier",
-    "dim_part",
-    "fct_sales",
-    "fct_inventory",
-    "fct_revenue_by_supplier",
+# Marts of one step need only marts of earlier steps.
+GOLD_STEPS = (
+    ("dim_date", "dim_customer", "dim_supplier", "dim_part", "fct_sales"),
+    ("fct_inventory", "fct_revenue_by_supplier"),
 )
 
 
@@ -80,33 +78,35 @@ def transform(spark: SparkSession, layout: Layout, rules: str = "standard") -> D
 
 
 def model(spark: SparkSession, layout: Layout, run_at: datetime | None = None) -> DataFrame:
-    """Build and store the marts.
+    """Build and store the marts, those of one step together.
 
     Later marts read the stored earlier ones, so the join of lines and orders is paid once.
     """
     run_at = run_at or datetime.now(UTC).replace(tzinfo=None)
-    stored = ParquetSource(spark, layout.path("gold"))
-    done: set[str] = set()
+    stored: set[str] = set()
     rows = []
-    for name in GOLD_BUILD_ORDER:
-        warehouse = _Modelling(spark, layout, stored, done)
-        written = write_parquet(
-            with_audit(warehouse.mart(name), run_at), layout.path("gold", name)
-        )
-        done.add(name)
-        rows.append((name, written, "loaded"))
+    for step in GOLD_STEPS:
+        warehouse = _Modelling(spark, layout, frozenset(stored))
+
+        def one(name: str) -> tuple[str, int, str]:
+            dated = with_audit(warehouse.mart(name), run_at)
+            return name, write_parquet(dated, layout.path("gold", name)), "loaded"
+
+        rows += _together(one, step)
+        stored.update(step)
     return spark.createDataFrame(rows, REPORT_SCHEMA)
 
 
 class _Modelling(Warehouse):
     """Silver from storage, and those marts from storage that are already written."""
 
-    def __init__(self, spark: SparkSession, layout: Layout, stored: ParquetSource, done: set[str]):
+    def __init__(self, spark: SparkSession, layout: Layout, stored: frozenset[str]):
         super().__init__(silver=ParquetSource(spark, layout.path("silver")).read)
-        self._stored, self._done = stored, done
+        self._gold_store = ParquetSource(spark, layout.path("gold"))
+        self._stored = stored
 
     def _build(self, name: str) -> DataFrame:
-        return self._stored.read(name) if name in self._done else super()._build(name)
+        return self._gold_store.read(name) if name in self._stored else super()._build(name)
 
 
 def load(spark: SparkSession, layout: Layout, sink: Sink) -> DataFrame:
@@ -146,26 +146,44 @@ def _together(one: Callable[[str], tuple], tables: Iterable[str]) -> list[tuple]
         return list(pool.map(one, names))
 
 
+def validate(spark: SparkSession, layout: Layout) -> dict[str, DataFrame]:
+    """Quality rules over the stored layers, and their score."""
+    warehouse = Warehouse.over_stored(spark, layout.root)
+    return {"quality": quality.results(warehouse), "score": quality.score(warehouse)}
+
+
 def main(argv: list[str] | None = None) -> int:
     args = _arguments().parse_args(argv)
     spark = build_session("goldseam")
-    credentials = {k: v for k, v in (("user", args.user), ("password", args.password)) if v}
     raw = None
     if args.source_url:
-        raw = JdbcSource(spark, args.source_url, credentials, args.source_prefix).read
+        properties = _properties(args.source_properties)
+        raw = JdbcSource(spark, args.source_url, properties, args.source_prefix).read
     elif args.source:
         raw = ParquetSource(spark, args.source, args.pattern).read
     sink = None
     if args.target_url:
-        sink = JdbcSink(spark, args.target_url, credentials)
+        sink = JdbcSink(spark, args.target_url, _properties(args.target_properties))
     elif args.target:
         sink = ParquetSink(spark, args.target)
-    for name, report in run(spark, Layout(args.root), raw, sink, args.stage).items():
+    layout = Layout(args.root)
+    reports = run(spark, layout, raw, sink, args.stage)
+    if args.validate:
+        reports |= validate(spark, layout)
+    for name, report in reports.items():
         print(name)
-        report.show(truncate=False)
+        report.show(1000, truncate=False)
     return 0
 
 
+def _properties(path: str | None) -> dict[str, str]:
+    """Connection properties, such as user and password, one ``key=value`` per line."""
+    if path is None:
+        return {}
+    lines = Path(path).read_text().splitlines()
+    return dict(line.split("=", 1) for line in lines if "=" in line and not line.startswith("#"))
+
+
 def _arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(description="Build the warehouse")
     parser.add_argument("--root", required=True, help="directory of the layers")
@@ -174,10 +192,11 @@ def _arguments() -> argparse.ArgumentParser:
     parser.add_argument("--pattern", default="{table}", help="path of a table below --source")
     parser.add_argument("--source-url", help="JDBC URL to extract from")
     parser.add_argument("--source-prefix", default="", help="schema prefix of source tables")
+    parser.add_argument("--source-properties", help="file of JDBC properties")
     parser.add_argument("--target", help="directory to load Gold into")
     parser.add_argument("--target-url", help="JDBC URL to load Gold into")
-    parser.add_argument("--user")
-    parser.add_argument("--password")
+    parser.add_argument("--target-properties", help="file of JDBC properties")
+    parser.add_argument("--validate", action="store_true", help="run the quality rules at the end")
     return parser
 
 

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from goldseam.schemas import Table
 
-MAX_CHUNKS = 10_000
-
-
 def chunk_id(key: Column, chunk_size: int) -> Column:
     """Number of the range of ``chunk_size`` consecutive keys that holds the key."""
     size = F.lit(chunk_size)
@@ -72,9 +69,9 @@ def range_number(column: str, ranges: list[KeyRange]) -> str:
     return f"CASE WHEN {column} < {first} THEN 0 ELSE {later} END"
 
 
-def chunk_count(rows: int, chunk_size: int) -> int:
-    """Chunks needed; a huge table gets larger chunks rather than more tasks than a driver holds."""
-    return min(max(-(-rows // chunk_size), 1), MAX_CHUNKS)
+def chunk_count(rows: int, chunk_size: int, at_most: int) -> int:
+    """Chunks of about ``chunk_size`` rows; beyond ``at_most`` of them the chunks grow instead."""
+    return min(max(-(-rows // chunk_size), 1), at_most)
 
 
 def chunk_predicates(

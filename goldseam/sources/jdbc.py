@@ -18,7 +18,8 @@ class JdbcSource:
     """Reads small tables whole and large ones as parallel key ranges.
 
     The database does the counting: the driver receives the bounds of a key and one row count
-    per range, never rows of the table.
+    per range, never rows of the table.  Every chunk is one connection while it is read, so
+    ``max_chunks`` also bounds the load on the database.
     """
 
     def __init__(
@@ -28,11 +29,13 @@ class JdbcSource:
         properties: dict[str, str] | None = None,
         prefix: str = "",
         fetch_size: int = 10_000,
+        max_chunks: int = 256,
     ):
         self.spark = spark
         self.url = url
         self.properties = {"fetchsize": str(fetch_size), **(properties or {})}
         self.prefix = prefix
+        self.max_chunks = max_chunks
 
     def read(self, table: str) -> DataFrame:
         spec = TABLES[table]
@@ -58,7 +61,7 @@ class JdbcSource:
         ).first()
         if low is None:
             return ["1 = 1"]
-        chunks = chunk_count(int(rows), spec.chunk_size)
+        chunks = chunk_count(int(rows), spec.chunk_size, self.max_chunks)
         ranges = key_ranges(int(low), int(high), chunks)
         per_chunk = max(-(-int(rows) // chunks), 1)
         return chunk_predicates(self._sized(ranges, key, name), spec.key, per_chunk)

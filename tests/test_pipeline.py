@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import queries
-from goldseam.plans import pipeline
+from goldseam.plans import pipeline, quality
 from goldseam.plans.warehouse import MARTS, Warehouse
 from goldseam.schemas import TABLES
 from goldseam.sinks.files import write_batches, write_parquet
@@ -109,6 +109,25 @@ def test_load_order_and_stop_at_failure(spark):
     assert sink.written == list(LOAD_ORDER[: LOAD_ORDER.index("fct_sales") + 1])
 
 
+def test_validation_of_the_stored_layers(spark, built):
+    layout, _, _ = built
+    found = pipeline.validate(spark, layout)
+    lazy = Warehouse.over_raw(spark, "/root/testdata/sf0.001", queries.PATTERN)
+    assert found["score"].collect() == quality.score(lazy).collect()
+    assert found["quality"].count() == found["score"].first().rules
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(pipeline, "build_session", lambda name: spark)
+    argv = ["--root", f"{tmp_path}/w", "--source", "/root/testdata/sf0.001"]
+    argv += ["--pattern", "{table}.parquet", "--target", f"{tmp_path}/serving"]
+    assert pipeline.main(argv) == 0
+    shown = capsys.readouterr().out
+    assert [line for line in shown.splitlines() if line.isalpha()] == [
+        "extract", "transform", "model", "load",
+    ]
+
+
 def test_unknown_stage(spark, tmp_path):
     with pytest.raises(ValueError, match="everything"):
         pipeline.run(spark, pipeline.Layout(str(tmp_path)), stage="everything")

@@ -106,9 +106,9 @@ def test_chunk_numbers(spark):
 
 
 def test_chunk_count():
-    assert chunks.chunk_count(0, 10) == 1
-    assert chunks.chunk_count(11, 10) == 2
-    assert chunks.chunk_count(10**12, 10) == chunks.MAX_CHUNKS
+    assert chunks.chunk_count(0, 10, 256) == 1
+    assert chunks.chunk_count(11, 10, 256) == 2
+    assert chunks.chunk_count(10**12, 10, 256) == 256
 
 
 def test_shuffle_sizing(spark):
