@@ -74,41 +74,45 @@ CTES: dict[str, str] = {
         FROM lineitem""",
     # ---- Silver -------------------------------------------------------------------------
     "s_region": f"""
-        SELECT r_regionkey, trim(r_name) AS r_name, r_comment,
+        SELECT r_regionkey, trim(r_name, ' ') AS r_name, r_comment,
                trim(r_name, {_BLANKS}) AS r_name_clean
         FROM b_region""",
     "s_nation": """
-        SELECT * REPLACE (trim(n_name) AS n_name, trim(n_comment) AS n_comment) FROM b_nation""",
+        SELECT * REPLACE (trim(n_name, ' ') AS n_name, trim(n_comment, ' ') AS n_comment)
+        FROM b_nation""",
     "s_supplier": """
-        SELECT * REPLACE (trim(s_name) AS s_name, trim(s_address) AS s_address,
-                          trim(s_phone) AS s_phone, trim(s_comment) AS s_comment),
+        SELECT * REPLACE (trim(s_name, ' ') AS s_name, trim(s_address, ' ') AS s_address,
+                          trim(s_phone, ' ') AS s_phone, trim(s_comment, ' ') AS s_comment),
                CASE WHEN s_acctbal < 0 THEN 'NEGATIVE' ELSE 'POSITIVE' END AS s_acctbal_status
         FROM b_supplier""",
     "s_customer": """
-        SELECT * REPLACE (trim(c_name) AS c_name, trim(c_address) AS c_address,
-                          trim(c_phone) AS c_phone, trim(c_mktsegment) AS c_mktsegment,
-                          trim(c_comment) AS c_comment),
+        SELECT * REPLACE (trim(c_name, ' ') AS c_name, trim(c_address, ' ') AS c_address,
+                          trim(c_phone, ' ') AS c_phone, trim(c_mktsegment, ' ') AS c_mktsegment,
+                          trim(c_comment, ' ') AS c_comment),
                CASE WHEN c_acctbal < 0 THEN 'NEGATIVE' ELSE 'POSITIVE' END AS c_acctbal_status
         FROM b_customer""",
     "s_part": """
-        SELECT * REPLACE (trim(p_name) AS p_name, trim(p_mfgr) AS p_mfgr,
-                          trim(p_brand) AS p_brand, trim(p_type) AS p_type,
-                          trim(p_container) AS p_container, trim(p_comment) AS p_comment),
+        SELECT * REPLACE (trim(p_name, ' ') AS p_name, trim(p_mfgr, ' ') AS p_mfgr,
+                          trim(p_brand, ' ') AS p_brand, trim(p_type, ' ') AS p_type,
+                          trim(p_container, ' ') AS p_container, trim(p_comment, ' ') AS p_comment),
                CASE WHEN p_size < 10 THEN 'SMALL' WHEN p_size < 30 THEN 'MEDIUM'
                     ELSE 'LARGE' END AS p_size_category
         FROM b_part""",
-    "s_partsupp": "SELECT * REPLACE (trim(ps_comment) AS ps_comment) FROM b_partsupp",
+    "s_partsupp": "SELECT * REPLACE (trim(ps_comment, ' ') AS ps_comment) FROM b_partsupp",
     "s_orders": """
-        SELECT * REPLACE (trim(o_orderstatus) AS o_orderstatus,
-                          trim(o_orderpriority) AS o_orderpriority, trim(o_clerk) AS o_clerk,
-                          trim(o_comment) AS o_comment),
+        SELECT * REPLACE (trim(o_orderstatus, ' ') AS o_orderstatus,
+                          trim(o_orderpriority, ' ') AS o_orderpriority,
+                          trim(o_clerk, ' ') AS o_clerk,
+                          trim(o_comment, ' ') AS o_comment),
                CAST(year(o_orderdate) AS INTEGER) AS o_year,
                CAST(quarter(o_orderdate) AS INTEGER) AS o_quarter
         FROM b_orders WHERE o_totalprice > 0""",
     "s_lineitem": """
-        SELECT * REPLACE (trim(l_returnflag) AS l_returnflag, trim(l_linestatus) AS l_linestatus,
-                          trim(l_shipinstruct) AS l_shipinstruct, trim(l_shipmode) AS l_shipmode,
-                          trim(l_comment) AS l_comment),
+        SELECT * REPLACE (trim(l_returnflag, ' ') AS l_returnflag,
+                          trim(l_linestatus, ' ') AS l_linestatus,
+                          trim(l_shipinstruct, ' ') AS l_shipinstruct,
+                          trim(l_shipmode, ' ') AS l_shipmode,
+                          trim(l_comment, ' ') AS l_comment),
                l_discount * 100 AS l_discount_percentage,
                l_extendedprice * (1 - l_discount) AS l_net_price,
                CAST(year(l_shipdate) AS INTEGER) AS l_ship_year
@@ -491,14 +495,14 @@ def _profiles() -> dict[str, str]:
         present = c if kind != "string" else number
         return f"""SELECT '{t}' AS table_name, '{c}' AS column_name, count({c}) AS value_count,
             {total} / NULLIF(count({present}), 0) AS mean,
-            round(stddev_samp({number}), 6) AS stddev,
+            CAST(format('{{:.8e}}', stddev_samp({number})) AS DOUBLE) AS stddev,
             CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value
             FROM b_{t}"""
 
     def sample(t: str) -> str:
         columns = [c for c, _ in _columns(t)]
         order = [*KEYS[t], *(c for c in columns if c not in KEYS[t])]
-        key = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in KEYS[t])
+        key = " || '|' || ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in KEYS[t])
         ordering = ", ".join(f"{c} ASC NULLS FIRST" for c in order)
         chosen = f"(SELECT * FROM b_{t} ORDER BY {ordering} LIMIT 5) s"
         return _union(

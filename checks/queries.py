@@ -24,7 +24,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 PATTERN = "{table}.parquet"
 CONCAT_CHUNKS = 4
-STDDEV_DIGITS = 6
+
+# A standard deviation is a floating-point sum, whose last digits depend on its order.
+NINE_DIGITS = "IF(stddev IS NOT NULL, CAST(format_string('%.8e', stddev) AS DOUBLE), NULL)"
 
 _opened: dict[tuple[SparkSession, str], Warehouse] = {}
 
@@ -68,7 +70,7 @@ def registered() -> dict[str, Query]:
         ),
         "profile_cardinality": lambda w: _per_table(w, profile.cardinality),
         "profile_numeric_stats": lambda w: _per_table(w, profile.numeric_stats).withColumn(
-            "stddev", F.round("stddev", STDDEV_DIGITS)
+            "stddev", F.expr(NINE_DIGITS)
         ),
         "profile_null_counts": lambda w: _per_table(w, profile.null_counts),
         "profile_sample": lambda w: profile.over_tables(

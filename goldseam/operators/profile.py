@@ -134,9 +134,10 @@ def sample_rows(df: DataFrame, table: str, key: tuple[str, ...], n: int = 5) ->
     columns = df.columns
     first = df.orderBy(*key, *(c for c in columns if c not in key)).limit(n)
     cells = [(f"'{c}'", f"CAST(`{c}` AS STRING)") for c in columns]
+    row_key = " || '|' || ".join(f"coalesce(CAST(`{c}` AS STRING), '')" for c in key)
     return first.selectExpr(
         f"'{table}' AS table_name",
-        f"concat_ws('|', {', '.join(f'CAST({c} AS STRING)' for c in key)}) AS row_key",
+        f"{row_key} AS row_key",
         _stack(cells, "column_name", "value"),
     )
 

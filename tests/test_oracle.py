@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks import compare
+from tests import dirty
 from tests.conftest import SMALL
 
 
@@ -19,5 +20,18 @@ def test_query_equals_sql(spark, connection, name):
     assert compare.differences(spark, connection, SMALL, name) == []
 
 
+@pytest.fixture(scope="module")
+def spoiled(tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("dirty"))
+    dirty.write(SMALL, root)
+    return root, compare.connect(root)
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_query_equals_sql_on_dirty_tables(spark, spoiled, name):
+    root, connection = spoiled
+    assert compare.differences(spark, connection, root, name) == []
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
