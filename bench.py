@@ -91,6 +91,14 @@ def stored_questions(warehouse: Warehouse) -> dict[str, Callable[[], object]]:
     }
 
 
+def scale_of(sf_dir: str) -> float | str:
+    name = sf_dir.rstrip("/").rsplit("/", 1)[-1].removeprefix("sf")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -126,7 +134,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
-                "sf": sf_dir.rstrip("/").rsplit("/", 1)[-1].removeprefix("sf"),
+                "sf": scale_of(sf_dir),
             }
         )
     )

@@ -6,10 +6,18 @@ import math
 
 from pyspark.sql import SparkSession
 
-TARGET_PARTITION_BYTES = 256 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 32_768
+MB = 1024 * 1024
+
+# Compressed input per shuffle partition; rows take several times as much in memory.
+TARGET_PARTITION_BYTES = 64 * MB
+
+# The driver keeps a status of every map task with an entry per shuffle partition.
+MAX_SHUFFLE_PARTITIONS = 100_000
+MAX_SCAN_TASKS = 100_000
+SCAN_BYTES = 128 * MB
 
 _INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_SCAN_BYTES = "spark.sql.files.maxPartitionBytes"
 _FORCE_SKEW_SPLIT = "spark.sql.adaptive.forceOptimizeSkewedJoin"
 
 
@@ -36,6 +44,11 @@ def shuffle_partitions_for(input_bytes: int, at_least: int = 1) -> int:
     return min(max(wanted, at_least), max(MAX_SHUFFLE_PARTITIONS, at_least))
 
 
+def scan_bytes_for(input_bytes: int) -> int:
+    """Input per scan task: Spark's default, or more where that would make too many tasks."""
+    return max(SCAN_BYTES, math.ceil(input_bytes / MAX_SCAN_TASKS))
+
+
 def tune(spark: SparkSession, input_bytes: int = 0) -> None:
     """Set what the plans rely on, leaving alone whatever the session already sets.
 
@@ -51,3 +64,5 @@ def tune(spark: SparkSession, input_bytes: int = 0) -> None:
         wanted = shuffle_partitions_for(input_bytes, at_least=current)
         if wanted > current:
             spark.conf.set(_INITIAL_PARTITIONS, str(wanted))
+    if _SCAN_BYTES not in explicit and scan_bytes_for(input_bytes) > SCAN_BYTES:
+        spark.conf.set(_SCAN_BYTES, str(scan_bytes_for(input_bytes)))

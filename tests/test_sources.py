@@ -6,7 +6,13 @@ from pyspark.sql import functions as F
 from goldseam.schemas import TABLES
 from goldseam.sinks.files import write_all_snapshots, write_batches, write_parquet, write_snapshot
 from goldseam.sources import chunks, files
-from goldseam.session import MAX_SHUFFLE_PARTITIONS, shuffle_partitions_for, tune
+from goldseam.session import (
+    MAX_SHUFFLE_PARTITIONS,
+    SCAN_BYTES,
+    scan_bytes_for,
+    shuffle_partitions_for,
+    tune,
+)
 
 
 def test_listing_and_reading_one_file(spark, tmp_path):
@@ -113,13 +119,18 @@ def test_chunk_count():
 
 def test_shuffle_sizing(spark):
     assert shuffle_partitions_for(0, at_least=8) == 8
-    assert shuffle_partitions_for(10 * 2**30) == 40
+    assert shuffle_partitions_for(10 * 2**30) == 160
     assert shuffle_partitions_for(100 * 2**40) == MAX_SHUFFLE_PARTITIONS
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert scan_bytes_for(2**40) == SCAN_BYTES
+    assert scan_bytes_for(100 * 2**40) > 2**30
+    partitions = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    scan = "spark.sql.files.maxPartitionBytes"
     other = spark.newSession()
     tune(other, 2**20)
-    assert key not in other.conf.getAll
+    assert partitions not in other.conf.getAll
     tune(other, 2**40)
-    assert other.conf.get(key) == "4096"
-    tune(other, 2**50)
-    assert other.conf.get(key) == "4096"
+    assert other.conf.get(partitions) == "16384"
+    assert scan not in other.conf.getAll
+    tune(other, 2**46)
+    assert other.conf.get(partitions) == "16384"
+    assert int(other.conf.get(scan)) == scan_bytes_for(2**46)
