@@ -20,7 +20,9 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     spec = TABLES[table]
     present = {f.name.lower(): f for f in df.schema.fields}
     extra = [f"`{f.name}` AS `{n}`" for n, f in present.items() if n not in spec.columns]
-    declared = [_typed(present.get(name), kind) + f" AS {name}" for name, kind in spec.columns.items()]
+    declared = [
+        f"{_typed(present.get(name), kind)} AS {name}" for name, kind in spec.columns.items()
+    ]
     return df.selectExpr(*declared, *extra)
 
 

@@ -180,7 +180,10 @@ def reconcile(layers: dict[str, dict[str, DataFrame]]) -> DataFrame:
     counts = _union(
         df.selectExpr("count(1) AS n").selectExpr(
             f"'{relation}' AS table_name",
-            *(f"{'n' if layer == own else 'CAST(NULL AS BIGINT)'} AS {layer}_rows" for layer in layers),
+            *(
+                f"{'n' if layer == own else 'CAST(NULL AS BIGINT)'} AS {layer}_rows"
+                for layer in layers
+            ),
         )
         for own, relations in layers.items()
         for relation, df in relations.items()

@@ -19,7 +19,14 @@ from goldseam.plans.warehouse import Warehouse, bronze_of
 from goldseam.schemas import TABLES
 from goldseam.session import build_session, tune
 from goldseam.sinks.files import with_audit, write_parquet
-from goldseam.sinks.warehouse import LOAD_ORDER, REPORT_SCHEMA, JdbcSink, ParquetSink, Sink, load_all
+from goldseam.sinks.warehouse import (
+    LOAD_ORDER,
+    REPORT_SCHEMA,
+    JdbcSink,
+    ParquetSink,
+    Sink,
+    load_all,
+)
 from goldseam.sources.files import BronzeStore, ParquetSource
 from goldseam.sources.jdbc import JdbcSource
 
