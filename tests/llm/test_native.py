@@ -1,0 +1,140 @@
+"""The operators on DataFrame functions alone: duplicates, lines, mixing."""
+
+import hashlib
+import math
+from collections import Counter
+
+import pytest
+
+from goldseam.llm import exact_dedup, line_dedup, mixing
+from tests.llm.tables import by_id, documents, empty, rows
+
+OPERATORS = (
+    lambda d: exact_dedup.exact_duplicates(d),
+    lambda d: line_dedup.line_dedup(d, counts=True),
+    lambda d: mixing.mixed(d),
+)
+
+
+@pytest.mark.parametrize("operator", OPERATORS)
+def test_empty_table_gives_no_rows(spark, operator):
+    assert operator(empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("operator", OPERATORS)
+def test_plans_run_no_python(spark, operator):
+    plan = operator(documents(spark, ["a", None]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_longest_then_smallest_id_stays(spark):
+    texts = ["a b", "ab", "a  b", "a\tb ", None, "", " \n", "c"]
+    found = by_id(exact_dedup.exact_duplicates(documents(spark, texts)))
+    assert [found[i]["keep_id"] for i in range(8)] == [2, 2, 2, 2, 6, 6, 6, 7]
+    assert [found[i]["kept"] for i in range(8)] == [i in (2, 6, 7) for i in range(8)]
+    assert found[4]["group_size"] == 3 and found[7]["group_size"] == 1
+    assert found[0]["text_sha256"] == hashlib.sha256(b"ab").hexdigest()
+
+
+def test_repeated_rows_and_null_ids_keep_one_row(spark):
+    found = rows(
+        exact_dedup.exact_duplicates(
+            documents(spark, ["x", "x", "x", "x"], ids=[None, 3, 3, None])
+        )
+    )
+    assert [r["keep_id"] for r in found] == [3] * 4
+    assert sum(r["kept"] for r in found) == 1
+
+
+@pytest.mark.parametrize("fan_in", [2, 3, 64])
+def test_every_tree_gives_the_same_groups(spark, fan_in):
+    texts = [f"text {i % 7}" if i % 3 else "hot" for i in range(300)]
+    docs = documents(spark, texts).repartition(13)
+    found = by_id(exact_dedup.exact_duplicates(docs, fan_in=fan_in))
+    sizes = Counter(texts)
+    assert {i: r["group_size"] for i, r in found.items()} == {
+        i: sizes[t] for i, t in enumerate(texts)
+    }
+    assert sum(r["kept"] for r in found.values()) == len(sizes)
+
+
+PASSAGE = [f"shared line number {i}" for i in range(40)]
+
+
+def test_moved_passage_is_removed_but_for_its_first_place(spark):
+    own = [[f"own {d} {i}" for i in range(9)] for d in range(3)]
+    texts = ["\n".join(o[: 2 + d] + PASSAGE + o[2 + d :]) for d, o in enumerate(own)]
+    found = by_id(line_dedup.line_dedup(documents(spark, texts), counts=True))
+    assert found[0]["text"] == texts[0] and found[0]["n_removed"] == 0
+    for d in (1, 2):
+        left = found[d]["text"].split("\n")
+        assert set(own[d]) <= set(left)
+        assert found[d]["n_removed"] >= 20 and found[d]["n_lines"] == 49
+        assert len(left) == 49 - found[d]["n_removed"]
+
+
+def test_lines_nulls_and_blank_chunks_stay(spark):
+    texts = [None, "", "\n" * 30, "\n" * 30, "one line", "one line"]
+    found = by_id(line_dedup.line_dedup(documents(spark, texts), counts=True))
+    assert [found[i]["text"] for i in range(6)] == texts
+    assert found[0]["n_lines"] == 0 and found[1]["n_lines"] == 1
+
+
+def test_copies_lose_their_text_and_keep_their_row(spark):
+    text = "\n".join(PASSAGE)
+    found = by_id(line_dedup.line_dedup(documents(spark, [text, text, text])))
+    assert found[0]["text"] == text
+    ends = [r["text"] for i, r in found.items() if i]
+    assert all(len(t) < len(text) / 2 for t in ends)
+
+
+def test_a_long_document_of_many_lines(spark):
+    text = "\n".join(f"line {i}" for i in range(100_000))
+    found = by_id(line_dedup.line_dedup(documents(spark, [text, "a\nb"]), counts=True))
+    assert found[0]["n_lines"] == 100_000 and found[0]["text"] == text
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = documents(spark, ["a\nb", "a\nb"]).selectExpr(
+        "*", "1 AS _removed", "2 AS _chunks", "3 AS _doc", "4 AS _copy", "5 AS `odd.name`",
+        "6 AS kept", "7 AS n_docs",
+    )
+    for df in (line_dedup.line_dedup(docs), mixing.mixed(docs, total=50)):
+        assert df.columns == docs.columns
+        assert {tuple(r)[5:] for r in df.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
+    assert len(exact_dedup.exact_duplicates(docs).collect()) == 2
+
+
+def test_shares_follow_the_weights(spark):
+    sources = ["hot"] * 3000 + ["rare"] * 30 + [None] * 300
+    docs = documents(spark, ["x"] * 3330, sources)
+    weights = {"hot": 1, "rare": 2, None: 1}
+    got = Counter(r["source"] for r in rows(mixing.mixed(docs, weights=weights, total=8000)))
+    for name, wanted in (("hot", 2000), ("rare", 4000), (None, 2000)):
+        assert abs(got[name] - wanted) < 6 * math.sqrt(wanted)
+
+
+def test_unlisted_sources_go_and_reruns_agree(spark):
+    docs = documents(spark, ["x"] * 60, ["a", "b"] * 30)
+    once, again = (
+        [r["doc_id"] for r in rows(mixing.mixed(docs.repartition(n), weights={"a": 1}))]
+        for n in (1, 5)
+    )
+    assert sorted(once) == sorted(again) and all(i % 2 == 0 for i in once)
+
+
+def test_one_document_at_a_high_rate(spark):
+    docs = documents(spark, ["x", "y"], ["one", "two"])
+    df = mixing.mixed(docs, weights={"one": 1}, total=5000, copy_column="copy")
+    found = [r["copy"] for r in rows(df)]
+    assert abs(len(found) - 5000) < 6 * math.sqrt(5000)
+    assert sorted(found) == list(range(1, len(found) + 1))
+
+
+def test_counts_are_poisson(spark):
+    n = 4000
+    docs = documents(spark, [None] * n, ids=range(n))
+    per_doc = Counter(r["doc_id"] for r in rows(mixing.mixed(docs, total=2 * n)))
+    for k in range(5):
+        share = sum(per_doc[i] == k for i in range(n)) / n
+        assert abs(share - math.exp(-2) * 2**k / math.factorial(k)) < 0.03
