@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldseam.llm import exact_dedup, line_dedup, mixing
+from goldseam.llm import exact_dedup, line_dedup, mixing, secret_scan
 from goldseam.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.secret_spans(documents(spark, sf_dir)))
+
+
 def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -31,6 +35,7 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Query]:
     return {
+        "op1_secret_scan": secret_scan_query,
         "op2_exact_dedup": exact_dedup_query,
         "op7_line_dedup": line_dedup_query,
         "op10_source_mixing": mixing_query,
