@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldseam.llm import exact_dedup, line_dedup, mixing, secret_scan
-from goldseam.llm.common import documents
+from goldseam.llm import (
+    exact_dedup,
+    line_dedup,
+    mixing,
+    packing,
+    secret_scan,
+    token_files,
+)
+from goldseam.llm.common import documents, new_folder
+from goldseam.llm.tokens import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,12 +29,22 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), vocabulary_path(), keep_ids=False)
+
+
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir), counts=True).select(
         "doc_id", "text", "n_lines", "n_removed"
     )
 
 
+def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    shards = token_files.write_files(documents(spark, sf_dir), folder, vocabulary_path())
+    return token_files.read_files(shards, folder)
+
+
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(
         documents(spark, sf_dir), copy_column="copy", key_column="order_key"
@@ -37,6 +55,8 @@ def registered() -> dict[str, Query]:
     return {
         "op1_secret_scan": secret_scan_query,
         "op2_exact_dedup": exact_dedup_query,
+        "op4_best_fit_packing": packing_query,
         "op7_line_dedup": line_dedup_query,
+        "op8_token_files": token_files_query,
         "op10_source_mixing": mixing_query,
     }
