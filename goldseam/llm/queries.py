@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from goldseam.llm import (
     exact_dedup,
+    language_id,
     line_dedup,
     mixing,
+    neighbours,
     packing,
     secret_scan,
     token_files,
@@ -33,6 +35,14 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), vocabulary_path(), keep_ids=False)
 
 
+def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(documents(spark, sf_dir))
+
+
+def neighbours_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir), counts=True).select(
         "doc_id", "text", "n_lines", "n_removed"
@@ -56,6 +66,8 @@ def registered() -> dict[str, Query]:
         "op1_secret_scan": secret_scan_query,
         "op2_exact_dedup": exact_dedup_query,
         "op4_best_fit_packing": packing_query,
+        "op5_language_id": language_id_query,
+        "op6_nearest_neighbours": neighbours_query,
         "op7_line_dedup": line_dedup_query,
         "op8_token_files": token_files_query,
         "op10_source_mixing": mixing_query,
