@@ -11,6 +11,7 @@ from goldseam.llm import (
     exact_dedup,
     language_id,
     line_dedup,
+    lm_score,
     mixing,
     neighbours,
     packing,
@@ -55,6 +56,10 @@ def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(shards, folder)
 
 
+def lm_scoring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(documents(spark, sf_dir))
+
+
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(
         documents(spark, sf_dir), copy_column="copy", key_column="order_key"
@@ -70,5 +75,6 @@ def registered() -> dict[str, Query]:
         "op6_nearest_neighbours": neighbours_query,
         "op7_line_dedup": line_dedup_query,
         "op8_token_files": token_files_query,
+        "op9_lm_scoring": lm_scoring_query,
         "op10_source_mixing": mixing_query,
     }
