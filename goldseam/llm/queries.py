@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from goldseam.llm import (
     exact_dedup,
+    jaccard_join,
     language_id,
     line_dedup,
     lm_score,
@@ -32,6 +33,12 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def jaccard_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(documents(spark, sf_dir)).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), vocabulary_path(), keep_ids=False)
 
@@ -70,6 +77,7 @@ def registered() -> dict[str, Query]:
     return {
         "op1_secret_scan": secret_scan_query,
         "op2_exact_dedup": exact_dedup_query,
+        "op3_jaccard_join": jaccard_join_query,
         "op4_best_fit_packing": packing_query,
         "op5_language_id": language_id_query,
         "op6_nearest_neighbours": neighbours_query,
