@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import stored, text_of
+from goldseam.llm.common import back, renamed, stored, text_of
 from goldseam.llm.shingles import digest, shingle_sets
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -115,7 +115,9 @@ def prefix(hashes: np.ndarray, ordered: np.ndarray, ranks: np.ndarray) -> np.nda
     return np.concatenate([first, last[: wanted - len(first)]])
 
 
-def described(docs: DataFrame, doc_id: str, text: str, frequent: np.ndarray) -> DataFrame:
+def described(
+    docs: DataFrame, doc_id: str, text: str, frequent: np.ndarray, uid: str | None = None
+) -> DataFrame:
     """One row per document: uid, doc_id, n, key (of the set; null if empty) and prefix."""
     ranks = np.argsort(frequent)
     ordered = frequent[ranks]
@@ -140,7 +142,7 @@ def described(docs: DataFrame, doc_id: str, text: str, frequent: np.ndarray) ->
                 )
 
     rows = docs.select(
-        F.monotonically_increasing_id().alias("uid"),
+        (F.monotonically_increasing_id() if uid is None else F.col(uid)).alias("uid"),
         F.col(doc_id).alias("doc_id"),
         text_of(text).alias("text"),
     )
@@ -423,8 +425,9 @@ def jaccard_groups(
     doc_id: str = "doc_id",
     text: str = "text",
     frequent: int = FREQUENT,
+    uid: str | None = None,
 ) -> DataFrame:
-    """One row per row: uid (any number), doc_id, n_shingles, component_id and group (any number).
+    """One row per row: uid (any number, or the column named so), doc_id, n_shingles, component_id and group (any number).
 
     Words are ASCII-lower-cased and stand between ASCII white space.  A set holds the distinct
     shingles of five words; a shorter text is one shingle as a whole.  Null texts and texts without
@@ -433,7 +436,7 @@ def jaccard_groups(
     in one group.  An empty table gives no rows.  Other columns are not read.
     """
     heavy = frequent_shingles(docs, text, frequent)
-    members = stored(described(docs, doc_id, text, heavy), "sets")
+    members = stored(described(docs, doc_id, text, heavy, uid), "sets")
     classes = stored(
         members.where("key IS NOT NULL")
         .groupBy("key")
@@ -459,3 +462,24 @@ def jaccard_groups(
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("group", F.col("uid")).alias("group"),
     )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without near copies: of each group the row with the smallest doc_id stays.
+
+    Null identifiers come last; of rows equal in it, one stays.  Empty texts link with nothing and
+    stay.  All columns are kept, whatever their names.  The table is numbered by its partitions, so
+    it has to be read from files, as a stored stage is.
+    """
+    plain, names = renamed(docs)
+    plain = plain.withColumn("_row", F.monotonically_increasing_id())
+    groups = stored(jaccard_groups(plain, names[doc_id], names[text], uid="_row"), "groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "uid")
+    kept = groups.groupBy("group").agg(F.min(rank).alias("kept"), F.count("*").alias("rows"))
+    kept = kept.where("rows > 1").select("group", F.col("kept.uid").alias("keeper"))
+    gone = stored(
+        groups.join(kept, "group").where("uid != keeper").select(F.col("uid").alias("_row")), "gone"
+    )
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return plain.join(gone, "_row", "left_anti").select(*back(names))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+import corpus_pipeline
 from goldseam.llm import (
     exact_dedup,
     jaccard_join,
@@ -85,4 +85,5 @@ def registered() -> dict[str, Query]:
         "op8_token_files": token_files_query,
         "op9_lm_scoring": lm_scoring_query,
         "op10_source_mixing": mixing_query,
+        "pipeline": corpus_pipeline.run,
     }

@@ -1,0 +1,124 @@
+"""The pipeline, stage by stage, against brute force over each stage's own input."""
+
+import inspect
+from collections import Counter
+
+import duckdb
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from goldseam.llm import language_id, queries, sql
+from goldseam.llm.tokens import vocabulary_path
+from tests.llm.tables import documents, empty, rows
+from tests.llm.test_jaccard_join import brute
+from tests.llm.test_tokens import check_packed
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def results(spark, tmp_path_factory):
+    """The folder of each stage's input, and of the last result."""
+    folder = tmp_path_factory.mktemp("stages")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.write.parquet(f"{folder}/0/documents.parquet")
+    for at, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        read = spark.read.parquet(f"{folder}/{at}/documents.parquet")
+        stage(spark, read, "").write.parquet(f"{folder}/{at + 1}/documents.parquet")
+    return [f"{folder}/{at}" for at in range(len(corpus_pipeline.STAGES) + 1)]
+
+
+def read(spark, folder):
+    return rows(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+def by_sql(statement, folder):
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return connection.execute(statement).fetchdf()
+
+
+def test_stages_and_columns(spark, results):
+    names = ["language_id", "line_dedup", "jaccard_join", "source_mixing", "best_fit_packing"]
+    assert [name for name, _ in corpus_pipeline.STAGES] == names
+    assert all(len(inspect.signature(f).parameters) == 3 for _, f in corpus_pipeline.STAGES)
+    for folder in results[:-1]:
+        assert spark.read.parquet(f"{folder}/documents.parquet").columns == COLUMNS
+
+
+def test_language(spark, results):
+    given, kept = read(spark, results[0]), read(spark, results[1])
+    train = spark.read.parquet(f"{results[0]}/documents.parquet").where(
+        "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 != 1"
+    )
+    languages = language_id.learn(train)
+    wanted = []
+    for r in given:
+        lang, _, margin = languages.identify(r["text"])
+        if lang != "und" and margin >= language_id.MIN_MARGIN:
+            wanted.append(r)
+    key = lambda r: r["doc_id"]
+    assert sorted(kept, key=key) == sorted(wanted, key=key)
+    assert len(kept) > 0.9 * len(given)
+
+
+def test_lines(spark, results):
+    expected = by_sql(sql.LINE_DEDUP, results[1])
+    texts = dict(zip(expected["doc_id"], expected["text"], strict=True))
+    found = read(spark, results[2])
+    assert {r["doc_id"]: r["text"] for r in found} == texts
+    assert all(r["n_chars"] == len(r["text"]) for r in found)
+
+
+def test_near_copies(spark, results):
+    given, kept = read(spark, results[2]), read(spark, results[3])
+    groups = brute({r["doc_id"]: r["text"] for r in given})
+    assert sorted(r["doc_id"] for r in kept) == sorted({label for _, label in groups.values()})
+    by_id = {r["doc_id"]: r for r in given}
+    assert all(by_id[r["doc_id"]] == r for r in kept)
+
+
+def test_mixing(spark, results):
+    expected = Counter(by_sql(sql.MIXING, results[3])["doc_id"])
+    assert Counter(r["doc_id"] for r in read(spark, results[4])) == expected
+
+
+def test_packing_and_run(spark, results):
+    library = Tokenizer.from_file(vocabulary_path())
+    library.encode_special_tokens = True
+    docs, found = read(spark, results[4]), read(spark, results[5])
+    copies = Counter(r["doc_id"] for r in docs)
+    once = {r["doc_id"]: r for r in docs}
+    expected, renamed = {}, []
+    for i, r in once.items():
+        ids = [*library.encode(r["text"], add_special_tokens=False).ids, 0]
+        for k in range(copies[i]):
+            expected[i, k] = ids
+    seen = Counter()
+    for r in found:
+        renamed.append(r | {"doc_id": (r["doc_id"], seen[r["doc_id"], r["piece"]])})
+        seen[r["doc_id"], r["piece"]] += 1
+    used, least = check_packed(renamed, expected)
+    assert used <= least * 1.01 + 1
+    again = rows(queries.registered()["pipeline"](spark, "/root/testdata/sf0.001"))
+    content = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
+    assert Counter(tuple(r[c] for c in content) for r in again) == Counter(
+        tuple(r[c] for c in content) for r in found
+    )
+
+
+def test_odd_documents_and_empty_tables(spark, tmp_path):
+    texts = [None, "", "the same text of some words here", "the same text of some words here", "x " * 9000]
+    docs = documents(spark, texts, [None, "a", None, "b", "b"], [None, 1, 2, 2, None]).selectExpr(
+        "*", "1 AS `_row`", "2 AS `group`", "3 AS uid"
+    )
+    for at, given in enumerate((docs, empty(spark))):
+        for name, stage in corpus_pipeline.STAGES:
+            path = f"{tmp_path}/{at}-{name}"
+            given.write.parquet(path)
+            stored = spark.read.parquet(path)
+            given = stage(spark, stored, "")
+            if name != "best_fit_packing":
+                assert given.columns == stored.columns
+        given.collect()
