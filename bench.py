@@ -13,14 +13,14 @@ import statistics
 import sys
 import tempfile
 import time
+import uuid
 from collections.abc import Callable
 
-from checks import queries as registry
+from checks import queries as registry, stock
 from goldseam.operators import dashboards
 from goldseam.plans import pipeline
-from goldseam.plans.warehouse import Warehouse, bronze_of
+from goldseam.plans.warehouse import Warehouse
 from goldseam.session import build_session
-from goldseam.sources.files import ParquetSource
 
 RUNS = 3
 
@@ -91,6 +91,19 @@ def stored_questions(warehouse: Warehouse) -> dict[str, Callable[[], object]]:
     }
 
 
+def bench_root(spark) -> str:
+    """Where the layers are stored: $BENCH_ROOT, or a new folder below the shared one.
+
+    Only a run on this machine alone may do without either.
+    """
+    shared = os.environ.get("BENCH_ROOT") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise SystemExit("set BENCH_ROOT to a folder that all executors share")
+        shared = tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/bench-{uuid.uuid4().hex}"
+
+
 def scale_of(sf_dir: str) -> float | str:
     name = sf_dir.rstrip("/").rsplit("/", 1)[-1].removeprefix("sf")
     try:
@@ -119,10 +132,9 @@ def main() -> None:
         name: median(lambda name=name: consume(queries[name](spark, sf_dir))) for name in chosen
     }
     if not sys.argv[1:]:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        root = tempfile.mkdtemp(prefix="bench-") if not shared else f"{shared}/bench-{os.getpid()}"
-        raw = ParquetSource(spark, sf_dir, registry.PATTERN).read
+        root = bench_root(spark)
         layout = pipeline.Layout(root)
+        raw = stock.reader(spark, sf_dir)
         seconds["stored.build"] = round(timed(lambda: pipeline.run(spark, layout, raw)), 3)
         stored = Warehouse.over_stored(spark, root)
         for name, build in stored_questions(stored).items():

@@ -223,16 +223,7 @@ KEYS = {
     "lineitem": ("l_orderkey", "l_linenumber"),
 }
 
-CHUNK_SIZES = {
-    "region": 1000,
-    "nation": 1000,
-    "supplier": 50000,
-    "customer": 100000,
-    "part": 100000,
-    "partsupp": 200000,
-    "orders": 300000,
-    "lineitem": 500000,
-}
+CHUNK_ROWS = 1000
 
 FACT_KEYS = {
     "fct_sales": ("g_fct_sales", "order_key", "line_number"),
@@ -331,15 +322,33 @@ def _union(selects) -> str:
     return "\nUNION ALL\n".join(selects)
 
 
+def _manifest(table: str) -> str:
+    """The largest power-of-two range around each key that has at most CHUNK_ROWS rows."""
+    key = KEYS[table][0]
+    return f"""
+        SELECT '{table}' AS table_name,
+               CAST(row_number() OVER (ORDER BY low_key NULLS LAST) - 1 AS INTEGER) AS chunk_id,
+               low_key, high_key, row_count
+        FROM (WITH k AS (SELECT {key} AS k, count(*) AS n FROM b_{table}
+                         WHERE {key} IS NOT NULL GROUP BY 1),
+                   r AS (SELECT l, CAST(floor(k / pow(2, l)) AS BIGINT) AS b, k, n
+                         FROM k, (SELECT unnest(range(0, 63)) AS l)),
+                   c AS (SELECT l, b, sum(n) AS n FROM r GROUP BY l, b),
+                   best AS (SELECT r.k, r.n,
+                                   coalesce(max(r.l) FILTER (c.n <= {CHUNK_ROWS}), 0) AS l
+                            FROM r JOIN c USING (l, b) GROUP BY r.k, r.n)
+              SELECT CAST(floor(k / pow(2, l)) * pow(2, l) AS BIGINT) AS low_key,
+                     CAST((floor(k / pow(2, l)) + 1) * pow(2, l) AS BIGINT) AS high_key,
+                     CAST(sum(n) AS BIGINT) AS row_count
+              FROM best GROUP BY 1, 2
+              UNION ALL
+              SELECT NULL, NULL, count(*) FROM b_{table} WHERE {key} IS NULL
+              HAVING count(*) > 0) m"""
+
+
 def _sources() -> dict[str, str]:
     counts = _union(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM b_{t}" for t in TABLES)
-    manifest = _union(
-        f"""SELECT '{t}' AS table_name,
-            CAST(floor({KEYS[t][0]} / {size}.0) AS BIGINT) AS chunk_id,
-            min({KEYS[t][0]}) AS min_key, max({KEYS[t][0]}) AS max_key, count(*) AS row_count
-            FROM b_{t} GROUP BY 2"""
-        for t, size in CHUNK_SIZES.items()
-    )
+    manifest = _union(_manifest(t) for t in TABLES)
     info = _union(
         f"""SELECT '{t}' AS table_name, (SELECT count(*) FROM b_{t}) AS row_count,
             position, column_name, column_type
@@ -552,7 +561,8 @@ def _quality() -> dict[str, str]:
     keys = {t: (f"s_{t}", *key) for t, key in KEYS.items()} | FACT_KEYS
     unique = _union(
         f"""SELECT '{t}' AS table_name, 'unique:{",".join(key)}' AS rule,
-            CAST(sum(n) AS BIGINT) AS checked, CAST(sum(n - 1) AS BIGINT) AS failed
+            CAST(coalesce(sum(n), 0) AS BIGINT) AS checked,
+            CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS failed
             FROM (SELECT count(*) AS n FROM {relation}
                   WHERE {" AND ".join(f"{c} IS NOT NULL" for c in key)}
                   GROUP BY {", ".join(key)}) k"""
@@ -591,7 +601,8 @@ def _quality() -> dict[str, str]:
         "dq_score": f"""
             SELECT count(*) AS rules, CAST(sum(checked) AS BIGINT) AS checked,
                    CAST(sum(failed) AS BIGINT) AS failed,
-                   1 - CAST(sum(failed) AS DOUBLE) / CAST(sum(checked) AS DOUBLE) AS score
+                   1 - CAST(sum(failed) AS DOUBLE) / NULLIF(CAST(sum(checked) AS DOUBLE), 0)
+                       AS score
             FROM ({_union([not_null, ranges, accepted, unique, relationships])}) r""",
     }
 

@@ -12,34 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from checks import stock
 from goldseam.operators import bronze, dashboards, profile, silver
-from goldseam.plans import quality
-from goldseam.plans.warehouse import MARTS, Warehouse
+from goldseam.plans import pipeline, quality
+from goldseam.plans.warehouse import MARTS, Warehouse, bronze_of
 from goldseam.schemas import TABLES
-from goldseam.session import tune
 from goldseam.sources import chunks
-from goldseam.sources.files import ParquetSource
+from goldseam.sources.files import ParquetSource, list_files, read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PATTERN = "{table}.parquet"
-CONCAT_CHUNKS = 4
+# Rows of a chunk in the manifest: few enough for several chunks of every large table.
+CHUNK_ROWS = 1_000
 
 # A standard deviation is a floating-point sum, whose last digits depend on its order.
 NINE_DIGITS = "IF(stddev IS NOT NULL, CAST(format_string('%.8e', stddev) AS DOUBLE), NULL)"
 
-_opened: dict[tuple[SparkSession, str], Warehouse] = {}
-
-
 def open_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """The warehouse over a directory of raw tables, opened once per session.
-
-    Opening lists the files, sizes shuffles by them and reads schemas; no data is kept.
-    """
-    if (spark, sf_dir) not in _opened:
-        tune(spark, ParquetSource(spark, sf_dir, PATTERN).input_bytes())
-        _opened[spark, sf_dir] = Warehouse.over_raw(spark, sf_dir, PATTERN)
-    return _opened[spark, sf_dir]
+    """The warehouse over a directory of raw tables."""
+    return Warehouse(bronze=bronze_of(stock.reader(spark, sf_dir)))
 
 
 def as_doubles(df: DataFrame) -> DataFrame:
@@ -58,11 +49,9 @@ def registered() -> dict[str, Query]:
         "fct_revenue_by_supplier": lambda w: w.mart("fct_revenue_by_supplier"),
         "src_bronze_scan": lambda w: _per_table(w, profile.row_counts),
         "src_chunk_manifest": lambda w: profile.over_tables(
-            [chunks.chunk_manifest(w.bronze(t.name), t) for t in TABLES.values()]
-        ),
-        "src_ingest_report": lambda w: _per_table(w, profile.row_counts).withColumn(
-            "status", F.lit("loaded")
+            [chunks.chunk_manifest(w.bronze(t.name), t, CHUNK_ROWS) for t in TABLES.values()]
         ),
+        "src_ingest_report": _ingest_report,
         "src_table_info": lambda w: _per_table(w, profile.table_info),
         "silver_row_delta": lambda w: _per_table(w, silver.row_delta),
         "profile_row_counts": lambda w: profile.over_tables(
@@ -122,10 +111,13 @@ def _over_directory(build: Callable[[Warehouse], DataFrame]) -> Query:
 
 
 def _concat_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineitem cut into key ranges, each typed on its own, and put together again."""
-    open_warehouse(spark, sf_dir)
-    raw = ParquetSource(spark, sf_dir, PATTERN).read("lineitem")
-    key = TABLES["lineitem"].key[0]
-    low, high = raw.agg(F.min(key), F.max(key)).first()
-    pieces = chunks.split(raw, key, chunks.key_ranges(low or 0, high or 0, CONCAT_CHUNKS))
-    return as_doubles(bronze.concat([bronze.conform(piece, "lineitem") for piece in pieces]))
+    """All files of lineitem, in one scan, typed."""
+    source = ParquetSource(spark, sf_dir, stock.PATTERN)
+    files = [r.path for r in list_files(spark, source.path("lineitem")).select("path").collect()]
+    return as_doubles(bronze.conform(read_parquet(spark, *files), "lineitem"))
+
+
+def _ingest_report(warehouse: Warehouse) -> DataFrame:
+    """What the ingest reports of each table; nothing is written."""
+    counts = {t: lambda t=t: warehouse.bronze(t).count() for t in TABLES}
+    return pipeline.report(warehouse.bronze("region").sparkSession, counts)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from goldseam.schemas import MONEY, TABLES
@@ -40,30 +39,3 @@ def _typed(source: T.StructField | None, kind: str) -> str:
 def concat(frames: list[DataFrame]) -> DataFrame:
     """Put the chunks of one table together by column name."""
     return reduce(DataFrame.unionByName, frames)
-
-
-def stock_from_lines(lineitem: DataFrame) -> DataFrame:
-    """Part-supplier stock for sources without a ``partsupp`` table.
-
-    One row per (part, supplier) pair sold, quantity and cost being fixed functions of the
-    two keys.  The duplicate elimination combines on the map side, so a hot pair costs one
-    row per task.
-    """
-    p, s = F.col("ps_partkey"), F.col("ps_suppkey")
-    band = (31 * p + 17 * s) % 10
-    quantity = (
-        F.when(band == 0, (p + s) % 101)
-        .when(band < 4, 101 + (7 * p + s) % 900)
-        .otherwise(1001 + (13 * p + 29 * s) % 8999)
-    )
-    cents = 100 + (53 * p + 97 * s) % 99900
-    pairs = lineitem.select(
-        F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")
-    ).distinct()
-    return pairs.select(
-        p,
-        s,
-        quantity.cast(MONEY).alias("ps_availqty"),
-        (cents.cast("decimal(17,2)") / 100).cast(MONEY).alias("ps_supplycost"),
-        F.lit(None).cast("string").alias("ps_comment"),
-    )

@@ -53,17 +53,18 @@ def null_counts(df: DataFrame, table: str) -> DataFrame:
 
 
 def cardinality(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
-    """Distinct values per column, NULL counting as a value.
+    """Distinct values per column, NULL counting as a value; 0 in an empty table.
 
     The exact form turns the columns into (column, value) pairs and removes duplicates on the
-    map side before the shuffle, so only distinct values travel.  The approximate form keeps
-    one sketch per column and shuffles no values at all.
+    map side before the shuffle, so only distinct values travel: whole numbers and dates as
+    numbers, decimals as decimals, the rest as text.  The approximate form keeps one sketch per
+    column and shuffles no values at all.
     """
     columns = df.columns
     if approximate:
         sketches = df.selectExpr(
             *(
-                f"approx_count_distinct(`{c}`) + max(int(`{c}` IS NULL)) AS d{i}"
+                f"approx_count_distinct(`{c}`) + coalesce(max(int(`{c}` IS NULL)), 0) AS d{i}"
                 for i, c in enumerate(columns)
             )
         )
@@ -71,25 +72,47 @@ def cardinality(df: DataFrame, table: str, approximate: bool = False) -> DataFra
         return sketches.selectExpr(
             f"'{table}' AS table_name", _stack(counted, "column_name", "distinct_values")
         )
-    cells = [(str(i), _as_text(f)) for i, f in enumerate(df.schema.fields)]
-    names = ", ".join(f"'{c}'" for c in columns)
-    return (
-        df.selectExpr(_stack(cells, "column_no", "value"))
+    scale = max((f.dataType.scale for f in df.schema.fields if _is_decimal(f)), default=0)
+    cells = [(str(i), *_typed_cell(f, scale)) for i, f in enumerate(df.schema.fields)]
+    per_column = (
+        df.selectExpr(_stack(cells, "column_no", "whole", "amount", "words"))
         .distinct()
         .groupBy("column_no")
-        .agg(F.count(F.lit(1)).alias("distinct_values"))
-        .selectExpr(
-            f"'{table}' AS table_name",
-            f"get(array({names}), column_no) AS column_name",
-            "distinct_values",
-        )
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    # One row even without input; its map has an entry per column that has rows.
+    found = per_column.agg(
+        F.map_from_entries(F.collect_list(F.struct("column_no", "n"))).alias("found")
+    )
+    counted = [(f"'{c}'", f"coalesce(found[{i}], 0L)") for i, c in enumerate(columns)]
+    return found.selectExpr(
+        f"'{table}' AS table_name", _stack(counted, "column_name", "distinct_values")
     )
 
 
+def _is_decimal(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.DecimalType)
+
+
+def _typed_cell(field: T.StructField, scale: int) -> tuple[str, str, str]:
+    """A value in the slot of its kind: whole number, decimal of the given scale, or text."""
+    column, kind = f"`{field.name}`", field.dataType
+    whole, amount, words = "CAST(NULL AS BIGINT)", f"CAST(NULL AS DECIMAL(38,{scale}))", "NULL"
+    if isinstance(kind, T.DateType):
+        whole = f"CAST(unix_date({column}) AS BIGINT)"
+    elif isinstance(kind, T.IntegralType):
+        whole = f"CAST({column} AS BIGINT)"
+    elif _is_decimal(field) and kind.precision - kind.scale + scale <= 38:
+        amount = f"CAST({column} AS DECIMAL(38,{scale}))"
+    else:
+        words = _as_text(field)
+    return whole, amount, f"CAST({words} AS STRING)"
+
+
 def _as_text(field: T.StructField) -> str:
     fraction = isinstance(field.dataType, (T.FloatType, T.DoubleType))
     zero = " + 0.0D" if fraction else ""  # one zero, not two
-    return f"CAST(`{field.name}`{zero} AS STRING)"
+    return f"`{field.name}`{zero}"
 
 
 def numeric_stats(df: DataFrame, table: str) -> DataFrame:

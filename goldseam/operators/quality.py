@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 
 from goldseam import functions as fn
 
-MAX_KEY_COLUMNS = 2
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -75,31 +73,6 @@ def check_rows(df: DataFrame, table: str, rules: list[Rule]) -> DataFrame:
     )
 
 
-def check_unique(tables: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
-    """Surplus rows per key, for all tables in one shuffle.
-
-    Rows are counted per (rule, key) on the map side first; the rule travels as its number.
-    Incomplete keys are left to the not-null rules.
-    """
-    rules = [(table, "unique:" + ",".join(key)) for table, (_, key) in tables.items()]
-    parts = [f"k{i}" for i in range(MAX_KEY_COLUMNS)]
-    keyed = _union(
-        df.dropna(subset=list(key)).selectExpr(
-            f"{number} AS rule_no",
-            *(
-                f"{_key(df, key[i]) if i < len(key) else 'CAST(NULL AS BIGINT)'} AS {part}"
-                for i, part in enumerate(parts)
-            ),
-        )
-        for number, (df, key) in enumerate(tables.values())
-    )
-    per_key = keyed.groupBy("rule_no", *parts).agg(F.count(F.lit(1)).alias("n"))
-    per_rule = per_key.groupBy("rule_no").agg(
-        F.sum("n").alias("checked"), F.sum(F.col("n") - 1).alias("failed")
-    )
-    return _named(per_rule, rules)
-
-
 @dataclass(frozen=True)
 class Reference:
     """``child.column`` should hold a value of ``parent.parent_column`` or NULL."""
@@ -114,50 +87,84 @@ class Reference:
         return f"relationship:{self.column}->{self.parent}.{self.parent_column}"
 
 
-def check_references(frames: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
-    """Rows whose reference finds no parent, for all references in one shuffle and no join.
+def check_unique(tables: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
+    """Surplus rows per key, for all tables in one shuffle."""
+    frames = {table: df for table, (df, _) in tables.items()}
+    return check_keys(frames, {table: key for table, (_, key) in tables.items()}, [])
+
 
-    Every table is scanned once and gives its references and the keys others refer to; both
-    meet in one aggregate per (reference, key).  It combines on the map side, so a key that
-    most rows share arrives as one row per task.
+def check_references(frames: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
+    """Rows whose reference finds no parent, for all references in one shuffle and no join."""
+    return check_keys(frames, {}, references)
+
+
+def check_keys(
+    frames: dict[str, DataFrame],
+    unique: dict[str, tuple[str, ...]],
+    references: list[Reference],
+) -> DataFrame:
+    """Rules on unique keys and on references, from one scan of each relation and one shuffle.
+
+    A relation gives an entry per row and rule it takes part in: its unique key, its references
+    and the keys that others refer to.  They meet in one aggregate per (rule, key), which combines
+    on the map side, so a key that most rows share arrives as one row per task.  Rules travel as
+    numbers; incomplete keys are left to the not-null rules.  A rule is reported with zeros where
+    nothing was there to check.
     """
+    rules = [(t, "unique:" + ",".join(key)) for t, key in unique.items()]
+    rules += [(r.child, r.rule) for r in references]
+    width = max([1, *(len(key) for key in unique.values())])
+    parts = [f"k{i}" for i in range(width)]
     sides = []
     for name, df in frames.items():
-        entries = [
-            f"{number}, {_key(df, column)}, {is_parent}"
-            for number, r in enumerate(references)
-            for relation, column, is_parent in (
-                (r.child, r.column, "false"),
-                (r.parent, r.parent_column, "true"),
-            )
-            if relation == name
-        ]
+        entries = []
+        for number, (table, key) in enumerate(unique.items()):
+            if table == name:
+                entries.append(_entry(number, df, key, width, "false"))
+        for number, r in enumerate(references, start=len(unique)):
+            if r.child == name:
+                entries.append(_entry(number, df, (r.column,), width, "false"))
+            if r.parent == name:
+                entries.append(_entry(number, df, (r.parent_column,), width, "true"))
         if entries:
-            rows = f"stack({len(entries)}, {', '.join(entries)}) AS (rule_no, key, is_parent)"
-            sides.append(df.selectExpr(rows))
+            columns = ", ".join(["rule_no", *parts, "is_parent"])
+            sides.append(
+                df.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) AS ({columns})")
+            )
     per_key = (
         _union(sides)
-        .filter(F.col("key").isNotNull())
-        .groupBy("rule_no", "key")
+        .filter(F.col("k0").isNotNull())
+        .groupBy("rule_no", *parts)
         .agg(F.count_if(~F.col("is_parent")).alias("n"), F.max("is_parent").alias("has_parent"))
     )
+    surplus = F.when(F.col("rule_no") < len(unique), F.col("n") - 1)
     per_rule = per_key.groupBy("rule_no").agg(
         F.sum("n").alias("checked"),
-        F.sum(F.when(F.col("has_parent"), 0).otherwise(F.col("n"))).alias("failed"),
+        F.sum(surplus.when(F.col("has_parent"), 0).otherwise(F.col("n"))).alias("failed"),
+    )
+    # One row even without input; its map has an entry per rule that checked something.
+    found = per_rule.agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("rule_no", F.struct("checked", "failed")))
+        ).alias("found")
+    )
+    listed = ", ".join(
+        f"'{table}', '{rule}', coalesce(found[{i}].checked, 0L), coalesce(found[{i}].failed, 0L)"
+        for i, (table, rule) in enumerate(rules)
+    )
+    return found.selectExpr(
+        f"stack({len(rules)}, {listed}) AS (table_name, rule, checked, failed)"
     )
-    return _named(per_rule, [(r.child, r.rule) for r in references])
 
 
-def _named(per_rule: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Replace rule numbers by table and rule names."""
-    tables = ", ".join(f"'{t}'" for t, _ in rules)
-    names = ", ".join(f"'{r}'" for _, r in rules)
-    return per_rule.selectExpr(
-        f"get(array({tables}), rule_no) AS table_name",
-        f"get(array({names}), rule_no) AS rule",
-        "checked",
-        "failed",
-    )
+def _entry(number: int, df: DataFrame, key: tuple[str, ...], width: int, is_parent: str) -> str:
+    """A row of the stack; an incomplete key has no first part."""
+    parts = [_key(df, column) for column in key]
+    if len(key) > 1:
+        whole = " AND ".join(f"{column} IS NOT NULL" for column in key)
+        parts[0] = f"IF({whole}, {parts[0]}, NULL)"
+    parts += ["CAST(NULL AS BIGINT)"] * (width - len(parts))
+    return ", ".join([str(number), *parts, is_parent])
 
 
 def _key(df: DataFrame, column: str) -> str:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,8 +73,9 @@ def row_filter(table: str, rules: str = "standard") -> Column | None:
     if rules not in RULE_SETS:
         raise ValueError(f"unknown rule set {rules!r}, expected one of {RULE_SETS}")
     cleaning = CLEANING[table]
-    chosen = cleaning.keep or (cleaning.keep_strict if rules == "strict" else None)
-    return chosen() if chosen else None
+    chosen = [cleaning.keep, cleaning.keep_strict if rules == "strict" else None]
+    conditions = [keep() for keep in chosen if keep]
+    return reduce(operator.and_, conditions) if conditions else None
 
 
 def clean(bronze: DataFrame, table: str, rules: str = "standard") -> DataFrame:

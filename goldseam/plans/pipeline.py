@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import argparse
 import logging
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Collection, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from goldseam.operators import bronze, silver
 from goldseam.plans import quality
 from goldseam.plans.warehouse import Warehouse, bronze_of
 from goldseam.schemas import TABLES
-from goldseam.session import build_session, tune
-from goldseam.sinks.files import with_audit, write_parquet
+from goldseam.session import build_session, sized
+from goldseam.sinks.files import register_table, with_audit, write_parquet
 from goldseam.sinks.warehouse import (
     LOAD_ORDER,
     REPORT_SCHEMA,
@@ -27,17 +28,33 @@ from goldseam.sinks.warehouse import (
     Sink,
     load_all,
 )
-from goldseam.sources.files import BronzeStore, ParquetSource
+from goldseam.sources.files import ParquetSource
 from goldseam.sources.jdbc import JdbcSource
 
 log = logging.getLogger(__name__)
 
 STAGES = ("ingest", "model", "all")
+LOADED, FAILED = "loaded", "failed"
 # Marts of one step need only marts of earlier steps.
 GOLD_STEPS = (
     ("dim_date", "dim_customer", "dim_supplier", "dim_part", "fct_sales"),
     ("fct_inventory", "fct_revenue_by_supplier"),
 )
+# Tables and marts that each mart is built from.
+NEEDS = {
+    "dim_date": ("orders",),
+    "dim_customer": ("customer", "nation", "region"),
+    "dim_supplier": ("supplier", "nation", "region"),
+    "dim_part": ("part",),
+    "fct_sales": ("lineitem", "orders"),
+    "fct_inventory": ("partsupp", "dim_part", "dim_supplier"),
+    "fct_revenue_by_supplier": ("fct_sales",),
+}
+# Stored facts are partitioned by the year of a date, which predicates on the year prune.
+PARTITIONS = {
+    "fct_sales": {"order_year": "order_date"},
+    "fct_revenue_by_supplier": {"date_year": "date_key"},
+}
 
 
 @dataclass(frozen=True)
@@ -50,60 +67,78 @@ class Layout:
         return f"{self.root.rstrip('/')}/{layer}/{name}".rstrip("/")
 
 
-def extract(spark: SparkSession, raw: Callable[[str], DataFrame], layout: Layout) -> DataFrame:
-    """Write every table to Bronze; report a table that fails and go on with the others.
+def extract(
+    spark: SparkSession, raw: Callable[[str], DataFrame], layout: Layout
+) -> DataFrame:
+    """Write every table to Bronze; report a table that fails, whatever the reason, and go on.
 
     The tables are independent Spark jobs and are submitted together, so small ones fill the
-    gaps the large ones leave.
+    gaps the large ones leave.  A failed table keeps the Bronze of an earlier run.
     """
     typed = bronze_of(raw)
+    return _stage(
+        spark, TABLES, lambda table: write_parquet(typed(table), layout.path("bronze", table))
+    )
 
-    def one(table: str) -> tuple[str, int | None, str]:
-        try:
-            return table, write_parquet(typed(table), layout.path("bronze", table)), "loaded"
-        except PySparkException as error:
-            log.error("extract of %s failed: %s", table, error)
-            return table, None, "failed"
-
-    return spark.createDataFrame(_together(one, TABLES), REPORT_SCHEMA)
 
+def transform(
+    spark: SparkSession,
+    layout: Layout,
+    rules: str = "standard",
+    failed: Collection[str] = (),
+) -> DataFrame:
+    """Clean every Bronze table into Silver, but for those that failed to be extracted."""
+    store = ParquetSource(spark, layout.path("bronze"))
 
-def transform(spark: SparkSession, layout: Layout, rules: str = "standard") -> DataFrame:
-    """Clean every Bronze table that is there into Silver."""
-    store = BronzeStore(spark, layout.path("bronze"))
-
-    def one(table: str) -> tuple[str, int | None, str]:
-        try:
-            source = store.read(table)
-        except AnalysisException as error:
-            log.error("no Bronze %s: %s", table, error)
-            return table, None, "missing"
-        cleaned = silver.clean(bronze.conform(source, table), table, rules)
-        return table, write_parquet(cleaned, layout.path("silver", table)), "loaded"
+    def one(table: str) -> int:
+        if table in failed:
+            raise StageFailed(f"{table} was not extracted in this run")
+        typed = bronze.conform(store.read(table), table)
+        return write_parquet(silver.clean(typed, table, rules), layout.path("silver", table))
 
-    return spark.createDataFrame(_together(one, TABLES), REPORT_SCHEMA)
+    return _stage(spark, TABLES, one)
 
 
-def model(spark: SparkSession, layout: Layout, run_at: datetime | None = None) -> DataFrame:
-    """Build and store the marts, those of one step together.
+def model(
+    spark: SparkSession,
+    layout: Layout,
+    run_at: datetime | None = None,
+    failed: Collection[str] = (),
+) -> DataFrame:
+    """Build and store the marts, those of one step together, as catalog tables ``gold.<mart>``.
 
-    Later marts read the stored earlier ones, so the join of lines and orders is paid once.
+    Later marts read the stored earlier ones, so the join of lines and orders is paid once.  A mart
+    that needs a failed table or mart fails, and its last good version stays.
     """
     run_at = run_at or datetime.now(UTC).replace(tzinfo=None)
-    stored: set[str] = set()
-    rows = []
+    out, stored, rows = set(failed), set(), []
     for step in GOLD_STEPS:
         warehouse = _Modelling(spark, layout, frozenset(stored))
 
-        def one(name: str) -> tuple[str, int, str]:
+        def one(name: str) -> int:
+            if bad := sorted(out.intersection(NEEDS[name])):
+                raise StageFailed(f"{name} needs {', '.join(bad)}")
             dated = with_audit(warehouse.mart(name), run_at)
-            return name, write_parquet(dated, layout.path("gold", name)), "loaded"
-
-        rows += _together(one, step)
+            split = PARTITIONS.get(name, {})
+            for column, source in split.items():
+                dated = dated.withColumn(column, F.year(source))
+            if split:  # files of even size, however many rows a year has
+                dated = dated.hint("rebalance", *split)
+            written = write_parquet(dated, layout.path("gold", name), tuple(split))
+            register_table(spark, f"gold.{name}", layout.path("gold", name), tuple(split))
+            return written
+
+        done = _together(_reported(one), step)
+        rows += done
+        out.update(name for name, _, status in done if status != LOADED)
         stored.update(step)
     return spark.createDataFrame(rows, REPORT_SCHEMA)
 
 
+class StageFailed(RuntimeError):
+    """A table that can't be built in this run."""
+
+
 class _Modelling(Warehouse):
     """Silver from storage, and those marts from storage that are already written."""
 
@@ -116,10 +151,15 @@ class _Modelling(Warehouse):
         return self._gold_store.read(name) if name in self._stored else super()._build(name)
 
 
-def load(spark: SparkSession, layout: Layout, sink: Sink) -> DataFrame:
-    """Load the stored marts in order."""
+def load(
+    spark: SparkSession, layout: Layout, sink: Sink, failed: Collection[str] = ()
+) -> DataFrame:
+    """Load the stored marts in order; those that failed to be built are reported, not loaded."""
     stored = ParquetSource(spark, layout.path("gold"))
-    return load_all(spark, {name: stored.read(name) for name in LOAD_ORDER}, sink)
+    good = {name: stored.read(name) for name in LOAD_ORDER if name not in failed}
+    report = load_all(spark, good, sink)
+    bad = [(name, None, FAILED) for name in LOAD_ORDER if name in failed]
+    return report.unionByName(spark.createDataFrame(bad, REPORT_SCHEMA)) if bad else report
 
 
 def run(
@@ -129,37 +169,94 @@ def run(
     sink: Sink | None = None,
     stage: str = "all",
 ) -> dict[str, DataFrame]:
-    """Run one stage or all of them and return their reports."""
+    """Run one stage or all of them and return their reports.
+
+    What an ingest could not bring up to date is remembered beside the layers, so a later run of
+    ``model`` alone builds nothing from it either.
+    """
     if stage not in STAGES:
         raise ValueError(f"unknown stage {stage!r}, expected one of {STAGES}")
     reports = {}
     if stage in ("ingest", "all"):
         if raw is None:
             raise ValueError("ingest needs a source")
-        reports["extract"] = extract(spark, raw, layout)
-        tune(spark, ParquetSource(spark, layout.path("bronze")).input_bytes())
-        reports["transform"] = transform(spark, layout)
+        with sized(spark, _raw_bytes(raw)):
+            reports["extract"] = extract(spark, raw, layout)
+        with sized(spark, _bytes_below(spark, layout.path("bronze"))):
+            reports["transform"] = transform(
+                spark, layout, failed=not_loaded(reports["extract"])
+            )
+        write_parquet(reports["transform"].coalesce(1), layout.path("runs", "ingest"))
     if stage in ("model", "all"):
-        tune(spark, ParquetSource(spark, layout.path("silver")).input_bytes())
-        reports["model"] = model(spark, layout)
-        if sink is not None:
-            reports["load"] = load(spark, layout, sink)
+        last = ParquetSource(spark, layout.path("runs")).read("ingest")
+        with sized(spark, _bytes_below(spark, layout.path("silver"))):
+            reports["model"] = model(spark, layout, failed=not_loaded(last))
+            if sink is not None:
+                reports["load"] = load(spark, layout, sink, not_loaded(reports["model"]))
     return reports
 
 
+def not_loaded(report: DataFrame) -> set[str]:
+    """The tables of a report that did not get through."""
+    return {r.table_name for r in report.filter(F.col("status") != LOADED).collect()}
+
+
+def _raw_bytes(raw: Callable[[str], DataFrame]) -> int:
+    """Size of the raw tables as far as their plans tell it; a database doesn't."""
+    source = getattr(raw, "__self__", None)
+    return source.input_bytes() if isinstance(source, ParquetSource) else 0
+
+
+def _bytes_below(spark: SparkSession, path: str) -> int:
+    try:
+        return ParquetSource(spark, path).input_bytes()
+    except AnalysisException:  # nothing is stored there
+        return 0
+
+
+def report(spark: SparkSession, work: dict[str, Callable[[], int]]) -> DataFrame:
+    """Do each table's work, which gives its rows, and report them and how it went."""
+    return _stage(spark, work, lambda table: work[table]())
+
+
+def _stage(spark: SparkSession, tables: Iterable[str], one: Callable[[str], int]) -> DataFrame:
+    return spark.createDataFrame(_together(_reported(one), tables), REPORT_SCHEMA)
+
+
+def _reported(one: Callable[[str], int]) -> Callable[[str], tuple[str, int | None, str]]:
+    """Run one table's work; any failure is logged and becomes its status."""
+
+    def reported(table: str) -> tuple[str, int | None, str]:
+        try:
+            return table, one(table), LOADED
+        except Exception as error:
+            log.error("%s failed: %s", table, error)
+            return table, None, FAILED
+
+    return reported
+
+
 def _together(one: Callable[[str], tuple], tables: Iterable[str]) -> list[tuple]:
     names = list(tables)
     with ThreadPoolExecutor(max_workers=len(names)) as pool:
         return list(pool.map(one, names))
 
 
-def validate(spark: SparkSession, layout: Layout) -> dict[str, DataFrame]:
-    """Quality rules over the stored layers, and their score."""
+def validate(
+    spark: SparkSession, layout: Layout, sink: Sink | None = None
+) -> dict[str, DataFrame]:
+    """Quality rules over the stored layers, their score, and the rows of every layer."""
     warehouse = Warehouse.over_stored(spark, layout.root)
-    return {"quality": quality.results(warehouse), "score": quality.score(warehouse)}
+    with sized(spark, _bytes_below(spark, layout.path("silver"))):
+        return {
+            "quality": quality.results(warehouse),
+            "score": quality.score(warehouse),
+            "reconcile": quality.reconcile(warehouse, sink),
+        }
 
 
 def main(argv: list[str] | None = None) -> int:
+    """0 if every table got through and the score is high enough, else 1."""
     args = _arguments().parse_args(argv)
     spark = build_session("goldseam")
     raw = None
@@ -170,17 +267,22 @@ def main(argv: list[str] | None = None) -> int:
         raw = ParquetSource(spark, args.source, args.pattern).read
     sink = None
     if args.target_url:
-        sink = JdbcSink(spark, args.target_url, _properties(args.target_properties))
+        properties = _properties(args.target_properties)
+        sink = JdbcSink(spark, args.target_url, properties, connections=args.target_connections)
     elif args.target:
         sink = ParquetSink(spark, args.target)
     layout = Layout(args.root)
     reports = run(spark, layout, raw, sink, args.stage)
-    if args.validate:
-        reports |= validate(spark, layout)
+    good = not any(not_loaded(report) for report in reports.values())
+    if args.validate and good:
+        found = validate(spark, layout, sink)
+        score = found["score"].first().score
+        good = score is not None and score >= args.min_score
+        reports |= found
     for name, report in reports.items():
         print(name)
         report.show(1000, truncate=False)
-    return 0
+    return 0 if good else 1
 
 
 def _properties(path: str | None) -> dict[str, str]:
@@ -203,7 +305,13 @@ def _arguments() -> argparse.ArgumentParser:
     parser.add_argument("--target", help="directory to load Gold into")
     parser.add_argument("--target-url", help="JDBC URL to load Gold into")
     parser.add_argument("--target-properties", help="file of JDBC properties")
+    parser.add_argument(
+        "--target-connections", type=int, help="most connections to the target at once"
+    )
     parser.add_argument("--validate", action="store_true", help="run the quality rules at the end")
+    parser.add_argument(
+        "--min-score", type=float, default=0.99, help="least quality score of a good run"
+    )
     return parser
 
 

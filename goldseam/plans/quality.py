@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from goldseam.operators import quality as q
 from goldseam.plans.warehouse import Warehouse
 from goldseam.schemas import TABLES
+from goldseam.sinks.warehouse import Sink
 
 # Grain of each fact.
 FACT_KEYS = {
@@ -51,7 +52,7 @@ def accepted_values(warehouse: Warehouse) -> DataFrame:
 
 
 def unique(warehouse: Warehouse) -> DataFrame:
-    keys = {t.name: t.key for t in TABLES.values()} | FACT_KEYS
+    keys = _unique_keys()
     return q.check_unique({name: (_relation(warehouse, name), key) for name, key in keys.items()})
 
 
@@ -60,26 +61,48 @@ def relationships(warehouse: Warehouse) -> DataFrame:
     return q.check_references({n: _relation(warehouse, n) for n in names}, REFERENCES)
 
 
-def reconcile(warehouse: Warehouse) -> DataFrame:
-    """Rows of each table in Bronze and Silver and of the Gold relation made from it."""
-    gold = {
-        "customer": "dim_customer",
-        "supplier": "dim_supplier",
-        "part": "dim_part",
-        "lineitem": "fct_sales",
-        "partsupp": "fct_inventory",
-    }
-    return q.reconcile(
+def keys(warehouse: Warehouse) -> DataFrame:
+    """Unique keys and references together: every relation is scanned once."""
+    unique_keys = _unique_keys()
+    names = dict.fromkeys([*unique_keys, *(n for r in REFERENCES for n in (r.child, r.parent))])
+    return q.check_keys({n: _relation(warehouse, n) for n in names}, unique_keys, REFERENCES)
+
+
+def _unique_keys() -> dict[str, tuple[str, ...]]:
+    return {t.name: t.key for t in TABLES.values()} | FACT_KEYS
+
+
+# The Gold relation with a row per row of a table.
+GOLD_OF = {
+    "customer": "dim_customer",
+    "supplier": "dim_supplier",
+    "part": "dim_part",
+    "lineitem": "fct_sales",
+    "partsupp": "fct_inventory",
+}
+
+
+def reconcile(warehouse: Warehouse, sink: Sink | None = None) -> DataFrame:
+    """Rows of each table in Bronze and Silver, of the Gold relation made from it, and, given the
+    sink that was loaded, of that relation there."""
+    counted = q.reconcile(
         {
             "bronze": {t: warehouse.bronze(t) for t in TABLES},
             "silver": {t: warehouse.silver(t) for t in TABLES},
-            "gold": {t: warehouse.mart(m) for t, m in gold.items()},
+            "gold": {t: warehouse.mart(m) for t, m in GOLD_OF.items()},
         }
     )
+    if sink is None:
+        return counted
+    loaded = "".join(f" WHEN '{t}' THEN {sink.row_count(m)}L" for t, m in GOLD_OF.items())
+    return counted.selectExpr("*", f"CASE table_name{loaded} END AS warehouse_rows")
 
 
 def results(warehouse: Warehouse) -> DataFrame:
-    """Every rule of every family; not-null and range rules of a table share its scan."""
+    """Every rule of every family.
+
+    Not-null and range rules of a table share a scan, and so do all its key rules.
+    """
     delivered = [
         q.check_rows(
             warehouse.bronze(t.name),
@@ -88,9 +111,7 @@ def results(warehouse: Warehouse) -> DataFrame:
         )
         for t in TABLES.values()
     ]
-    return _union(
-        [*delivered, accepted_values(warehouse), unique(warehouse), relationships(warehouse)]
-    )
+    return _union([*delivered, accepted_values(warehouse), keys(warehouse)])
 
 
 def score(warehouse: Warehouse) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from goldseam.operators import bronze, dimensions, facts, silver, staging
-from goldseam.sources.files import BronzeStore, ParquetSource
+from goldseam.sources.files import ParquetSource
 
 Reader = Callable[[str], DataFrame]
 
@@ -24,19 +23,8 @@ MARTS = (
 
 
 def bronze_of(raw: Reader) -> Reader:
-    """Typed tables of a raw source; ``partsupp`` is derived where the source has none."""
-
-    def table(name: str) -> DataFrame:
-        if name != "partsupp":
-            return bronze.conform(raw(name), name)
-        try:
-            return bronze.conform(raw(name), name)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return bronze.stock_from_lines(bronze.conform(raw("lineitem"), "lineitem"))
-
-    return table
+    """Typed tables of a raw source."""
+    return lambda name: bronze.conform(raw(name), name)
 
 
 class Warehouse:
@@ -67,7 +55,7 @@ class Warehouse:
         """A warehouse whose layers were written below ``root`` by the pipeline."""
         root = root.rstrip("/")
         return cls(
-            bronze=BronzeStore(spark, f"{root}/bronze").read,
+            bronze=bronze_of(ParquetSource(spark, f"{root}/bronze").read),
             silver=ParquetSource(spark, f"{root}/silver").read,
             gold=ParquetSource(spark, f"{root}/gold").read,
         )

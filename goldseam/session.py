@@ -3,21 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-MB = 1024 * 1024
-
 # Compressed input per shuffle partition; rows take several times as much in memory.
-TARGET_PARTITION_BYTES = 64 * MB
-
-# The driver keeps a status of every map task with an entry per shuffle partition.
-MAX_SHUFFLE_PARTITIONS = 100_000
-MAX_SCAN_TASKS = 100_000
-SCAN_BYTES = 128 * MB
+PARTITION_BYTES = 64 * 1024 * 1024
 
 _INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-_SCAN_BYTES = "spark.sql.files.maxPartitionBytes"
 _FORCE_SKEW_SPLIT = "spark.sql.adaptive.forceOptimizeSkewedJoin"
 
 
@@ -38,31 +32,37 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
     return builder.getOrCreate()
 
 
-def shuffle_partitions_for(input_bytes: int, at_least: int = 1) -> int:
+def shuffle_partitions_for(
+    input_bytes: int, at_least: int = 1, partition_bytes: int = PARTITION_BYTES
+) -> int:
     """Initial shuffle partitions for an input size; adaptive execution coalesces down."""
-    wanted = math.ceil(input_bytes / TARGET_PARTITION_BYTES)
-    return min(max(wanted, at_least), max(MAX_SHUFFLE_PARTITIONS, at_least))
-
+    return max(math.ceil(input_bytes / partition_bytes), at_least)
 
-def scan_bytes_for(input_bytes: int) -> int:
-    """Input per scan task: Spark's default, or more where that would make too many tasks."""
-    return max(SCAN_BYTES, math.ceil(input_bytes / MAX_SCAN_TASKS))
 
+@contextmanager
+def sized(
+    spark: SparkSession, input_bytes: int = 0, partition_bytes: int = PARTITION_BYTES
+) -> Iterator[SparkSession]:
+    """What the plans of one stage rely on, set for as long as the stage runs.
 
-def tune(spark: SparkSession, input_bytes: int = 0) -> None:
-    """Set what the plans rely on, leaving alone whatever the session already sets.
-
-    Aggregates that reuse a join's partitioning would stop adaptive execution from
-    splitting a hot join key, because the split costs them one more shuffle.  Forcing
-    the split pays for that shuffle only when a partition really is skewed.
+    Shuffles get a partition per ``partition_bytes`` of input.  Aggregates that reuse a join's
+    partitioning would stop adaptive execution from splitting a hot join key, because the split
+    costs them one more shuffle.  Forcing the split pays for that shuffle only when a partition
+    really is skewed.
     """
-    explicit = spark.conf.getAll
-    if _FORCE_SKEW_SPLIT not in explicit:
-        spark.conf.set(_FORCE_SKEW_SPLIT, "true")
-    if _INITIAL_PARTITIONS not in explicit:
-        current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        wanted = shuffle_partitions_for(input_bytes, at_least=current)
-        if wanted > current:
-            spark.conf.set(_INITIAL_PARTITIONS, str(wanted))
-    if _SCAN_BYTES not in explicit and scan_bytes_for(input_bytes) > SCAN_BYTES:
-        spark.conf.set(_SCAN_BYTES, str(scan_bytes_for(input_bytes)))
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = {
+        _FORCE_SKEW_SPLIT: "true",
+        _INITIAL_PARTITIONS: str(shuffle_partitions_for(input_bytes, current, partition_bytes)),
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield spark
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)

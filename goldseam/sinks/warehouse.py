@@ -45,24 +45,28 @@ class JdbcSink:
     """Replaces ``<schema>.<table>``; keeps the table and its grants by truncating it.
 
     Every task commits on its own, so a task run twice after a lost executor could leave rows
-    twice.  ``load`` compares the counts and fails such a load.
+    twice.  ``load`` compares the counts and fails such a load.  ``connections`` bounds the tasks
+    that write at once, and with them the tasks of the last stage; by default nothing is bounded.
     """
 
     spark: SparkSession
     url: str
     properties: dict[str, str]
     schema: str = "marts"
-    connections: int = 16
+    connections: int | None = None
     batch_size: int = 10_000
 
     def write(self, df: DataFrame, name: str) -> int:
         observation = Observation()
-        (
+        writer = (
             df.observe(observation, F.count(F.lit(1)).alias("rows"))
             .write.option("truncate", "true")
             .option("batchsize", self.batch_size)
-            .option("numPartitions", self.connections)
-            .jdbc(self.url, f"{self.schema}.{name}", mode="overwrite", properties=self.properties)
+        )
+        if self.connections:
+            writer = writer.option("numPartitions", self.connections)
+        writer.jdbc(
+            self.url, f"{self.schema}.{name}", mode="overwrite", properties=self.properties
         )
         return observation.get["rows"]
 

@@ -2,36 +2,27 @@
 
 Ranges never overlap, so chunks can be read in parallel, in any order and again after a
 failure; paging by offset could repeat or lose rows wherever the order is not unique.
+
+Ranges are halves of halves: the range of all keys is halved, and every half again, until it holds
+at most ``chunk_size`` rows or a single key.  So chunks are even however the keys are spread.  Only
+counts are needed, of ranges that are still too large; no row leaves the table for it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldseam.schemas import Table
 
-def chunk_id(key: Column, chunk_size: int) -> Column:
-    """Number of the range of ``chunk_size`` consecutive keys that holds the key."""
-    size = F.lit(chunk_size)
-    return F.call_function("div", key - F.pmod(key, size), size)
-
-
-def chunk_manifest(df: DataFrame, table: Table) -> DataFrame:
-    """Rows, smallest and largest key of every chunk that has rows."""
-    key = F.col(table.key[0])
-    return (
-        df.groupBy(chunk_id(key, table.chunk_size).alias("chunk_id"))
-        .agg(
-            F.min(key).alias("min_key"),
-            F.max(key).alias("max_key"),
-            F.count(F.lit(1)).alias("row_count"),
-        )
-        .select(F.lit(table.name).alias("table_name"), "*")
-    )
+TOP = 62  # the first ranges are the keys below 0 and those from 0 on, as far as 2**62
+_LEVELS = 3  # halvings that one round of counts decides
+
+# Rows by number of the range, for the keys of some ranges: (width, ranges) -> {key // width: rows}.
+Counter = Callable[[int, "list[KeyRange]"], dict[int, int]]
 
 
 @dataclass(frozen=True)
@@ -47,46 +38,80 @@ class KeyRange:
             parts.append(f"{column} >= {self.low}")
         if self.high is not None:
             parts.append(f"{column} < {self.high}")
-        bounded = " AND ".join(parts) or "1 = 1"
-        return f"({bounded} OR {column} IS NULL)" if self.low is None else bounded
-
-
-def key_ranges(low: int, high: int, count: int) -> list[KeyRange]:
-    """``count`` ranges of equal width (fewer if keys run out) that cover every key and NULL."""
-    width = max(-(-(high - low + 1) // max(count, 1)), 1)
-    edges = list(range(low + width, high + 1, width))
-    return [KeyRange(a, b) for a, b in zip([None, *edges], [*edges, None])]
-
+        return " AND ".join(parts) or f"{column} IS NOT NULL"
 
-def range_number(column: str, ranges: list[KeyRange]) -> str:
-    """SQL for the position of a key's range in ``ranges``."""
-    if len(ranges) == 1:
-        return "0"
-    first = ranges[0].high
-    later = "1"
-    if ranges[1].high is not None:
-        later = f"1 + FLOOR(({column} - {first}) / {ranges[1].high - first})"
-    return f"CASE WHEN {column} < {first} THEN 0 ELSE {later} END"
 
-
-def chunk_count(rows: int, chunk_size: int, at_most: int) -> int:
-    """Chunks of about ``chunk_size`` rows; beyond ``at_most`` of them the chunks grow instead."""
-    return min(max(-(-rows // chunk_size), 1), at_most)
+@dataclass(frozen=True)
+class Chunk:
+    """A range and its rows; without a range the rows whose key is NULL."""
+
+    keys: KeyRange | None
+    rows: int
+
+
+def even_chunks(low: int, high: int, rows: int, chunk_size: int, count: Counter) -> list[Chunk]:
+    """Chunks of the keys from ``low`` to ``high``, in order; those without rows are left out."""
+    found = []
+    level = max(low.bit_length(), high.bit_length())
+    if low >> level == high >> level:
+        if rows <= chunk_size:
+            return [Chunk(_range(TOP, low >> TOP), rows)]
+        open_ = [low >> level]
+    else:
+        counts = count(1 << level, [KeyRange(None, None)])
+        for sign, n in sorted(counts.items()):
+            if n <= chunk_size:
+                found.append(Chunk(_range(TOP, sign), n))
+        open_ = [sign for sign, n in counts.items() if n > chunk_size]
+    while open_ and level:
+        step = min(_LEVELS, level)
+        below = count(1 << (level - step), [_range(level, number) for number in open_])
+        sums = {level - step: below}
+        for up in range(level - step + 1, level):
+            sums[up] = {}
+            for number, n in sums[up - 1].items():
+                sums[up][number >> 1] = sums[up].get(number >> 1, 0) + n
+        halves = {half for number in open_ for half in (2 * number, 2 * number + 1)}
+        for at in range(level - 1, level - step - 1, -1):
+            large = set()
+            for number in halves:
+                n = sums[at].get(number, 0)
+                if n > chunk_size and at:
+                    large.add(number)
+                elif n:
+                    found.append(Chunk(_range(at, number), n))
+            if at > level - step:
+                halves = {half for number in large for half in (2 * number, 2 * number + 1)}
+        open_, level = sorted(large), level - step
+    return sorted(found, key=lambda chunk: chunk.keys.low)
+
+
+def _range(level: int, number: int) -> KeyRange:
+    return KeyRange(number << level, (number + 1) << level)
 
 
 def chunk_predicates(
-    ranges: Iterable[tuple[KeyRange, int]], key: tuple[str, ...], chunk_size: int
+    chunks: Iterable[Chunk], key: tuple[str, ...], chunk_size: int
 ) -> list[str]:
-    """One predicate per chunk, from ranges and the rows each holds.
+    """One predicate per chunk; together they take every row once, whatever its key.
 
-    A range far over ``chunk_size`` (one key with very many rows) is cut again by the
-    remainder of the second key column, where the key has one.
+    The ranges are stretched over the gaps between them and to both ends.  A chunk over
+    ``chunk_size`` (one key, or NULL, with very many rows) is cut by the remainder of the second
+    key column, where the key has one.
     """
+    chunks = list(chunks)
+    ranges = [chunk for chunk in chunks if chunk.keys is not None]
+    edges = [None, *(chunk.keys.low for chunk in ranges[1:]), None]
+    conditions = [
+        (KeyRange(edges[i], edges[i + 1]).condition(key[0]), chunk.rows)
+        for i, chunk in enumerate(ranges)
+    ] or [(f"{key[0]} IS NOT NULL", 0)]
+    nulls = sum(chunk.rows for chunk in chunks if chunk.keys is None)
+    conditions.append((f"{key[0]} IS NULL", nulls))
     predicates = []
-    for key_range, rows in ranges:
-        condition = key_range.condition(key[0])
-        pieces = -(-rows // chunk_size) if len(key) > 1 and rows > 2 * chunk_size else 1
-        if pieces == 1:
+    for condition, rows in conditions:
+        pieces = -(-rows // chunk_size) if len(key) > 1 else 1
+        if pieces <= 1:
             predicates.append(condition)
             continue
         remainder = f"MOD(ABS({key[1]}), {pieces})"
@@ -95,6 +120,37 @@ def chunk_predicates(
     return predicates
 
 
-def split(df: DataFrame, column: str, ranges: Iterable[KeyRange]) -> list[DataFrame]:
-    """One frame per range; the filters reach the scan, which skips row groups outside."""
-    return [df.filter(F.expr(r.condition(column))) for r in ranges]
+def table_chunks(df: DataFrame, column: str, chunk_size: int) -> list[Chunk]:
+    """Chunks of a table that Spark can scan; NULL keys are the last."""
+    low, high, rows, nulls = df.agg(
+        F.min(column), F.max(column), F.count(column), F.count_if(F.col(column).isNull())
+    ).first()
+    found = []
+    if rows:
+
+        def count(width: int, ranges: list[KeyRange]) -> dict[int, int]:
+            where = " OR ".join(f"({r.condition(column)})" for r in ranges)
+            shift = width.bit_length() - 1
+            number = F.shiftright(F.col(column).cast("long"), shift)
+            counted = df.filter(F.expr(where)).groupBy(number.alias("number")).count()
+            return {r["number"]: r["count"] for r in counted.collect()}  # some per chunk
+
+        found = even_chunks(int(low), int(high), rows, chunk_size, count)
+    return found + ([Chunk(None, nulls)] if nulls else [])
+
+
+def chunk_manifest(df: DataFrame, table: Table, chunk_size: int | None = None) -> DataFrame:
+    """Every chunk of a table: its position, its range and its rows; NULL keys have no range."""
+    found = table_chunks(df, table.key[0], chunk_size or table.chunk_size)
+    rows = [
+        (table.name, at, *((c.keys.low, c.keys.high) if c.keys else (None, None)), c.rows)
+        for at, c in enumerate(found)
+    ]
+    return df.sparkSession.createDataFrame(
+        rows, "table_name string, chunk_id int, low_key long, high_key long, row_count long"
+    )
+
+
+def split(df: DataFrame, column: str, chunks: Iterable[Chunk]) -> list[DataFrame]:
+    """One frame per chunk; the filters reach the scan, which skips row groups outside."""
+    return [df.filter(F.expr(p)) for p in chunk_predicates(chunks, (column,), 1)]

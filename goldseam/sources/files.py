@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from goldseam.schemas import TABLES
-
 SNAPSHOT = "snapshot"
 
 
@@ -32,16 +30,12 @@ class ParquetSource:
         return total.bytes or 0
 
 
-class BronzeStore(ParquetSource):
-    """Stored Bronze, read with the declared schema instead of inferring it from a file."""
-
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[table].schema).parquet(self.path(table))
-
-
-def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_parquet(
+    spark: SparkSession, *paths: str, schema: T.StructType | None = None
+) -> DataFrame:
+    """Any number of files or directories of one table, in one scan."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    return reader.parquet(*paths)
 
 
 def scan_as_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -54,12 +48,15 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def list_files(spark: SparkSession, prefix: str) -> DataFrame:
-    """Parquet files below a prefix as (path, length, modified); no file is opened."""
+def list_files(spark: SparkSession, prefix: str, suffix: str = "") -> DataFrame:
+    """Files below a prefix as (path, length, modified), or those whose names end with a suffix.
+
+    No file is opened.  Hidden ones, whose names begin with "_" or ".", are left out.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
+        .option("pathGlobFilter", f"*{suffix}")
         .load(prefix)
         .select("path", "length", F.col("modificationTime").alias("modified"))
     )

@@ -5,21 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from goldseam.schemas import TABLES, Table
-from goldseam.sources.chunks import (
-    KeyRange,
-    chunk_count,
-    chunk_predicates,
-    key_ranges,
-    range_number,
-)
+from goldseam.sources.chunks import Chunk, KeyRange, chunk_predicates, even_chunks
 
 
 class JdbcSource:
     """Reads small tables whole and large ones as parallel key ranges.
 
-    The database does the counting: the driver receives the bounds of a key and one row count
-    per range, never rows of the table.  Every chunk is one connection while it is read, so
-    ``max_chunks`` also bounds the load on the database.
+    The database does the counting: the driver receives the bounds of a key and row counts of
+    ranges, never rows of the table.  Every chunk is one connection while its task runs, so the
+    running tasks bound the load on the database.
     """
 
     def __init__(
@@ -29,13 +23,11 @@ class JdbcSource:
         properties: dict[str, str] | None = None,
         prefix: str = "",
         fetch_size: int = 10_000,
-        max_chunks: int = 256,
     ):
         self.spark = spark
         self.url = url
         self.properties = {"fetchsize": str(fetch_size), **(properties or {})}
         self.prefix = prefix
-        self.max_chunks = max_chunks
 
     def read(self, table: str) -> DataFrame:
         spec = TABLES[table]
@@ -56,22 +48,21 @@ class JdbcSource:
 
     def _predicates(self, spec: Table, name: str) -> list[str]:
         key = spec.key[0]
-        low, high, rows = self.query(
-            f"SELECT MIN({key}) AS low_key, MAX({key}) AS high_key, COUNT(*) AS n FROM {name}"
+        low, high, rows, total = self.query(
+            f"SELECT MIN({key}) AS low_key, MAX({key}) AS high_key, COUNT({key}) AS n, "
+            f"COUNT(*) AS n_all FROM {name}"
         ).first()
-        if low is None:
-            return ["1 = 1"]
-        chunks = chunk_count(int(rows), spec.chunk_size, self.max_chunks)
-        ranges = key_ranges(int(low), int(high), chunks)
-        per_chunk = max(-(-int(rows) // chunks), 1)
-        return chunk_predicates(self._sized(ranges, key, name), spec.key, per_chunk)
+        chunks = []
+        if rows:
 
-    def _sized(self, ranges: list[KeyRange], key: str, name: str) -> list[tuple[KeyRange, int]]:
-        """Row count of every range, grouped in the database."""
-        number = range_number(key, ranges)
-        counted = self.query(
-            f"SELECT range_no, COUNT(*) AS n FROM (SELECT {number} AS range_no FROM {name}) r "
-            "GROUP BY range_no"
-        ).collect()
-        rows = {int(no): int(n) for no, n in counted if no is not None}
-        return [(r, rows.get(i, 0)) for i, r in enumerate(ranges)]
+            def count(width: int, ranges: list[KeyRange]) -> dict[int, int]:
+                where = " OR ".join(f"({r.condition(key)})" for r in ranges)
+                counted = self.query(
+                    f"SELECT range_no, COUNT(*) AS n FROM (SELECT FLOOR({key} / {width}.0) AS "
+                    f"range_no FROM {name} WHERE {where}) r GROUP BY range_no"
+                )
+                return {int(r[0]): int(r[1]) for r in counted.collect()}
+
+            chunks = even_chunks(int(low), int(high), int(rows), spec.chunk_size, count)
+        chunks.append(Chunk(None, int(total or 0) - int(rows or 0)))
+        return chunk_predicates(chunks, spec.key, spec.chunk_size)

@@ -1,4 +1,4 @@
-"""The given tables made dirty: NULLs, blanks, orphans, duplicates, bad values, hot keys."""
+"""The given tables made dirty: NULLs, blanks, orphans, duplicates, bad values, hot keys; or empty."""
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,12 @@ def write(source, target, seed=1):
         )
 
 
+def write_empty(source, target):
+    for table in RAW_TABLES:
+        schema = pq.read_schema(f"{source}/{table}.parquet")
+        pq.write_table(schema.empty_table(), f"{target}/{table}.parquet")
+
+
 def _spoil(df, table, rng):
     df = df.astype({c: object for c in df.columns})
 

@@ -1,6 +1,7 @@
 import datetime as dt
 from decimal import Decimal
 
+from checks import stock
 from goldseam.operators import bronze
 from goldseam.schemas import TABLES
 from tests.frames import bronze as frame
@@ -41,7 +42,7 @@ def test_typed_columns_pass_through_unchanged(spark, tmp_path):
 
 def test_derived_stock_is_one_row_per_pair(spark):
     lines = [line(1, l_partkey=p, l_suppkey=s) for p, s in [(0, 0), (3, 1), (3, 1), (2, 5)]]
-    rows = bronze.stock_from_lines(frame(spark, "lineitem", lines)).collect()
+    rows = stock.stock_from_lines(frame(spark, "lineitem", lines)).collect()
     assert {(r.ps_partkey, r.ps_suppkey): (r.ps_availqty, r.ps_supplycost) for r in rows} == {
         (0, 0): (Decimal("0.00"), Decimal("1.00")),
         (3, 1): (Decimal("4.00"), Decimal("3.56")),

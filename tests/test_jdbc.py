@@ -1,23 +1,34 @@
 """What is asked of the database; no database is started for it."""
 
+import dataclasses
+import re
+from collections import Counter
 from unittest.mock import MagicMock
 
+import pytest
+from pyspark.sql import functions as F
+
+from goldseam.schemas import TABLES
 from goldseam.sinks.warehouse import JdbcSink
 from goldseam.sources.jdbc import JdbcSource
 
 
 class Answers:
-    """A reader that records its calls and answers pushed-down queries."""
+    """A reader that records its calls and answers counts from a list of keys."""
 
-    def __init__(self, bounds, counts=()):
-        self.calls = []
-        self.bounds, self.counts = bounds, counts
+    def __init__(self, keys, result=None):
+        self.calls, self.keys, self.result = [], keys, result
 
     def jdbc(self, url, table, predicates=None, properties=None):
         self.calls.append((table, predicates, properties))
-        frame = MagicMock()
-        frame.first.return_value = self.bounds
-        frame.collect.return_value = list(self.counts)
+        frame, keys = MagicMock(), [k for k in self.keys if k is not None]
+        bounds = (min(keys), max(keys)) if keys else (None, None)
+        frame.first.return_value = self.result or (*bounds, len(keys), len(self.keys))
+        if width := re.search(r"FLOOR\(\w+ / (\d+)\.0\)", table):
+            where = re.search(r"WHERE (.*)\) r GROUP", table).group(1).replace("IS NOT NULL", ">= -9")
+            where = re.sub(r"l_orderkey|o_orderkey", "k", where).replace("OR", "or").replace("AND", "and")
+            held = [k for k in keys if eval(where, {"k": k})]
+            frame.collect.return_value = list(Counter(k // int(width[1]) for k in held).items())
         return frame
 
 
@@ -27,43 +38,71 @@ def session(answers):
     return spark
 
 
+def predicates(keys, table="orders", **sizes):
+    answers = Answers(keys)
+    JdbcSource(session(answers), "jdbc:x").read(table)
+    return answers.calls[-1][1]
+
+
+@pytest.fixture
+def chunk_rows(monkeypatch):
+    def set_rows(table, rows):
+        monkeypatch.setitem(TABLES, table, dataclasses.replace(TABLES[table], chunk_size=rows))
+
+    return set_rows
+
+
 def test_small_tables_are_read_whole():
-    answers = Answers(None)
+    answers = Answers([])
     JdbcSource(session(answers), "jdbc:x", {"user": "u"}, prefix="s.").read("supplier")
     assert answers.calls == [("s.supplier", None, {"fetchsize": "10000", "user": "u"})]
 
 
-def test_large_tables_are_read_as_key_ranges():
-    answers = Answers((0, 999_999, 1_500_000), [(0, 500_000), (1, 400_000), (2, 600_000)])
-    JdbcSource(session(answers), "jdbc:x").read("lineitem")
-    table, predicates, _ = answers.calls[-1]
-    assert table == "lineitem"
-    assert predicates == [
-        "(l_orderkey < 333334 OR l_orderkey IS NULL)",
-        "l_orderkey >= 333334 AND l_orderkey < 666668",
-        "l_orderkey >= 666668",
+def test_large_tables_are_read_as_key_ranges(chunk_rows):
+    chunk_rows("orders", 300)
+    assert predicates(range(1000)) == [
+        "o_orderkey < 256",
+        "o_orderkey >= 256 AND o_orderkey < 512",
+        "o_orderkey >= 512 AND o_orderkey < 768",
+        "o_orderkey >= 768",
+        "o_orderkey IS NULL",
     ]
 
 
-def test_a_hot_range_is_cut_by_the_second_key():
-    answers = Answers((0, 9, 1_000_000), [(0, 0), (1, 1_000_000)])
-    JdbcSource(session(answers), "jdbc:x").read("lineitem")
-    predicates = answers.calls[-1][1]
-    assert len(predicates) == 2  # not far enough over the chunk size
-    answers = Answers((0, 9, 4_000_000), [(0, 4_000_000)])
-    JdbcSource(session(answers), "jdbc:x").read("lineitem")
-    predicates = answers.calls[-1][1]
-    assert sum("MOD(ABS(l_linenumber), 8)" in p for p in predicates) == 8
+def test_an_outlier_key_leaves_the_chunks_even(spark, chunk_rows):
+    chunk_rows("orders", 100)
+    keys = [*range(1, 1001), 10**12, -(10**9), None]
+    found = predicates(keys)
+    df = spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint")
+    sizes = [df.filter(F.expr(p)).count() for p in found]
+    assert sum(sizes) == len(keys) and max(sizes) <= 100 and len(sizes) < 40
+
+
+def test_a_hot_key_and_hot_nulls_are_cut_by_the_second_key(chunk_rows):
+    chunk_rows("lineitem", 100)
+    found = predicates([7] * 350 + list(range(20)) + [None] * 250, "lineitem")
+    assert sum("MOD(ABS(l_linenumber), 4)" in p for p in found) == 4
+    assert sum("l_orderkey IS NULL) AND" in p and "MOD(ABS(l_linenumber), 3)" in p for p in found) == 3
 
 
-def test_an_empty_table_is_one_read():
-    answers = Answers((None, None, 0))
-    JdbcSource(session(answers), "jdbc:x").read("orders")
-    assert answers.calls[-1][1] == ["1 = 1"]
+def test_an_empty_table_is_read():
+    assert predicates([]) == ["o_orderkey IS NOT NULL", "o_orderkey IS NULL"]
 
 
 def test_sink_counts_in_the_database():
-    answers = Answers((12,))
+    answers = Answers([], result=(12,))
     sink = JdbcSink(session(answers), "jdbc:x", {})
     assert sink.row_count("dim_part") == 12
     assert answers.calls[0][0] == "(SELECT COUNT(*) AS n FROM marts.dim_part) q"
+
+
+@pytest.mark.parametrize("connections", [None, 5])
+def test_connections_are_bounded_only_on_demand(connections):
+    df, writer = MagicMock(), MagicMock()
+    df.observe.return_value.write.option.return_value = writer
+    writer.option.return_value = writer
+    sink = JdbcSink(MagicMock(), "jdbc:x", {}, connections=connections)
+    with pytest.raises(Exception):  # the frame is a mock, so nothing was observed
+        sink.write(df, "dim_part")
+    asked = [c.args for c in writer.option.call_args_list if c.args[0] == "numPartitions"]
+    assert asked == ([("numPartitions", 5)] if connections else [])

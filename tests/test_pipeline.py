@@ -1,22 +1,32 @@
 import pytest
 from pyspark.sql import functions as F
 
-from checks import queries
+from checks import queries, stock
 from goldseam.plans import pipeline, quality
-from goldseam.plans.warehouse import MARTS, Warehouse
+from goldseam.plans.warehouse import MARTS, Warehouse, bronze_of
 from goldseam.schemas import TABLES
 from goldseam.sinks.files import write_batches, write_parquet
 from goldseam.sinks.warehouse import LOAD_ORDER, LoadFailed, ParquetSink, load, load_all
 from goldseam.sources.files import ParquetSource, list_files
+from tests.conftest import SMALL
 
 
 @pytest.fixture(scope="module")
-def built(spark, tmp_path_factory):
+def source(spark, tmp_path_factory):
+    """A directory with all eight raw tables."""
+    root = tmp_path_factory.mktemp("source")
+    raw = stock.reader(spark, SMALL)
+    for table in TABLES:
+        raw(table).write.parquet(f"{root}/{table}")
+    return str(root)
+
+
+@pytest.fixture(scope="module")
+def built(spark, source, tmp_path_factory):
     root = tmp_path_factory.mktemp("warehouse")
-    raw = ParquetSource(spark, "/root/testdata/sf0.001", queries.PATTERN).read
     layout = pipeline.Layout(str(root))
     sink = ParquetSink(spark, f"{root}/serving")
-    ingest = pipeline.run(spark, layout, raw, stage="ingest")
+    ingest = pipeline.run(spark, layout, ParquetSource(spark, source).read, stage="ingest")
     rest = pipeline.run(spark, layout, sink=sink, stage="model")
     return layout, sink, {**ingest, **rest}
 
@@ -36,17 +46,45 @@ def test_reports(built):
 
 def test_stored_marts_equal_lazy_ones(spark, built):
     layout, sink, _ = built
-    lazy = Warehouse.over_raw(spark, "/root/testdata/sf0.001", queries.PATTERN)
+    lazy = queries.open_warehouse(spark, SMALL)
     stored = Warehouse.over_stored(spark, layout.root)
     for name in MARTS:
         mine, theirs = lazy.mart(name), stored.mart(name)
-        assert theirs.columns == [*mine.columns, "dbt_updated_at"]
-        plain = theirs.drop("dbt_updated_at")
+        extra = ["dbt_updated_at", *pipeline.PARTITIONS.get(name, {})]
+        assert theirs.columns == [*mine.columns, *extra]
+        plain = theirs.drop(*extra)
         assert plain.schema.simpleString() == mine.schema.simpleString()
         assert mine.exceptAll(plain).isEmpty() and plain.exceptAll(mine).isEmpty()
         assert sink.row_count(name) == mine.count()
 
 
+def test_marts_are_catalog_tables_partitioned_by_year(spark, built):
+    layout, _, _ = built
+    n = spark.sql(
+        "SELECT count(*) AS n FROM gold.fct_sales JOIN gold.dim_date ON order_date = date_key"
+    ).first().n
+    assert n == 6000
+    one = spark.sql("SELECT * FROM gold.fct_sales WHERE order_year = 1996")
+    assert "PartitionFilters: [isnotnull(order_year" in one._jdf.queryExecution().executedPlan().toString()
+    assert 0 < one.count() < 6000
+    assert one.filter("year(order_date) != 1996").isEmpty()
+    files = list_files(spark, layout.path("gold", "fct_sales"), ".parquet").count()
+    assert files <= 2 * spark.table("gold.fct_sales").select("order_year").distinct().count()
+
+
+def test_stored_silver_keeps_further_columns(spark, source, tmp_path):
+    def raw(name):
+        df = ParquetSource(spark, source).read(name)
+        return df.withColumn("Extra_Col", F.lit(7)) if name == "region" else df
+
+    layout = pipeline.Layout(f"{tmp_path}/w")
+    pipeline.run(spark, layout, raw, stage="ingest")
+    lazy = Warehouse(bronze=bronze_of(raw)).silver("region")
+    stored = Warehouse.over_stored(spark, layout.root).silver("region")
+    assert "extra_col" in stored.columns and stored.columns == lazy.columns
+    assert stored.exceptAll(lazy).isEmpty() and lazy.exceptAll(stored).isEmpty()
+
+
 def test_one_audit_time_per_run(spark, built):
     layout, _, _ = built
     stored = Warehouse.over_stored(spark, layout.root)
@@ -62,18 +100,80 @@ def test_views_answer_sql(spark, built):
     assert spark.sql("SELECT count(*) AS n FROM stg_orders").first().n == 1500
 
 
-def test_a_failing_table_is_reported_and_skipped(spark, tmp_path):
-    def raw(name):
-        if name == "customer":
-            return spark.read.parquet("/nowhere/customer.parquet")
-        return ParquetSource(spark, "/root/testdata/sf0.001", queries.PATTERN).read(name)
+def bad_value(spark, source, tmp_path):
+    df = ParquetSource(spark, source).read("customer")
+    return df.withColumn("c_nationkey", F.when(F.col("c_custkey") > 5, "x").otherwise("1"))
+
+
+def unreadable(spark, source, tmp_path):
+    return spark.read.parquet("/nowhere/customer")
+
+
+def unknown_driver(spark, source, tmp_path):
+    return spark.read.jdbc("jdbc:nothing:x", "customer")
 
-    layout = pipeline.Layout(str(tmp_path))
-    found = report(pipeline.extract(spark, raw, layout))
-    assert found.pop("customer") == (None, "failed")
-    assert {status for _, status in found.values()} == {"loaded"}
-    assert len(found) == len(TABLES) - 1
-    assert report(pipeline.transform(spark, layout))["customer"] == (None, "missing")
+
+def damaged_file(spark, source, tmp_path):
+    path = tmp_path / "damaged"
+    ParquetSource(spark, source).read("customer").coalesce(1).write.parquet(str(path))
+    (file,) = path.glob("part-*.parquet")
+    data = bytearray(file.read_bytes())
+    data[4 : len(data) // 2] = b"\0" * (len(data) // 2 - 4)
+    file.write_bytes(data)
+    for checksum in path.glob(".*.crc"):
+        checksum.unlink()
+    return spark.read.parquet(str(path))
+
+
+@pytest.mark.parametrize("spoil", [bad_value, unreadable, unknown_driver, damaged_file])
+@pytest.mark.parametrize("again", [False, True])
+def test_a_failing_table_stops_what_needs_it_and_nothing_else(spark, source, tmp_path, spoil, again):
+    good = ParquetSource(spark, source).read
+    layout = pipeline.Layout(f"{tmp_path}/w")
+    if again:
+        pipeline.run(spark, layout, good)
+        before = {
+            layer: Warehouse.over_stored(spark, layout.root).__getattribute__(layer)(name).collect()
+            for layer, name in (("bronze", "customer"), ("silver", "customer"), ("mart", "dim_customer"))
+        }
+
+    def raw(name):
+        return spoil(spark, source, tmp_path) if name == "customer" else good(name)
+
+    reports = pipeline.run(spark, layout, raw)
+    for stage in ("extract", "transform"):
+        found = report(reports[stage])
+        assert found.pop("customer") == (None, "failed")
+        assert {status for _, status in found.values()} == {"loaded"} and len(found) == 7
+    marts = report(reports["model"])
+    assert marts.pop("dim_customer") == (None, "failed")
+    assert {status for _, status in marts.values()} == {"loaded"}
+    later = report(pipeline.run(spark, layout, stage="model")["model"])
+    assert later["dim_customer"] == (None, "failed")
+    if again:  # the last good layers are as they were
+        stored = Warehouse.over_stored(spark, layout.root)
+        assert sorted(stored.bronze("customer").collect()) == sorted(before["bronze"])
+        assert sorted(stored.silver("customer").collect()) == sorted(before["silver"])
+        assert sorted(stored.mart("dim_customer").collect()) == sorted(before["mart"])
+    left = [p.name for p in (tmp_path / "w").rglob("_*") if p.is_dir()]
+    assert left == []
+
+
+def test_an_interrupted_write_leaves_the_last_dataset(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    write_parquet(spark.range(5), path)
+    bad = spark.range(9).select(F.expr("IF(id > 7, raise_error('stop'), id)").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        write_parquet(bad, path)
+    assert spark.read.parquet(path).count() == 5
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_failed_marts_are_not_loaded(spark, built):
+    layout, sink, _ = built
+    found = report(pipeline.load(spark, layout, sink, failed={"dim_part"}))
+    assert found["dim_part"] == (None, "failed")
+    assert found["fct_sales"] == (6000, "loaded")
 
 
 def test_empty_load_fails(spark, tmp_path):
@@ -110,21 +210,36 @@ def test_load_order_and_stop_at_failure(spark):
 
 
 def test_validation_of_the_stored_layers(spark, built):
-    layout, _, _ = built
-    found = pipeline.validate(spark, layout)
-    lazy = Warehouse.over_raw(spark, "/root/testdata/sf0.001", queries.PATTERN)
+    layout, sink, _ = built
+    found = pipeline.validate(spark, layout, sink)
+    lazy = queries.open_warehouse(spark, SMALL)
     assert found["score"].collect() == quality.score(lazy).collect()
     assert found["quality"].count() == found["score"].first().rules
+    rows = {r.table_name: r for r in found["reconcile"].collect()}
+    assert rows["lineitem"].warehouse_rows == rows["lineitem"].gold_rows == 6000
+    assert rows["orders"].warehouse_rows is None
+
+
+@pytest.mark.parametrize(
+    "more, code", [([], 0), (["--validate", "--min-score", "0.5"], 0), (["--validate", "--min-score", "1.1"], 1)]
+)
+def test_command_line(spark, source, tmp_path, capsys, monkeypatch, more, code):
+    monkeypatch.setattr(pipeline, "build_session", lambda name: spark)
+    argv = ["--root", f"{tmp_path}/w", "--source", source, "--target", f"{tmp_path}/serving"]
+    assert pipeline.main(argv + more) == code
+    shown = capsys.readouterr().out
+    stages = ["extract", "transform", "model", "load"]
+    stages += ["quality", "score", "reconcile"] if more else []
+    assert [line for line in shown.splitlines() if line.isalpha()] == stages
 
 
-def test_command_line(spark, tmp_path, capsys, monkeypatch):
+def test_command_line_fails_with_a_missing_table(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(pipeline, "build_session", lambda name: spark)
-    argv = ["--root", f"{tmp_path}/w", "--source", "/root/testdata/sf0.001"]
-    argv += ["--pattern", "{table}.parquet", "--target", f"{tmp_path}/serving"]
-    assert pipeline.main(argv) == 0
+    argv = ["--root", f"{tmp_path}/w", "--source", SMALL, "--pattern", stock.PATTERN]
+    assert pipeline.main(argv) == 1
     shown = capsys.readouterr().out
-    assert [line for line in shown.splitlines() if line.isalpha()] == [
-        "extract", "transform", "model", "load",
+    assert [line.split("|")[1].strip() for line in shown.splitlines() if "failed" in line] == [
+        "partsupp", "partsupp", "fct_inventory",
     ]
 
 

@@ -55,3 +55,23 @@ def test_sample_takes_the_first_rows_by_key(df):
     assert {(r.row_key, r.column_name, r.value) for r in rows} == {
         ("1", "k", "1"), ("1", "t", None), ("1", "m", None), ("1", "t", "a"), ("1", "m", "2.50"),
     }
+
+
+@pytest.mark.parametrize("approximate", [False, True])
+def test_cardinality_of_an_empty_table_is_zero(df, approximate):
+    rows = profile.cardinality(df.limit(0), "x", approximate).collect()
+    assert {r.column_name: r.distinct_values for r in rows} == {"k": 0, "t": 0, "m": 0}
+
+
+def test_cardinality_of_every_kind_of_column(spark):
+    df = spark.sql(
+        """SELECT * FROM VALUES
+             (1Y, 2L, 1.5BD, 12345678901234567890123456789012345678BD, 1.5D, DATE'2000-01-01',
+              TIMESTAMP'2000-01-01', true, 'a', X'00'),
+             (1Y, 3L, 1.25BD, 1BD, -0.0D, DATE'2000-01-02', TIMESTAMP'2000-01-01', false, 'A', X'01'),
+             (2Y, 3L, 1.50BD, 1BD, 0.0D, NULL, NULL, NULL, NULL, NULL)
+           AS t(a, b, c, d, e, f, g, h, i, j)"""
+    )
+    rows = profile.cardinality(df, "x").collect()
+    found = {r.column_name: r.distinct_values for r in rows}
+    assert found == dict(zip("abcdefghij", (2, 2, 2, 2, 2, 3, 2, 3, 3, 3)))

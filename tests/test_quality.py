@@ -59,3 +59,24 @@ def test_score_and_reconcile(spark):
         {"bronze": {"a": spark.range(5), "b": spark.range(2)}, "gold": {"a": spark.range(4)}}
     )
     assert {tuple(r) for r in counts.collect()} == {("a", 5, 4), ("b", 2, None)}
+
+
+def test_keys_of_any_width(spark):
+    rows = [(1, 1, 1), (1, 1, 2), (1, 1, 3), (1, 1, None)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint, c bigint")
+    assert table(q.check_unique({"t": (df, ("a", "b", "c"))})) == {("t", "unique:a,b,c"): (3, 0)}
+
+
+def test_rules_of_empty_tables_are_reported(spark):
+    none, some = (spark.createDataFrame(rows, "k bigint") for rows in ([], [(1,), (1,)]))
+    found = q.check_keys(
+        {"none": none, "some": some},
+        {"none": ("k",), "some": ("k",)},
+        [q.Reference("none", "k", "none", "k"), q.Reference("some", "k", "none", "k")],
+    )
+    assert table(found) == {
+        ("none", "unique:k"): (0, 0),
+        ("some", "unique:k"): (2, 1),
+        ("none", "relationship:k->none.k"): (0, 0),
+        ("some", "relationship:k->none.k"): (2, 2),
+    }

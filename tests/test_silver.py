@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from goldseam.operators import silver
 from tests.frames import bronze, clean, day, line, order
@@ -80,3 +81,11 @@ def test_row_delta(spark):
     lines = [line(i, l_quantity=q) for i, q in enumerate((0, 1, None))]
     row = silver.row_delta(bronze(spark, "lineitem", lines), "lineitem").first()
     assert tuple(row) == ("lineitem", 3, 3, 1)
+
+
+def test_both_filters_apply_where_both_are_set(monkeypatch):
+    both = silver.Cleaning(keep=lambda: F.col("a") > 0, keep_strict=lambda: F.col("b") > 0)
+    monkeypatch.setitem(silver.CLEANING, "region", both)
+    assert "AND" not in str(silver.row_filter("region")).upper()
+    strict = str(silver.row_filter("region", "strict"))
+    assert "a" in strict and "b" in strict

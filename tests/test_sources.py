@@ -6,13 +6,7 @@ from pyspark.sql import functions as F
 from goldseam.schemas import TABLES
 from goldseam.sinks.files import write_all_snapshots, write_batches, write_parquet, write_snapshot
 from goldseam.sources import chunks, files
-from goldseam.session import (
-    MAX_SHUFFLE_PARTITIONS,
-    SCAN_BYTES,
-    scan_bytes_for,
-    shuffle_partitions_for,
-    tune,
-)
+from goldseam.session import shuffle_partitions_for, sized
 
 
 def test_listing_and_reading_one_file(spark, tmp_path):
@@ -66,71 +60,66 @@ def test_no_snapshot(spark, tmp_path):
         files.read_snapshot(spark, str(tmp_path), "orders")
 
 
-@pytest.mark.parametrize("low, high, count", [(0, 99, 4), (0, 0, 5), (-7, 12, 3), (5, 8, 100)])
-def test_ranges_cover_every_key_once(low, high, count):
-    ranges = chunks.key_ranges(low, high, count)
-    assert len(ranges) <= count
-    for key in range(low - 3, high + 4):
-        hits = [
-            r
-            for r in ranges
-            if (r.low is None or key >= r.low) and (r.high is None or key < r.high)
-        ]
-        assert len(hits) == 1
-
-
-def test_predicates_partition_a_table_with_a_hot_key(spark):
+@pytest.mark.parametrize("size", [1, 7, 40, 1000])
+def test_chunks_cover_every_row_once(spark, size):
     rows = [(i, i % 5) for i in range(60)] + [(7, n) for n in range(-90, 90)]
-    rows += [(None, 1), (7, None)]
+    rows += [(None, 1), (7, None), (None, None), (10**12, 1), (-(2**40), 0)]
     df = spark.createDataFrame(rows, "k bigint, n bigint")
-    ranges = chunks.key_ranges(0, 59, 6)
-    number = chunks.range_number("k", ranges)
-    sizes = {
-        int(r[0]): r[1]
-        for r in df.dropna(subset=["k"]).groupBy(F.expr(number)).count().collect()
-    }
-    predicates = chunks.chunk_predicates(
-        [(r, sizes.get(i, 0)) for i, r in enumerate(ranges)], ("k", "n"), 30
-    )
-    counts = [df.filter(F.expr(p)).count() for p in predicates]
-    assert sum(counts) == len(rows)
-    assert len(predicates) > len(ranges)
-    assert max(counts) <= 60
+    found = chunks.table_chunks(df, "k", size)
+    assert sum(c.rows for c in found) == len(rows)
+    assert all(c.rows <= size or c.keys is None or c.keys.high - c.keys.low == 1 for c in found)
+    predicates = chunks.chunk_predicates(found, ("k", "n"), size)
     hits = [F.coalesce(F.expr(p).cast("int"), F.lit(0)) for p in predicates]
     assert df.filter(sum(hits[1:], hits[0]) != 1).count() == 0
+    frames = chunks.split(df, "k", found)
+    assert sum(f.count() for f in frames) == len(rows)
+
+
+def test_chunks_are_counted_in_few_rounds():
+    asked = []
+    keys = [*range(100_000), 10**12]
+
+    def count(width, ranges):
+        asked.append(len(ranges))
+        found = {}
+        for k in keys:
+            if any((r.low is None or r.low <= k) and (r.high is None or k < r.high) for r in ranges):
+                found[k // width] = found.get(k // width, 0) + 1
+        return found
+
+    found = chunks.even_chunks(0, 10**12, len(keys), 5000, count)
+    assert sum(c.rows for c in found) == len(keys) and max(c.rows for c in found) <= 5000
+    assert len(asked) <= 14 and len(found) <= 60
 
 
-def test_chunk_numbers(spark):
-    df = spark.createDataFrame([(k,) for k in (-1, 0, 999, 1000, 2**60)], "r_regionkey bigint")
-    rows = chunks.chunk_manifest(df, TABLES["region"]).collect()
-    assert {(r.chunk_id, r.min_key, r.max_key, r.row_count) for r in rows} == {
-        (-1, -1, -1, 1),
-        (0, 0, 999, 2),
-        (1, 1000, 1000, 1),
-        (2**60 // 1000, 2**60, 2**60, 1),
-    }
+def test_manifest(spark):
+    df = spark.createDataFrame([(k,) for k in (-1, 0, 999, 1000, 2**60, None)], "r_regionkey bigint")
+    rows = chunks.chunk_manifest(df, TABLES["region"], 2).collect()
+    assert [tuple(r)[1:] for r in rows] == [
+        (0, -(2**62), 0, 1),
+        (1, 0, 512, 1),
+        (2, 512, 1024, 2),
+        (3, 2**60, 2**61, 1),
+        (4, None, None, 1),
+    ]
+    assert chunks.chunk_manifest(df.limit(0), TABLES["region"]).collect() == []
 
 
-def test_chunk_count():
-    assert chunks.chunk_count(0, 10, 256) == 1
-    assert chunks.chunk_count(11, 10, 256) == 2
-    assert chunks.chunk_count(10**12, 10, 256) == 256
+def test_listing_of_all_files_or_of_a_suffix(spark, tmp_path):
+    spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/a")
+    spark.range(3).coalesce(1).write.json(f"{tmp_path}/b")
+    assert files.list_files(spark, str(tmp_path)).count() == 2
+    assert files.list_files(spark, str(tmp_path), ".parquet").count() == 1
 
 
-def test_shuffle_sizing(spark):
+def test_a_stage_is_sized_by_its_input(spark):
     assert shuffle_partitions_for(0, at_least=8) == 8
     assert shuffle_partitions_for(10 * 2**30) == 160
-    assert shuffle_partitions_for(100 * 2**40) == MAX_SHUFFLE_PARTITIONS
-    assert scan_bytes_for(2**40) == SCAN_BYTES
-    assert scan_bytes_for(100 * 2**40) > 2**30
+    assert shuffle_partitions_for(100 * 2**40) == 100 * 2**14
     partitions = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    scan = "spark.sql.files.maxPartitionBytes"
-    other = spark.newSession()
-    tune(other, 2**20)
-    assert partitions not in other.conf.getAll
-    tune(other, 2**40)
-    assert other.conf.get(partitions) == "16384"
-    assert scan not in other.conf.getAll
-    tune(other, 2**46)
-    assert other.conf.get(partitions) == "16384"
-    assert int(other.conf.get(scan)) == scan_bytes_for(2**46)
+    before = spark.conf.get(partitions, None)
+    for size in (2**40, 2**45, 0):
+        with sized(spark, size):
+            at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            assert spark.conf.get(partitions) == str(shuffle_partitions_for(size, at_least))
+    assert spark.conf.get(partitions, None) == before
