@@ -17,7 +17,6 @@ import numpy as np
 #: Pieces a Python process keeps, about 100 MB; any further piece is encoded each time it comes.
 CACHE_PIECES = 500_000
 
-_RUN = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _STOPS = frozenset(".,;:!?")
 
@@ -29,6 +28,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _WhiteSpace(Exception):
+    """A piece that begins or ends with white space can't be encoded on its own."""
+
+
 class _Pieces(dict):
     """Ids by piece, filled by the library as pieces are asked for.
 
@@ -41,6 +44,7 @@ class _Pieces(dict):
         super().__init__()
         self._library, self._code, self._limit = library, code, limit
         self._word = library.model.tokenize
+        self["\0\n"] = self.whole("\0\n")
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isalpha():
@@ -60,7 +64,14 @@ class _Pieces(dict):
             self[piece] = found
         return found
 
+    def whole(self, piece: str) -> bytes:
+        """The ids of a piece as the library gives them."""
+        text = piece[1:] if piece[:1] == "\0" else " " + piece
+        return array(self._code, self._library.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _parted(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _WhiteSpace
         lines = piece.split("\n")
         if len(lines) > 1 and all(line.split() == [line] for line in lines):
             first, *rest = lines
@@ -68,9 +79,7 @@ class _Pieces(dict):
         elif piece[:1] == "\0" and piece[1:-1].isalpha() and piece[-1] in _STOPS:
             found = self[piece[:-1]] + self["\0" + piece[-1]]
         else:
-            text = piece[1:] if piece[:1] == "\0" else " " + piece
-            ids = self._library.encode(text, add_special_tokens=False).ids
-            found = array(self._code, ids).tobytes()
+            found = self.whole(piece)
         if len(self) < self._limit:
             self[piece] = found
         return found
@@ -96,15 +105,16 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text."""
+        known = self._pieces
         if "\0" in text:
-            pieces = [text]
-        elif _RUN.search(text):
-            first, *rest = _CUT.split(text)
-            pieces = [first, *(piece[1:] for piece in rest)]
-        else:
-            pieces = text.split(" ")
+            return known.whole("\0" + text)
+        pieces = text.split(" ")
         pieces[0] = "\0" + pieces[0]
-        return b"".join(map(self._pieces.__getitem__, pieces))
+        try:
+            return b"".join(map(known.__getitem__, pieces))
+        except _WhiteSpace:  # a blank beside other white space: cut at single blanks only
+            first, *rest = _CUT.split(text)
+            return known.whole("\0" + first) + b"".join([known.whole(piece[1:]) for piece in rest])
 
 
 def _as_bytes(word: str) -> str:
