@@ -204,7 +204,7 @@ def not_loaded(report: DataFrame) -> set[str]:
 def _raw_bytes(raw: Callable[[str], DataFrame]) -> int:
     """Size of the raw tables as far as their plans tell it; a database doesn't."""
     source = getattr(raw, "__self__", None)
-    return source.input_bytes() if isinstance(source, ParquetSource) else 0
+    return _bytes_below(source.spark, source.root) if isinstance(source, ParquetSource) else 0
 
 
 def _bytes_below(spark: SparkSession, path: str) -> int:

@@ -243,6 +243,12 @@ def test_command_line_fails_with_a_missing_table(spark, tmp_path, capsys, monkey
     ]
 
 
+def test_a_source_that_is_not_there_fails_every_table(spark, tmp_path):
+    layout = pipeline.Layout(f"{tmp_path}/w")
+    reports = pipeline.run(spark, layout, ParquetSource(spark, "/nowhere").read)
+    assert all(status == "failed" for r in reports.values() for _, status in report(r).values())
+
+
 def test_unknown_stage(spark, tmp_path):
     with pytest.raises(ValueError, match="everything"):
         pipeline.run(spark, pipeline.Layout(str(tmp_path)), stage="everything")
