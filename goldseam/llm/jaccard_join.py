@@ -6,8 +6,9 @@ frequent ones last, and any two that link share a shingle among the first fifth
 
 * every set is compared with one pivot, the set that comes first in most of its lists.  A linked
   set hangs below its pivot, so a large group of near copies becomes one tree by as many
-  comparisons as it has sets;
-* lists in which all sets hang in one tree are skipped whole: their sets are in one group already;
+  comparisons as it has sets.  Sets that agree in a band of min-hashes get further pivots, the
+  first sets of their bands;
+* lists in which all sets are in one group are skipped whole;
 * for what is left, sets are skipped by blocks: the sets of one tree in a list are one entry, and a
   pair of trees that shares too few lists for its sizes can hold no link;
 * the overlap of two roots then answers for the sets below them: a set differs from its root by a
@@ -27,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldseam.llm.common import back, renamed, stored, text_of
-from goldseam.llm.shingles import digest, shingle_sets
+from goldseam.llm.shingles import band_keys, digest, shingle_sets
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: So many of the most frequent shingles stand last in the order; a bound of what is broadcast.
 FREQUENT = 200_000
+#: Permutations, bands of each and min-hashes of a band, by which sets find further pivots.
+TURNS, BANDS, ROWS = 2, 6, 16
 #: Sets that one task compares with a pivot, on average.
 BLOCK = 4_096
 #: Rows up to which a list of documents to look up is broadcast; beyond, it is joined by shuffle.
@@ -118,7 +121,7 @@ def prefix(hashes: np.ndarray, ordered: np.ndarray, ranks: np.ndarray) -> np.nda
 def described(
     docs: DataFrame, doc_id: str, text: str, frequent: np.ndarray, uid: str | None = None
 ) -> DataFrame:
-    """One row per document: uid, doc_id, n, key (of the set; null if empty) and prefix."""
+    """One row per document: uid, doc_id, n, key (of the set; null if empty), prefix and bands."""
     ranks = np.argsort(frequent)
     ordered = frequent[ranks]
 
@@ -137,8 +140,12 @@ def described(
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
+                        pa.array(
+                            [band_keys(s, TURNS, BANDS, ROWS).view(np.int64) for s in sets],
+                            pa.list_(pa.int64()),
+                        ),
                     ],
-                    names=["uid", "doc_id", "n", "key", "prefix"],
+                    names=["uid", "doc_id", "n", "key", "prefix", "bands"],
                 )
 
     rows = docs.select(
@@ -148,7 +155,8 @@ def described(
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        describe, f"uid long, doc_id {kind}, n long, key binary, prefix array<long>"
+        describe,
+        f"uid long, doc_id {kind}, n long, key binary, prefix array<long>, bands array<long>",
     )
 
 
@@ -287,6 +295,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("node"), "label")
 
 
+def _band_pivots(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different groups: each set with the first that shares a band."""
+    keys = classes.select("uid", F.posexplode("bands").alias("band", "key"))
+    firsts = (
+        keys.groupBy("band", "key")
+        .agg(F.min("uid").alias("pivot"), F.count("*").alias("sets"))
+        .where("sets > 1")
+        .select("band", "key", "pivot")
+    )
+    pairs = keys.join(firsts, ["band", "key"]).where("uid != pivot")
+    pairs = pairs.select(F.col("uid").alias("a"), F.col("pivot").alias("b")).distinct()
+    for side in "ab":
+        own = labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+        pairs = pairs.join(own, side, "left")
+    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    return pairs.where(apart).select("a", "b")
+
+
 def _links(overlap: Column, n_a: Column, n_b: Column) -> Column:
     return overlap * (100 + PERCENT) >= PERCENT * (n_a + n_b)
 
@@ -327,32 +353,43 @@ def links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFr
         )
     )
 
-    # Lists that still join several trees.
+    # Further pivots, among sets that are likely to be very similar.
+    edges = star.select("a", "b")
+    found = stored(_possible(_band_pivots(classes, components(edges)), sizes), "pivots")
+    compared = _sized(overlaps(docs, doc_id, text, found, classes), sizes)
+    linked = compared.where(_links(F.col("overlap"), F.col("n_a"), F.col("n_b")))
+    edges = stored(edges.unionByName(linked.select("a", "b")), "edges")
+
+    # Lists that still join several groups.
     zero = F.lit(0).cast("long")
-    placed = lists.join(tree, "uid", "left").select(
+    labels = components(edges)
+    placed = lists.join(tree, "uid", "left").join(labels, F.col("uid") == F.col("node"), "left")
+    placed = placed.select(
         "shingle", "uid", "n",
         F.coalesce("root", "uid").alias("root"),
         F.coalesce("more", zero).alias("more"),
         F.coalesce("less", zero).alias("less"),
+        F.coalesce("label", "uid").alias("label"),
     )
     mixed = (
         placed.groupBy("shingle")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
         .where("low != high")
         .select("shingle")
     )
     open_lists = stored(placed.join(mixed, "shingle"), "open")
-    trees_of = open_lists.groupBy("shingle", "root").agg(
+    trees_of = open_lists.groupBy("shingle", "root", "label").agg(
         F.min("n").alias("small"), F.max("n").alias("large")
     )
-    left = trees_of.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("root", "small", "large")))
-    right = trees_of.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("root", "small", "large")))
+    about = ("root", "label", "small", "large")
+    left = trees_of.select("shingle", *(F.col(c).alias(f"{c}_a") for c in about))
+    right = trees_of.select("shingle", *(F.col(c).alias(f"{c}_b") for c in about))
     # Beyond the prefixes a pair can share no more than the longer rest of the two.
     beyond = F.greatest(_ceil_share(F.col("large_a")), _ceil_share(F.col("large_b"))) - 1
     needed = F.ceil((F.col("small_a") + F.col("small_b")) * PERCENT / (100 + PERCENT))
     pairs = (
         left.join(right, "shingle")
-        .where("root_a > root_b")
+        .where("root_a > root_b AND label_a != label_b")
         .groupBy("root_a", "root_b")
         .agg(
             F.count("*").alias("shared"),
@@ -366,10 +403,10 @@ def links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFr
     )
     roots = stored(pairs, "roots")
     if roots.isEmpty():
-        return star.select("a", "b")
+        return edges
     answers = stored(_sized(overlaps(docs, doc_id, text, roots, classes), sizes), "answers")
     linked = _links(F.col("overlap"), F.col("n_a"), F.col("n_b"))
-    edges = star.select("a", "b").unionByName(answers.where(linked).select("a", "b"))
+    edges = edges.unionByName(answers.where(linked).select("a", "b"))
     answers = answers.where(~linked)  # linked roots need no further answer
 
     # What the roots' answers say of the sets below them, for pairs that share a list.
@@ -445,8 +482,9 @@ def jaccard_groups(
             F.min("doc_id").alias("smallest"),
             F.any_value("n").alias("n"),
             F.any_value("prefix").alias("prefix"),
+            F.any_value("bands").alias("bands"),
         )
-        .select("first.*", "smallest", "n", "key", "prefix"),
+        .select("first.*", "smallest", "n", "key", "prefix", "bands"),
         "classes",
     )
     edges = links(docs, doc_id, text, classes)

@@ -90,3 +90,22 @@ def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
 def digest(hashes: np.ndarray) -> bytes:
     """128 bits that tell sets apart."""
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def band_keys(hashes: np.ndarray, turns: int, bands: int, rows: int) -> np.ndarray:
+    """Keys of bands of min-hashes; sets agree in a band the likelier, the more similar they are.
+
+    One permutation serves all bands of a turn: a shingle belongs to one of ``bands * rows`` bins,
+    and the smallest of a bin is its min-hash.
+    """
+    bins = bands * rows
+    keys = []
+    with np.errstate(over="ignore"):
+        weights = _powers(_BASE, rows)
+        for turn in range(turns):
+            spread = _mixed(hashes + _PLACE[turn])
+            least = np.full(bins, np.iinfo(np.uint64).max)
+            np.minimum.at(least, (spread % np.uint64(bins)).astype(np.int64), spread)
+            sums = (_mixed(least).reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64)
+            keys.append(_mixed(sums))
+    return np.concatenate(keys)
