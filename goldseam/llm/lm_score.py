@@ -37,6 +37,7 @@ _END = b""  # the end of a text, which no word equals
 _CHARS = 1_000_000  # characters cut into words at a time
 _CELLS = 400_000  # tokens, with padding, that a recursion handles at a time
 _COUNTED = 300_000  # distinct words after which a task sends its counts
+_REMEMBERED = 300_000  # words whose symbols a task keeps
 
 
 def words_of(text: str) -> list[bytes]:
@@ -91,7 +92,10 @@ class _Symbols(dict):
         self._first, self._rare = 1 + len(frequent), rare
 
     def __missing__(self, word: bytes) -> int:
-        return self._first + zlib.crc32(word) % self._rare
+        symbol = self._first + zlib.crc32(word) % self._rare
+        if len(self) < _REMEMBERED:
+            self[word] = symbol
+        return symbol
 
 
 @dataclass
@@ -110,6 +114,11 @@ class Vocabulary:
     def symbols(self) -> _Symbols:
         return _Symbols(self.frequent, len(self.rare_mass))
 
+    @property
+    def dtype(self) -> np.dtype:
+        """The type in which sequences of symbols are stored."""
+        return np.dtype("<u2" if len(self) <= 1 << 16 else "<i4")
+
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT, rare: int = RARE) -> Vocabulary:
     sums = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.length("word") == 0, F.col("n")))).first()
@@ -221,20 +230,30 @@ def _segments(sequence: np.ndarray) -> list[np.ndarray]:
     return [sequence[at : at + SEGMENT] for at in range(0, len(sequence), SEGMENT)]
 
 
-def baum_welch(texts: DataFrame, words: Vocabulary, model: Model) -> Model:
-    """One round of training over a ``text`` column; counts are added up across the tasks."""
-    states, size = model.move.shape[0], len(words)
+def _stored_sequences(batch: pa.RecordBatch, dtype: np.dtype) -> Iterator[list[np.ndarray]]:
+    """The sequences of a batch, some at a time."""
+    some, size = [], 0
+    for value in batch.column("symbols"):
+        some.append(np.frombuffer(value.as_buffer(), dtype))
+        size += len(some[-1])
+        if size >= _CELLS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def baum_welch(sequences: DataFrame, words: Vocabulary, model: Model) -> Model:
+    """One round of training over a ``symbols`` column; counts are added up across the tasks."""
+    states, size, dtype = model.move.shape[0], len(words), words.dtype
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = words.symbols()
         sums = [np.zeros(states), np.zeros((states, states)), np.zeros((size, states))]
         for batch in batches:
-            given = batch.column("text").to_pylist()
-            for part in _slices(given):
+            for some in _stored_sequences(batch, dtype):
                 pieces, first = [], []
-                for at in part:
-                    said = words_of(given[at])
-                    own = _segments(np.array([*map(symbols.__getitem__, said), 0], np.int32))
+                for sequence in some:
+                    own = _segments(sequence)
                     pieces += own
                     first += [k == 0 for k in range(len(own))]
                 more = expected_counts(pieces, np.array(first, bool), model)
@@ -246,7 +265,7 @@ def baum_welch(texts: DataFrame, words: Vocabulary, model: Model) -> Model:
         )
 
     sums = (
-        texts.select("text")
+        sequences.select("symbols")
         .mapInArrow(expect, "place long, expected double")
         .groupBy("place")
         .agg(F.sum("expected").alias("expected"))
@@ -266,52 +285,71 @@ def baum_welch(texts: DataFrame, words: Vocabulary, model: Model) -> Model:
     )
 
 
-def _read(rows: DataFrame, words: Vocabulary, model: Model) -> DataFrame:
-    """What the model and the frequent words say of each text, and its other words with counts."""
-    share = np.log10(words.counts + 1)
-    mass = np.log10(words.rare_mass)
-    rare_from = len(words.counts)
+_READ = (
+    "row long, doc_id {id}, held_out boolean, n_tokens long, known long, base double, rare double"
+)
+_OTHERS = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+
+
+def read_texts(rows: DataFrame, words: Vocabulary) -> DataFrame:
+    """Each text as its sequence of ``symbols``; what frequent words give to the scores; and its
+    other words with how often they occur (``others``)."""
+    share, mass = np.log10(words.counts + 1), np.log10(words.rare_mass)
+    rare_from, dtype = len(words.counts), words.dtype
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = words.symbols()
         for batch in batches:
             given = batch.column("text").to_pylist()
             for part in _slices(given):
-                sequences, base, known, others = [], [], [], []
+                out = [[] for _ in range(6)]
                 for at in part:
-                    said = [*words_of(given[at]), _END]
-                    sequence = np.array([symbols[w] for w in said], np.int32)
-                    own = sequence[sequence < rare_from]
-                    sequences.append(sequence)
-                    base.append(float(share[own].sum()))
-                    known.append(int((words.counts[own] > 0).sum()))
-                    rare = Counter(w for w, k in zip(said, sequence.tolist(), strict=True) if k >= rare_from)
-                    others.append([{"word": w, "times": n} for w, n in rare.items()])
-                scores = log10_likelihoods(sequences, model)
-                for at, sequence in enumerate(sequences):
-                    scores[at] -= mass[sequence[sequence >= rare_from] - rare_from].sum()
-                rows = slice(part.start, part.stop)
+                    said = words_of(given[at])
+                    sequence = np.array([*map(symbols.__getitem__, said), 0], dtype)
+                    rare = sequence >= rare_from
+                    own = sequence[~rare]
+                    others = Counter([said[k] for k in np.flatnonzero(rare).tolist()])
+                    values = (
+                        len(sequence),
+                        int((words.counts[own] > 0).sum()),
+                        float(share[own].sum()),
+                        float(mass[sequence[rare].astype(np.int64) - rare_from].sum()),
+                        sequence.tobytes(),
+                        [{"word": w, "times": n} for w, n in others.items()],
+                    )
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), _OTHERS)
+                rows = batch.slice(part.start, len(part))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(name)[rows.start : rows.stop] for name in ("row", "doc_id", "held_out")),
-                        pa.array([len(s) for s in sequences], pa.int64()),
-                        pa.array(known, pa.int64()),
-                        pa.array(base, pa.float64()),
-                        pa.array(scores),
-                        pa.array(others, _OTHERS),
+                        *(rows.column(name) for name in ("row", "doc_id", "held_out")),
+                        *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)),
                     ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "forward", "others"],
-                )
+                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare",
+                           "symbols", "others"],
+                )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = _READ.format(id=rows.schema["doc_id"].dataType.simpleString())
     return rows.mapInArrow(
-        read,
-        f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, "
-        "forward double, others array<struct<word: binary, times: long>>",
+        read, schema + ", symbols binary, others array<struct<word: binary, times: long>>"
     )
 
 
-_OTHERS = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+def _scored(read: DataFrame, words: Vocabulary, model: Model) -> DataFrame:
+    """The texts with ``forward``, the log10 likelihood of their symbols, in place of these."""
+    columns, dtype = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare"], words.dtype
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [log10_likelihoods(some, model) for some in _stored_sequences(batch, dtype)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in columns), pa.array(np.concatenate([np.zeros(0), *found]))],
+                names=[*columns, "forward"],
+            )
+
+    schema = _READ.format(id=read.schema["doc_id"].dataType.simpleString())
+    return read.select(*columns, "symbols").mapInArrow(score, schema + ", forward double")
 
 
 def lm_scores(
@@ -339,13 +377,12 @@ def lm_scores(
         in_crc32_fold(doc_id, folds, held_out).alias("held_out"),
         text_of(text).alias("text"),
     )
-    training = rows.where("NOT held_out")
-    counts = stored(word_counts(training), "words")
+    counts = stored(word_counts(rows.where("NOT held_out")), "words")
     words = vocabulary(counts, frequent)
+    read = stored(read_texts(rows, words), "read")
     model = first_model(words, states)
     for _ in range(rounds if words.tokens else 0):
-        model = baum_welch(training, words, model)
-    read = stored(_read(rows, words, model), "read")
+        model = baum_welch(read.where("NOT held_out"), words, model)
     others = read.select("row", F.inline("others")).join(counts, "word")
     more = others.groupBy("row").agg(
         F.sum("times").alias("more_known"),
@@ -353,12 +390,12 @@ def lm_scores(
     )
     more_score = F.coalesce("more", F.lit(0.0))
     each = float(np.log10(words.tokens + words.distinct + 1))
-    return read.join(more, "row", "left").select(
+    return _scored(read, words, model).join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(words.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more_score - F.col("n_tokens") * each).alias("base_score"),
-        (F.col("forward") + more_score).alias("score"),
+        (F.col("forward") - F.col("rare") + more_score).alias("score"),
     )

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from goldseam.llm import lm_score, queries
-from goldseam.llm.common import documents as read
+from goldseam.llm.common import documents as read_documents
 from tests.llm.tables import by_id, documents, empty, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -37,7 +37,7 @@ def check_base(found, texts):
 
 def test_query_over_the_whole_table(spark):
     sf_dir = "/root/testdata/sf0.01"
-    texts = {r["doc_id"]: r["text"] for r in rows(read(spark, sf_dir))}
+    texts = {r["doc_id"]: r["text"] for r in rows(read_documents(spark, sf_dir))}
     found = by_id(queries.registered()["op9_lm_scoring"](spark, sf_dir))
     assert found.keys() == texts.keys()
     check_base(found, texts)
@@ -108,7 +108,9 @@ def test_probabilities_of_all_words_sum_to_one(spark):
     docs = documents(spark, ["a a b", "b c", "d d d e"])
     counts = lm_score.word_counts(docs)
     words = lm_score.vocabulary(counts, frequent=2, rare=4)
-    model = lm_score.baum_welch(docs, words, lm_score.first_model(words))
+    given = docs.selectExpr("doc_id AS row", "doc_id", "false AS held_out", "text")
+    read = lm_score.read_texts(given, words)
+    model = lm_score.baum_welch(read, words, lm_score.first_model(words))
     assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1)
     known = {bytes(r["word"]): r["n"] for r in rows(counts)}
     assert known == {b"a": 2, b"b": 2, b"c": 1, b"d": 3, b"e": 1, b"": 3}
