@@ -1,4 +1,5 @@
-"""Exact Jaccard join of documents on word shingles, and the groups that its links make.
+"""Exact Jaccard join of documents on word shingles: the groups that its links make, and the
+number of links of every document.
 
 Sets that are equal become one class at once.  Sets are ordered by one order of all shingles, the
 frequent ones last, and any two that link share a shingle among the first fifth of either
@@ -15,11 +16,16 @@ frequent ones last, and any two that link share a shingle among the first fifth
   known number of shingles, which bounds its overlap with any set of the other tree from above and
   from below.  Only pairs that the bounds leave open are compared.
 
+That gives the groups.  Links stay inside a group, so the links of each set are then counted by
+comparing all pairs of different sets of a group (``link_counts``), but for sets whose sizes allow
+no link.  Large groups are dealt out as pairs of blocks, and no pair becomes a row.
+
 No step drops a list, a set or a pair for its size; frequency only decides the order.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +46,14 @@ TURNS, BANDS, ROWS = 2, 6, 16
 BLOCK = 4_096
 #: Rows up to which a list of documents to look up is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 400_000
+#: Sets, and shingles of them, of a block whose links one task counts, on average.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
 
 _COUNTED = 2_000_000  # shingles that a task counts at a time
 _OFTEN = 4  # of these, so many make a shingle worth reporting
 _STEP = 512  # texts handled at a time
+_BYTES = 4_000_000  # of sets, sent on at a time
+_COLUMNS = 2_048  # shingles multiplied at a time
 
 
 def least_overlap(a, b):
@@ -443,6 +453,159 @@ def links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFr
     return edges
 
 
+def _block_pairs(classes: DataFrame) -> DataFrame:
+    """The classes of groups of several, each with the pairs of blocks (``roles``) it is compared in.
+
+    A block holds sets of one group and of one range of sizes.  Ranges are so wide that sets of two
+    ranges that aren't neighbours can't link.  Small groups are one block.
+    """
+    size = classes.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    range_ = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int")
+    small = (F.col("sets") <= BLOCK_SETS) & (F.col("shingles") <= BLOCK_SHINGLES)
+    placed = classes.join(size.where("sets > 1"), "group").select(
+        "uid", "doc_id", "key", "n", "copies", "group", F.when(small, -1).otherwise(range_).alias("range")
+    )
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    blocks = stored(placed.groupBy("group", "range").agg(parts.cast("int").alias("parts")), "blocks")
+    for name, other in (("parts", 0), ("above", -1), ("below", 1)):
+        near = blocks.select("group", (F.col("range") + other).alias("range"), F.col("parts").alias(name))
+        placed = placed.join(near, ["group", "range"], "left")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+
+    def roles(others: str, low: str, first: str, high: str, second: str, side: str) -> str:
+        numbers = f"IF({others} > 0, sequence(0, {others} - 1), CAST(array() AS array<int>))"
+        return (
+            f"transform({numbers}, p -> named_struct('group', group, 'low', {low}, 'first', {first},"
+            f" 'high', {high}, 'second', {second}, 'side', {side}))"
+        )
+
+    return placed.withColumn(
+        "roles",
+        F.concat(
+            F.expr(roles("parts", "range", "least(part, p)", "range", "greatest(part, p)", "IF(p < part, 1, 0)")),
+            F.expr(roles("above", "range", "part", "range + 1", "p", "0")),
+            F.expr(roles("below", "range - 1", "p", "range", "part", "1")),
+        ),
+    ).select("uid", "doc_id", "key", "copies", "roles")
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """The overlaps of all pairs of sets, as a matrix; its diagonal has no meaning."""
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held > 1  # a shingle of one set alone adds to no overlap
+    number = np.cumsum(shared) - 1
+    keep = shared[place]
+    owners, place = owners[keep], number[place[keep]]
+    order = np.argsort(place, kind="stable")
+    owners, place = owners[order], place[order]
+    found = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(shared.sum()), _COLUMNS):
+        first, end = np.searchsorted(place, (low, low + _COLUMNS))
+        width = int(place[end - 1]) - low + 1
+        holds = np.zeros((len(sets), width), np.float32)
+        holds[owners[first:end], place[first:end] - low] = 1
+        found += (holds @ holds.T).astype(np.int64)
+    return found
+
+
+def _linked(sides: list[int], sets: list[np.ndarray], copies: list[int], own: bool) -> np.ndarray:
+    """Rows that each set of a pair of blocks links with; of one block (``own``) inside it."""
+    sizes, side = np.array([len(s) for s in sets]), np.array(sides)
+    found = _common(sets) * (100 + PERCENT) >= PERCENT * (sizes[:, None] + sizes[None, :])
+    if own:
+        np.fill_diagonal(found, False)
+    else:
+        found &= side[:, None] != side[None, :]
+    return found @ np.array(copies, np.int64)
+
+
+def link_counts(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFrame:
+    """Rows of other classes that each class links with: uid, linked.
+
+    ``classes`` has uid, doc_id, key, n, copies and the group, outside of which there is no link.
+    """
+    wanted = stored(_block_pairs(classes), "wanted")
+    wanted = wanted.select(
+        "uid", F.col("doc_id").alias("wanted_id"), F.col("key").alias("wanted_key"), "copies", "roles"
+    )
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))
+    )
+    unit = ("group", "low", "first", "high", "second")
+    kinds = {
+        "group": pa.int64(), **dict.fromkeys((*unit[1:], "side"), pa.int32()),
+        "uid": pa.int64(), "copies": pa.int64(), "hashes": pa.binary(),
+    }
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            out.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(c), k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds)
+            )
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, _STEP):
+                part = batch.slice(at, _STEP)
+                named = [part.column(c).to_pylist() for c in ("uid", "wanted_key", "copies", "roles", "text")]
+                for uid, key, copies, roles, hashes in zip(*named[:4], shingle_sets(named[4]), strict=True):
+                    if not len(hashes) or digest(hashes) != key:
+                        continue
+                    data = hashes.tobytes()
+                    for r in roles:
+                        out.append((*(r[c] for c in (*unit, "side")), uid, copies, data))
+                        size += len(data)
+                        if size >= _BYTES:
+                            yield send()
+                            size = 0
+        yield send()
+
+    dealt = (
+        rows.select("text", "uid", "wanted_key", "copies", "roles")
+        .mapInArrow(
+            sets,
+            "group long, low int, first int, high int, second int, side int, uid long, copies long, hashes binary",
+        )
+        .repartition(*unit)
+        .sortWithinPartitions(*unit, "side", "uid")
+    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, ([], [], [], [])  # sides, uids, copies, sets
+
+        def answer() -> tuple[list[int], list[int]]:
+            sides, uids, copies, hashes = held
+            if len(uids) < 2:
+                return [], []
+            _, low, first, high, second = place
+            linked = _linked(sides, hashes, copies, (low, first) == (high, second))
+            return uids, linked.tolist()
+
+        for batch in batches:
+            found = ([], [])
+            named = [batch.column(c).to_pylist() for c in (*unit, "side", "uid", "copies")]
+            for row, (*here, side, uid, copies) in enumerate(zip(*named, strict=True)):
+                if here != place:
+                    for column, more in zip(found, answer(), strict=True):
+                        column.extend(more)
+                    place, held = here, ([], [], [], [])
+                if held[1] and held[1][-1] == uid:
+                    continue  # a repeated row of the document
+                hashes = np.frombuffer(batch.column("hashes")[row].as_buffer(), np.uint64).copy()
+                for column, value in zip(held, (side, uid, copies, hashes), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["uid", "linked"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in answer()], names=["uid", "linked"])
+
+    return dealt.mapInArrow(count, "uid long, linked long").groupBy("uid").agg(F.sum("linked").alias("linked"))
+
+
 def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     for side in "ab":
         pairs = pairs.join(sizes.select(F.col("uid").alias(side), F.col("n").alias(f"n_{side}")), side)
@@ -457,21 +620,11 @@ def _possible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
-def jaccard_groups(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    frequent: int = FREQUENT,
-    uid: str | None = None,
-) -> DataFrame:
-    """One row per row: uid (any number, or the column named so), doc_id, n_shingles, component_id and group (any number).
-
-    Words are ASCII-lower-cased and stand between ASCII white space.  A set holds the distinct
-    shingles of five words; a shorter text is one shingle as a whole.  Null texts and texts without
-    words are empty: they link with nothing, have n_shingles 0 and their own doc_id as component.
-    ``component_id`` is the smallest doc_id of the group, null only if all are.  Repeated rows are
-    in one group.  An empty table gives no rows.  Other columns are not read.
-    """
+def grouped_sets(
+    docs: DataFrame, doc_id: str, text: str, frequent: int, uid: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Every row with the key of its set (uid, doc_id, n, key), and the classes of equal sets with
+    their group (uid, doc_id, smallest, copies, n, key, group, component_id)."""
     heavy = frequent_shingles(docs, text, frequent)
     members = stored(described(docs, doc_id, text, heavy, uid), "sets")
     classes = stored(
@@ -480,20 +633,40 @@ def jaccard_groups(
         .agg(
             F.min(F.struct("uid", "doc_id")).alias("first"),
             F.min("doc_id").alias("smallest"),
+            F.count("*").alias("copies"),
             F.any_value("n").alias("n"),
             F.any_value("prefix").alias("prefix"),
             F.any_value("bands").alias("bands"),
         )
-        .select("first.*", "smallest", "n", "key", "prefix", "bands"),
+        .select("first.*", "smallest", "copies", "n", "key", "prefix", "bands"),
         "classes",
     )
     edges = links(docs, doc_id, text, classes)
     labels = components(edges)
-    grouped = classes.select("uid", "key", "smallest").join(labels, F.col("uid") == F.col("node"), "left")
-    grouped = grouped.select("key", "smallest", F.coalesce("label", "uid").alias("group"))
+    grouped = classes.drop("prefix", "bands").join(labels, F.col("uid") == F.col("node"), "left")
+    grouped = grouped.withColumn("group", F.coalesce("label", "uid")).drop("node", "label")
     smallest = grouped.groupBy("group").agg(F.min("smallest").alias("component_id"))
-    named = grouped.join(smallest, "group").select("key", "group", "component_id")
-    return members.select("uid", "doc_id", "n", "key").join(named, "key", "left").select(
+    return members.select("uid", "doc_id", "n", "key"), grouped.join(smallest, "group")
+
+
+def jaccard_groups(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    frequent: int = FREQUENT,
+    uid: str | None = None,
+) -> DataFrame:
+    """One row per row: uid (any number, or the column named so), doc_id, n_shingles, component_id and group (any number).
+
+    Words are ASCII-lower-cased and stand between ASCII white space.  A set holds the distinct
+    shingles of five words; a shorter text is one shingle as a whole.  Null texts and texts without
+    words are empty: they link with nothing, have n_shingles 0 and their own doc_id as component.
+    ``component_id`` is the smallest doc_id of the group, null only if all are.  Repeated rows are
+    in one group.  An empty table gives no rows.  Other columns are not read.
+    """
+    members, classes = grouped_sets(docs, doc_id, text, frequent, uid)
+    named = classes.select("key", "group", "component_id")
+    return members.join(named, "key", "left").select(
         "uid",
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -502,6 +675,34 @@ def jaccard_groups(
     )
 
 
+def jaccard_links(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT
+) -> DataFrame:
+    """One row per row: doc_id, n_shingles, component_id, class_id and n_links.
+
+    Sets, empty texts and ``component_id`` are those of ``jaccard_groups``.  ``class_id`` is the
+    smallest doc_id of the rows with an equal set, null only if all are; ``n_links`` is the number
+    of other rows that the row links with, rows with an equal set among them.  A row with an empty
+    text has its own doc_id as class and no links.
+    """
+    members, classes = grouped_sets(docs, doc_id, text, frequent)
+    classes = stored(classes, "grouped")
+    counted = link_counts(docs, doc_id, text, classes)
+    named = classes.join(counted, "uid", "left").select(
+        "key",
+        "component_id",
+        F.col("smallest").alias("class_id"),
+        (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
+    empty = F.col("key").isNull()
+    return members.join(named, "key", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        *(F.when(empty, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("component_id", "class_id")),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near copies: of each group the row with the smallest doc_id stays.
 

@@ -34,9 +34,7 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_groups(documents(spark, sf_dir)).select(
-        "doc_id", "n_shingles", "component_id"
-    )
+    return jaccard_join.jaccard_links(documents(spark, sf_dir))
 
 
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:

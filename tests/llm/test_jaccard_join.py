@@ -144,3 +144,48 @@ def test_query_over_the_whole_table(spark):
     found = by_id(queries.registered()["op3_jaccard_join"](spark, sf_dir))
     assert found.keys() == texts.keys()
     check(found, texts)
+
+
+def brute_links(texts):
+    """doc_id -> (class_id, n_links), comparing all pairs."""
+    sets = {i: frozenset(shingles(t)) for i, t in texts.items()}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    found = {}
+    for i, a in sets.items():
+        linked = sum(
+            100 * len(a & b) >= 80 * len(a | b) for j, b in sets.items() if j != i and a and b
+        )
+        found[i] = (first[a] if a else i, linked)
+    return found
+
+
+@pytest.mark.parametrize("block", [4, 30, 256])
+def test_links_are_counted_inside_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    draw = random.Random(block)
+    base = [f"w{k}" for k in range(90)]
+    texts = [edited(draw, base, draw.randint(0, 9)) for _ in range(150)] + [" ".join(base)] * 5
+    words = [f"v{k}" for k in range(900)]
+    texts += [" ".join(words[: 40 + k * 9]) for k in range(90)]
+    texts += ["x y z", "X  y\nz", "x y", "", " ", None]
+    draw.shuffle(texts)
+    texts = dict(enumerate(texts))
+    found = by_id(jaccard_join.jaccard_links(documents(spark, list(texts.values())).repartition(3)))
+    check(found, texts)
+    expected = brute_links(texts)
+    assert max(n for _, n in expected.values()) > 20
+    assert {i: (r["class_id"], r["n_links"]) for i, r in found.items()} == expected
+
+
+def test_links_of_odd_rows(spark):
+    same, near = "one two three four five six", " ".join(f"w{k}" for k in range(60))
+    docs = documents(
+        spark, [same, same, same, None, near, near + " x", near], ids=[9, 9, None, None, 4, 5, 4]
+    )
+    found = rows(jaccard_join.jaccard_links(docs))
+    assert sorted((r["class_id"] or -1, r["n_links"]) for r in found) == sorted(
+        [(9, 2)] * 3 + [(-1, 0)] + [(4, 2)] * 2 + [(5, 2)]
+    )
+    assert jaccard_join.jaccard_links(empty(spark)).collect() == []
