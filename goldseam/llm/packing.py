@@ -127,6 +127,22 @@ class Exchange:
         self.free[source] += length
         self.free[target] -= length
 
+    def _given(self, held: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+        """Groups of one or two pieces, by total length: one of every total, single pieces first."""
+        alike: dict[int, list[int]] = {}
+        for piece in held:
+            some = alike.setdefault(int(self.lengths[piece]), [])
+            if len(some) < 2:
+                some.append(piece)
+        groups = {length: (some[0],) for length, some in alike.items()}
+        lengths = list(alike)
+        for k, a in enumerate(lengths):
+            if len(alike[a]) > 1:
+                groups.setdefault(2 * a, (alike[a][0], alike[a][1]))
+            for b in lengths[k + 1 :]:
+                groups.setdefault(a + b, (alike[a][0], alike[b][0]))
+        return list(groups.items())
+
     def improve(self, source: int) -> bool:
         """The exchange that gives most of a bin's load to a fuller bin; false if there is none."""
         held = sorted(self.bins[source], key=lambda i: -self.lengths[i])
@@ -141,14 +157,15 @@ class Exchange:
                 fits = np.where(fuller & (self.free >= self.lengths[piece]), self.free, 1 << 40)
                 self._move(piece, int(fits.argmin()))
                 return True
-        # Swap one or two pieces for one: the gain is what the fuller bin gets more.
-        given = [(i,) for i in held] + [(i, j) for k, i in enumerate(held) for j in held[k + 1 :]]
+        # Swap one or two pieces for one: the gain is what the fuller bin gets more.  Pieces of equal
+        # length are alike, so one group for each choice of lengths is enough.
         others = np.flatnonzero(fuller[self.bin_of])
         free, lengths = self.free[self.bin_of[others]], self.lengths[others]
+        limit = np.minimum(free, fill)
         best, chosen = 0, None
-        for group in given[:64]:
-            gain = int(self.lengths[list(group)].sum()) - lengths
-            gain = np.where((gain > 0) & (gain <= free) & (gain <= fill), gain, 0)
+        for given, group in self._given(held):
+            gain = given - lengths
+            gain = np.where((gain > 0) & (gain <= limit), gain, 0)
             if len(gain) and gain[at := int(gain.argmax())] > best:
                 best, chosen = int(gain[at]), (group, int(others[at]))
         if chosen is None:
@@ -173,9 +190,9 @@ class Exchange:
                 break
             if not self.improve(source):
                 stuck[source] = True
-            elif self.free[source] == self.capacity:
-                used -= 1
-                stuck[:] = False
+                continue
+            stuck[:] = False  # the exchange may have made others possible
+            used -= int(self.free[source] == self.capacity)
         return [sorted(b) for b in self.bins if b]
 
 

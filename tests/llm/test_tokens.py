@@ -118,6 +118,26 @@ def test_an_exchange_empties_a_bin():
     assert len(bins) == 3 and int(((100 - state.free) ** 2).sum()) > squares
 
 
+@pytest.mark.parametrize(("low", "high", "n", "most"), [(300, 420, 900, 161), (200, 260, 900, 102), (140, 160, 1500, 111)])
+def test_search_of_similar_lengths_ends_without_an_exchange_left(low, high, n, most):
+    for seed in (1, 2):
+        draw = random.Random(seed)
+        lengths = [draw.randint(low, high) for _ in range(n)]
+        state = packing.Exchange(packing.best_fit(lengths, 2048), lengths, 2048)
+        bins = state.run()
+        check_bins(lengths, bins, 2048)
+        assert len(bins) <= most
+        if len(bins) > -(-sum(lengths) // 2048):
+            assert not any(state.improve(number) for number in range(len(state.bins)) if state.free[number])
+
+
+def test_every_pair_of_pieces_is_tried():
+    lengths = [*range(30, 18, -1), 38, 2009]  # only the two shortest fit for the 38: 19 + 20
+    state = packing.Exchange([list(range(12)), [12, 13]], lengths, 2048)
+    assert state.improve(0)
+    assert sorted(lengths[i] for i in state.bins[1]) == [19, 20, 2009]
+
+
 def check_packed(found, expected):
     """Sequences are gapless and at most full; pieces are those of the documents."""
     sequences, per_doc = defaultdict(list), defaultdict(list)
