@@ -94,10 +94,12 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
     labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(
         "lang IS NOT NULL AND text IS NOT NULL"
     )
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    distinct = labelled.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.count("*").alias("n"))
+    sizes = distinct.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()
+    counts = {r["lang"]: r["n"] for r in sizes}
     rate = F.lit(0.0)
-    for name, n in counts.items():
-        rate = F.when(F.col("lang") == name, min(1.0, 2 * SAMPLE_TEXTS / n)).otherwise(rate)
+    for r in sizes:
+        rate = F.when(F.col("lang") == r["lang"], min(1.0, 2 * SAMPLE_TEXTS / r["texts"])).otherwise(rate)
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
     sample = (
         labelled.withColumn("place", place)

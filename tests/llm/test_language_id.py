@@ -25,6 +25,15 @@ def test_short_and_long_texts(spark):
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
 
 
+def test_copies_do_not_thin_the_sample(spark):
+    words = [f"{GERMAN} {chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + k % 7)}q" for k in range(150)]
+    docs = documents(spark, words, langs=["de"] * 150)
+    copies = documents(spark, [GERMAN], langs=["de"]).crossJoin(spark.range(200_000)).drop("id")
+    learned = language_id.learn(docs.unionByName(copies)).dictionaries
+    own = [w.rsplit(" ", 1)[1].encode() for w in words]
+    assert sum(w in learned["de"] for w in own) >= 100
+
+
 def test_texts_without_letters_are_unknown(spark):
     found = by_id(language_id.language_id(labelled(spark, [None, "", "12 + 3 = 15 %%", "q"])))
     for k in range(3):
