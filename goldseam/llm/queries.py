@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from goldseam.llm import (
+    decontamination,
     exact_dedup,
     jaccard_join,
     language_id,
@@ -71,6 +72,13 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "source", "copy", "order_key", "text")
 
 
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.digests(
+        decontamination.benchmark_passages(documents(spark, sf_dir), benchmark)
+    )
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_secret_scan": secret_scan_query,
@@ -83,5 +91,6 @@ def registered() -> dict[str, Query]:
         "op8_token_files": token_files_query,
         "op9_lm_scoring": lm_scoring_query,
         "op10_source_mixing": mixing_query,
+        "op13_decontamination": decontamination_query,
         "pipeline": corpus_pipeline.run,
     }

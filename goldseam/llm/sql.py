@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from goldseam.llm import line_dedup, mixing
+from goldseam.llm import decontamination, line_dedup, mixing
 
 EXACT_DEDUP = r"""
 WITH rows AS (
@@ -99,10 +99,68 @@ SELECT doc_id, source, copy, text,
 FROM copied
 """
 
+DECONTAMINATION = rf"""
+WITH texts AS (
+    SELECT doc_id, row_number() OVER () AS r,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                        'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+), items AS (
+    SELECT coalesce(item_id::VARCHAR, '') AS item,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                        'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark
+), sized AS (
+    SELECT item, words, least(len(words), {decontamination.WINDOW}) AS width
+    FROM items WHERE len(words) > 0
+), windows AS (
+    SELECT DISTINCT item, width, array_to_string(words[pos + 1:pos + width], ' ') AS said
+    FROM (SELECT *, unnest(range(0, len(words) - width + 1)) AS pos FROM sized)
+), places AS (
+    SELECT r, width, pos, array_to_string(words[pos + 1:pos + width], ' ') AS said
+    FROM (
+        SELECT r, words, width, unnest(range(0, len(words) - width + 1)) AS pos
+        FROM texts, (SELECT DISTINCT width FROM sized)
+    )
+), occurring AS (
+    SELECT r, width, pos, item FROM places JOIN windows USING (width, said)
+), hit AS (
+    SELECT r, count(DISTINCT place)::BIGINT AS n_hit
+    FROM (SELECT r, unnest(range(pos, pos + width)) AS place FROM occurring) GROUP BY r
+), named AS (
+    SELECT r, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS said
+    FROM (SELECT DISTINCT r, item FROM occurring) GROUP BY r
+), ends AS (  -- consecutive windows of one item in a document make a longer match
+    SELECT DISTINCT o.r, o.pos, w.item, w.pos AS item_at, o.width
+    FROM places o JOIN (
+        SELECT item, width, pos, array_to_string(words[pos + 1:pos + width], ' ') AS said
+        FROM (SELECT *, unnest(range(0, len(words) - width + 1)) AS pos FROM sized)
+    ) w USING (width, said)
+), chains AS (
+    SELECT r, item, pos - item_at AS diagonal, pos, width,
+           pos - row_number() OVER (PARTITION BY r, item, pos - item_at ORDER BY pos) AS chain
+    FROM ends
+), longest AS (
+    SELECT r, max_by(first, (long, -first)) AS longest_at, max(long) AS longest
+    FROM (
+        SELECT r, min(pos) AS first, (count(*) + max(width) - 1)::BIGINT AS long
+        FROM chains GROUP BY r, item, diagonal, chain
+    ) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(said, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest,
+       longest_at::BIGINT AS longest_at
+FROM texts LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN longest USING (r)
+"""
+
 
 def statements() -> dict[str, str]:
     return {
         "op2_exact_dedup": EXACT_DEDUP,
         "op7_line_dedup": LINE_DEDUP,
         "op10_source_mixing": MIXING,
+        "op13_decontamination": DECONTAMINATION,
     }

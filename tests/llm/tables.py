@@ -42,7 +42,8 @@ def by_id(df, key="doc_id") -> dict:
 def differences(df, sql: str, sf_dir: str) -> list:
     """Rows that only one of query and SQL has."""
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     cursor = connection.execute(sql)
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(df.columns)
