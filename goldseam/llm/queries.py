@@ -17,6 +17,7 @@ from goldseam.llm import (
     mixing,
     neighbours,
     packing,
+    periodic_runs,
     secret_scan,
     token_files,
 )
@@ -72,6 +73,11 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "source", "copy", "order_key", "text")
 
 
+def periodic_runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = periodic_runs.with_repetitions(documents(spark, sf_dir))
+    return periodic_runs.digests(periodic_runs.periodic_runs(texts))
+
+
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.digests(
@@ -91,6 +97,7 @@ def registered() -> dict[str, Query]:
         "op8_token_files": token_files_query,
         "op9_lm_scoring": lm_scoring_query,
         "op10_source_mixing": mixing_query,
+        "op11_periodic_runs": periodic_runs_query,
         "op13_decontamination": decontamination_query,
         "pipeline": corpus_pipeline.run,
     }
