@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from goldseam.llm import (
+    alignment,
     decontamination,
     exact_dedup,
     jaccard_join,
@@ -21,8 +22,8 @@ from goldseam.llm import (
     secret_scan,
     token_files,
 )
-from goldseam.llm.common import documents, new_folder
-from goldseam.llm.tokens import vocabulary_path
+from goldseam.llm.common import documents, new_folder, stored
+from goldseam.llm.tokens import piece_vocabulary_path, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +79,13 @@ def periodic_runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(texts))
 
 
+def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.alignments(
+        documents(spark, sf_dir), vocabulary_path(), piece_vocabulary_path()
+    )
+    return alignment.with_counts(stored(alignment.with_digests(found), "alignments"))
+
+
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.digests(
@@ -98,6 +106,7 @@ def registered() -> dict[str, Query]:
         "op9_lm_scoring": lm_scoring_query,
         "op10_source_mixing": mixing_query,
         "op11_periodic_runs": periodic_runs_query,
+        "op12_alignment": alignment_query,
         "op13_decontamination": decontamination_query,
         "pipeline": corpus_pipeline.run,
     }

@@ -28,6 +28,13 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_vocabulary_path() -> str:
+    """The public piece vocabulary that the registered queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 class _WhiteSpace(Exception):
     """A piece that begins or ends with white space can't be encoded on its own."""
 
@@ -121,14 +128,14 @@ def _as_bytes(word: str) -> str:
     return word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
 
 
-def _byte_letters() -> dict[int, int]:
+def byte_letters() -> dict[int, int]:
     """The characters that byte-level vocabularies write for bytes: printable ones for themselves."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = (byte for byte in range(256) if byte not in plain)
     return {byte: 256 + at for at, byte in enumerate(rest)}
 
 
-_LETTERS = _byte_letters()
+_LETTERS = byte_letters()
 
 
 _encoders: dict[str, Encoder] = {}
