@@ -349,6 +349,14 @@ def _manifest(table: str) -> str:
 def _sources() -> dict[str, str]:
     counts = _union(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM b_{t}" for t in TABLES)
     manifest = _union(_manifest(t) for t in TABLES)
+    cover = f"""SELECT table_name, count(*) AS chunk_count, max(row_count) AS largest,
+                       CAST(sum(row_count) AS BIGINT) AS row_count,
+                       any_value(c.n) - CAST(sum(row_count) AS BIGINT) AS missing,
+                       count(*) FILTER (next_low < high_key) AS overlaps
+                FROM (SELECT *, lead(low_key) OVER (PARTITION BY table_name ORDER BY chunk_id) AS next_low
+                      FROM ({manifest}) m) m
+                JOIN (SELECT table_name, row_count AS n FROM ({counts}) c) c USING (table_name)
+                GROUP BY table_name"""
     info = _union(
         f"""SELECT '{t}' AS table_name, (SELECT count(*) FROM b_{t}) AS row_count,
             position, column_name, column_type
@@ -358,6 +366,7 @@ def _sources() -> dict[str, str]:
     return {
         "src_bronze_scan": counts,
         "src_chunk_manifest": manifest,
+        "src_chunk_cover": cover,
         "src_ingest_report": f"SELECT *, 'loaded' AS status FROM ({counts}) c",
         "src_table_info": info,
         "bronze_concat_chunks": _layer("b_lineitem"),

@@ -18,13 +18,15 @@ from goldseam.plans import pipeline, quality
 from goldseam.plans.warehouse import MARTS, Warehouse, bronze_of
 from goldseam.schemas import TABLES
 from goldseam.sources import chunks
-from goldseam.sources.files import ParquetSource, list_files, read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Rows of a chunk in the manifest: few enough for several chunks of every large table.
 CHUNK_ROWS = 1_000
 
+# Scans that a table's chunks are read in.
+CHUNK_SCANS = 8
+
 # A standard deviation is a floating-point sum, whose last digits depend on its order.
 NINE_DIGITS = "IF(stddev IS NOT NULL, CAST(format_string('%.8e', stddev) AS DOUBLE), NULL)"
 
@@ -48,9 +50,8 @@ def registered() -> dict[str, Query]:
     named: dict[str, Callable[[Warehouse], DataFrame]] = {
         "fct_revenue_by_supplier": lambda w: w.mart("fct_revenue_by_supplier"),
         "src_bronze_scan": lambda w: _per_table(w, profile.row_counts),
-        "src_chunk_manifest": lambda w: profile.over_tables(
-            [chunks.chunk_manifest(w.bronze(t.name), t, CHUNK_ROWS) for t in TABLES.values()]
-        ),
+        "src_chunk_manifest": lambda w: chunks.manifest(_keyed(w)),
+        "src_chunk_cover": _chunk_cover,
         "src_ingest_report": _ingest_report,
         "src_table_info": lambda w: _per_table(w, profile.table_info),
         "silver_row_delta": lambda w: _per_table(w, silver.row_delta),
@@ -110,11 +111,22 @@ def _over_directory(build: Callable[[Warehouse], DataFrame]) -> Query:
     return lambda spark, sf_dir: as_doubles(build(open_warehouse(spark, sf_dir)))
 
 
+def _keyed(warehouse: Warehouse) -> list[chunks.Keyed]:
+    return chunks.keyed([(warehouse.bronze(t.name), t) for t in TABLES.values()], CHUNK_ROWS)
+
+
+def _chunk_cover(warehouse: Warehouse) -> DataFrame:
+    """What the manifest of each table covers."""
+    tables = _keyed(warehouse)
+    return chunks.cover(chunks.manifest(tables), tables)
+
+
 def _concat_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All files of lineitem, in one scan, typed."""
-    source = ParquetSource(spark, sf_dir, stock.PATTERN)
-    files = [r.path for r in list_files(spark, source.path("lineitem")).select("path").collect()]
-    return as_doubles(bronze.conform(read_parquet(spark, *files), "lineitem"))
+    """The lines, read in ranges of the manifest and put together again."""
+    raw, spec = stock.reader(spark, sf_dir)("lineitem"), TABLES["lineitem"]
+    found = chunks.chunk_manifest(raw, spec, CHUNK_ROWS)
+    frames = chunks.scans(raw, spec.key[0], found, CHUNK_SCANS)
+    return as_doubles(bronze.conform(bronze.concat(frames), "lineitem"))
 
 
 def _ingest_report(warehouse: Warehouse) -> DataFrame:

@@ -1,156 +1,321 @@
-"""Cutting a table into chunks by ranges of its first key column.
+"""Cutting tables into chunks by ranges of their first key column, inside Spark.
 
 Ranges never overlap, so chunks can be read in parallel, in any order and again after a
 failure; paging by offset could repeat or lose rows wherever the order is not unique.
 
 Ranges are halves of halves: the range of all keys is halved, and every half again, until it holds
-at most ``chunk_size`` rows or a single key.  So chunks are even however the keys are spread.  Only
-counts are needed, of ranges that are still too large; no row leaves the table for it.
+at most ``chunk_size`` rows or a single key.  So chunks are even however the keys are spread.  One
+aggregate counts the keys of fine ranges of equal width, some for each chunk that is expected, and
+a second one adds them up to all ranges that hold them.  Only where keys lie so close that a fine
+range is still too large are its keys counted again, in finer ranges.  The driver learns what the
+keys reach from and to, and one row per table and round; ranges and chunks stay in Spark.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from goldseam.schemas import Table
 
 TOP = 62  # the first ranges are the keys below 0 and those from 0 on, as far as 2**62
-_LEVELS = 3  # halvings that one round of counts decides
+FINE = 16  # fine ranges for each chunk that is expected
 
-# Rows by number of the range, for the keys of some ranges: (width, ranges) -> {key // width: rows}.
-Counter = Callable[[int, "list[KeyRange]"], dict[int, int]]
+# (level, low, high) -> (number, n, least, most): the keys of every range of 2**level keys, counted;
+# with bounds only of ranges between them.
+Counter = Callable[[int, int | None, int | None], DataFrame]
+
+_CHUNK = "(n <= size OR at = 0) AND ((whole AND at = top) OR n_both > size)"
+_TOO_LARGE = "at = level AND level > 0 AND n > size"
 
 
 @dataclass(frozen=True)
-class KeyRange:
-    """Keys from ``low`` up to but not including ``high``; None is unbounded."""
+class Keyed:
+    """A table to be cut: its key bounds and rows (NULL keys apart), and how keys are counted."""
 
+    name: str
+    chunk_size: int
+    count: Counter
     low: int | None
     high: int | None
-
-    def condition(self, column: str) -> str:
-        parts = []
-        if self.low is not None:
-            parts.append(f"{column} >= {self.low}")
-        if self.high is not None:
-            parts.append(f"{column} < {self.high}")
-        return " AND ".join(parts) or f"{column} IS NOT NULL"
+    rows: int
+    nulls: int
 
 
 @dataclass(frozen=True)
-class Chunk:
-    """A range and its rows; without a range the rows whose key is NULL."""
+class _Round:
+    """Ranges to be counted: of which width, and below which wider ones."""
 
-    keys: KeyRange | None
-    rows: int
+    table: Keyed
+    level: int
+    top: int
+    low: int | None = None
+    high: int | None = None
+    within: DataFrame | None = None  # numbers of ranges at level top + 1; None for all keys
 
+    def counted(self) -> DataFrame:
+        ranges = self.table.count(self.level, self.low, self.high)
+        if self.within is not None:
+            wide = self.within.withColumnRenamed("number", "wide")
+            above = F.shiftright("number", self.top + 1 - self.level)
+            ranges = ranges.join(wide, above == F.col("wide"), "left_semi")
+        return ranges.select(
+            F.lit(self.table.name).alias("table_name"),
+            F.lit(self.table.chunk_size).cast("long").alias("size"),
+            F.lit(self.level).alias("level"),
+            F.lit(self.top).alias("top"),
+            F.lit(self.within is None).alias("whole"),
+            "number",
+            "n",
+            "least",
+            "most",
+        )
 
-def even_chunks(low: int, high: int, rows: int, chunk_size: int, count: Counter) -> list[Chunk]:
-    """Chunks of the keys from ``low`` to ``high``, in order; those without rows are left out."""
-    found = []
-    level = max(low.bit_length(), high.bit_length())
-    if low >> level == high >> level:
-        if rows <= chunk_size:
-            return [Chunk(_range(TOP, low >> TOP), rows)]
-        open_ = [low >> level]
-    else:
-        counts = count(1 << level, [KeyRange(None, None)])
-        for sign, n in sorted(counts.items()):
-            if n <= chunk_size:
-                found.append(Chunk(_range(TOP, sign), n))
-        open_ = [sign for sign, n in counts.items() if n > chunk_size]
-    while open_ and level:
-        step = min(_LEVELS, level)
-        below = count(1 << (level - step), [_range(level, number) for number in open_])
-        sums = {level - step: below}
-        for up in range(level - step + 1, level):
-            sums[up] = {}
-            for number, n in sums[up - 1].items():
-                sums[up][number >> 1] = sums[up].get(number >> 1, 0) + n
-        halves = {half for number in open_ for half in (2 * number, 2 * number + 1)}
-        for at in range(level - 1, level - step - 1, -1):
-            large = set()
-            for number in halves:
-                n = sums[at].get(number, 0)
-                if n > chunk_size and at:
-                    large.add(number)
-                elif n:
-                    found.append(Chunk(_range(at, number), n))
-            if at > level - step:
-                halves = {half for number in large for half in (2 * number, 2 * number + 1)}
-        open_, level = sorted(large), level - step
-    return sorted(found, key=lambda chunk: chunk.keys.low)
-
-
-def _range(level: int, number: int) -> KeyRange:
-    return KeyRange(number << level, (number + 1) << level)
-
-
-def chunk_predicates(
-    chunks: Iterable[Chunk], key: tuple[str, ...], chunk_size: int
-) -> list[str]:
-    """One predicate per chunk; together they take every row once, whatever its key.
-
-    The ranges are stretched over the gaps between them and to both ends.  A chunk over
-    ``chunk_size`` (one key, or NULL, with very many rows) is cut by the remainder of the second
-    key column, where the key has one.
+
+def _fine_bits(rows: int, chunk_size: int) -> int:
+    return max(0, math.ceil(math.log2(max(1, FINE * rows / chunk_size))))
+
+
+def _halved(counted: DataFrame) -> DataFrame:
+    """All ranges that hold a counted one, each with its rows and those of it and its sibling."""
+    each = counted.select(
+        "*", F.explode(F.sequence("level", "top")).alias("at")
+    ).selectExpr(
+        "table_name", "size", "level", "top", "whole", "at", "n", "least", "most",
+        "shiftright(number, at - level + 1) AS half",
+        "shiftright(number, at - level) & 1 AS side",
+    )
+    sides = [
+        what
+        for side in (0, 1)
+        for what in (
+            F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).alias(f"n{side}"),
+            F.min(F.when(F.col("side") == side, F.col("least"))).alias(f"least{side}"),
+            F.max(F.when(F.col("side") == side, F.col("most"))).alias(f"most{side}"),
+        )
+    ]
+    pairs = each.groupBy("table_name", "size", "level", "top", "whole", "at", "half").agg(*sides)
+    both = ", ".join(
+        f"2 * half + {side}, n{side}, least{side}, most{side}" for side in (0, 1)
+    )
+    return pairs.selectExpr(
+        "table_name", "size", "level", "top", "whole", "at", "n0 + n1 AS n_both",
+        f"stack(2, {both}) AS (number, n, least, most)",
+    ).where("n > 0")
+
+
+def _as_chunks(nodes: DataFrame) -> DataFrame:
+    """Ranges as keys from ``low_key`` up to ``high_key``; one without end has no high key.
+
+    A range that needn't be halved at all is one of the first ranges, wherever its keys lie.
     """
-    chunks = list(chunks)
-    ranges = [chunk for chunk in chunks if chunk.keys is not None]
-    edges = [None, *(chunk.keys.low for chunk in ranges[1:]), None]
-    conditions = [
-        (KeyRange(edges[i], edges[i + 1]).condition(key[0]), chunk.rows)
-        for i, chunk in enumerate(ranges)
-    ] or [(f"{key[0]} IS NOT NULL", 0)]
-    nulls = sum(chunk.rows for chunk in chunks if chunk.keys is None)
-    conditions.append((f"{key[0]} IS NULL", nulls))
-    predicates = []
-    for condition, rows in conditions:
-        pieces = -(-rows // chunk_size) if len(key) > 1 else 1
-        if pieces <= 1:
-            predicates.append(condition)
-            continue
-        remainder = f"MOD(ABS({key[1]}), {pieces})"
-        predicates.append(f"({condition}) AND ({remainder} = 0 OR {key[1]} IS NULL)")
-        predicates += [f"({condition}) AND {remainder} = {i}" for i in range(1, pieces)]
-    return predicates
+    wide = f"IF(whole AND at = top, greatest(at, {TOP}), at)"
+    rows = nodes.where(_CHUNK).selectExpr("*", f"{wide} AS wide")
+    return rows.selectExpr(
+        "table_name",
+        "shiftleft(number, wide) AS low_key",
+        "CASE WHEN wide < 63 THEN try_add(shiftleft(number, wide), shiftleft(1L, wide)) "
+        "WHEN number < 0 THEN 0L END AS high_key",
+        "n AS row_count",
+    )
 
 
-def table_chunks(df: DataFrame, column: str, chunk_size: int) -> list[Chunk]:
-    """Chunks of a table that Spark can scan; NULL keys are the last."""
-    low, high, rows, nulls = df.agg(
-        F.min(column), F.max(column), F.count(column), F.count_if(F.col(column).isNull())
-    ).first()
+def _finer(found: Row, before: _Round, nodes: DataFrame) -> _Round:
+    """The round that cuts the ranges of a table that are still too large."""
+    differing = int(found.differing).bit_length()  # no range above this bit parts their keys
+    bits = max(1, _fine_bits(found.n, before.table.chunk_size))
+    level = max(0, min(differing, before.level) - bits)
+    within = nodes.where(_TOO_LARGE).where(F.col("table_name") == before.table.name)
+    return _Round(
+        before.table, level, before.level - 1, found.least, found.most, within.select("number")
+    )
+
+
+def cut(tables: list[Keyed]) -> DataFrame:
+    """Chunks of several tables as (table_name, low_key, high_key, row_count); NULLs have no range."""
+    rounds = []
+    for table in tables:
+        if table.rows:
+            top = max(table.low.bit_length(), table.high.bit_length())
+            level = max(0, top - _fine_bits(table.rows, table.chunk_size))
+            rounds.append(_Round(table, level, top))
     found = []
-    if rows:
+    while rounds:
+        nodes = _halved(reduce(DataFrame.unionByName, [r.counted() for r in rounds]))
+        found.append(_as_chunks(nodes))
+        if not any(r.level for r in rounds):
+            break
+        large = (
+            nodes.where(_TOO_LARGE)
+            .groupBy("table_name")
+            .agg(
+                F.max("n").alias("n"),
+                F.max(F.col("least").bitwiseXOR(F.col("most"))).alias("differing"),
+                F.min("least").alias("least"),
+                F.max("most").alias("most"),
+            )
+            .collect()
+        )  # a row per table
+        before = {r.table.name: r for r in rounds}
+        rounds = [_finer(row, before[row.table_name], nodes) for row in large]
+    nulls = [(t.name, None, None, t.nulls) for t in tables if t.nulls]
+    schema = "table_name string, low_key long, high_key long, row_count long"
+    apart = SparkSession.active().createDataFrame(nulls, schema)
+    return reduce(DataFrame.unionByName, found, apart)
 
-        def count(width: int, ranges: list[KeyRange]) -> dict[int, int]:
-            where = " OR ".join(f"({r.condition(column)})" for r in ranges)
-            shift = width.bit_length() - 1
-            number = F.shiftright(F.col(column).cast("long"), shift)
-            counted = df.filter(F.expr(where)).groupBy(number.alias("number")).count()
-            return {r["number"]: r["count"] for r in counted.collect()}  # some per chunk
 
-        found = even_chunks(int(low), int(high), rows, chunk_size, count)
-    return found + ([Chunk(None, nulls)] if nulls else [])
+def counter(df: DataFrame, column: str) -> Counter:
+    """Counts keys of a table that Spark can scan; bounds reach the scan as filters."""
+    whole = df.schema[column].dataType.simpleString() == "bigint"
+    key = F.col(column) if whole else F.col(column).cast("long")
 
+    def count(level: int, low: int | None, high: int | None) -> DataFrame:
+        rows = df.where(key.isNotNull())
+        if low is not None:
+            rows = rows.where((key >= low) & (key <= high))
+        return rows.groupBy(F.shiftright(key, level).alias("number")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(key).alias("least"), F.max(key).alias("most")
+        )
 
-def chunk_manifest(df: DataFrame, table: Table, chunk_size: int | None = None) -> DataFrame:
-    """Every chunk of a table: its position, its range and its rows; NULL keys have no range."""
-    found = table_chunks(df, table.key[0], chunk_size or table.chunk_size)
-    rows = [
-        (table.name, at, *((c.keys.low, c.keys.high) if c.keys else (None, None)), c.rows)
-        for at, c in enumerate(found)
+    return count
+
+
+def keyed(frames: Iterable[tuple[DataFrame, Table]], chunk_size: int | None = None) -> list[Keyed]:
+    """Tables that Spark can scan, with the bounds of their keys, which one job reads."""
+    frames = list(frames)
+    bounds = [
+        df.agg(
+            F.lit(table.name).alias("name"),
+            F.min(table.key[0]).cast("long").alias("low"),
+            F.max(table.key[0]).cast("long").alias("high"),
+            F.count(table.key[0]).alias("rows"),
+            F.count_if(F.col(table.key[0]).isNull()).alias("nulls"),
+        )
+        for df, table in frames
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "table_name string, chunk_id int, low_key long, high_key long, row_count long"
+    known = {r.name: r for r in reduce(DataFrame.unionByName, bounds).collect()}  # a row per table
+    found = []
+    for df, table in frames:
+        told = known[table.name]
+        size = chunk_size or table.chunk_size
+        count = counter(df, table.key[0])
+        found.append(Keyed(table.name, size, count, told.low, told.high, told.rows, told.nulls))
+    return found
+
+
+def manifest(tables: list[Keyed]) -> DataFrame:
+    """Every chunk of every table: its position there, its range and its rows.
+
+    (table_name, chunk_id, low_key, high_key, row_count), the keys being ``low_key`` up to but not
+    including ``high_key``.  The rows whose key is NULL are the last chunk and have no range.
+    """
+    place = Window.partitionBy("table_name").orderBy(F.col("low_key").asc_nulls_last())
+    return cut(tables).select(
+        "table_name",
+        (F.row_number().over(place) - 1).alias("chunk_id"),
+        "low_key",
+        "high_key",
+        "row_count",
     )
 
 
-def split(df: DataFrame, column: str, chunks: Iterable[Chunk]) -> list[DataFrame]:
-    """One frame per chunk; the filters reach the scan, which skips row groups outside."""
-    return [df.filter(F.expr(p)) for p in chunk_predicates(chunks, (column,), 1)]
+def chunk_manifest(df: DataFrame, table: Table, chunk_size: int | None = None) -> DataFrame:
+    """The manifest of one table."""
+    return manifest(keyed([(df, table)], chunk_size))
+
+
+def pieces(chunks: DataFrame, most: int) -> DataFrame:
+    """Neighbouring chunks put together to at most ``most`` pieces of a table, of even sizes.
+
+    (table_name, piece, low_key, high_key, row_count, chunk_count); NULL keys stay apart.
+    """
+    ahead = Window.partitionBy("table_name").orderBy("chunk_id")
+    before = F.coalesce(
+        F.sum("row_count").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    total = F.sum("row_count").over(Window.partitionBy("table_name"))
+    ranges = chunks.where("low_key IS NOT NULL").withColumns({"before": before, "total": total})
+    numbered = ranges.withColumn("piece", F.expr(f"CAST({int(most)} * before div total AS int)"))
+    nulls = chunks.where("low_key IS NULL").select("*", F.lit(None).cast("int").alias("piece"))
+    together = numbered.drop("before", "total").unionByName(nulls)
+    # One without end has no high key, and is the last.
+    end = F.when(F.count_if(F.col("high_key").isNull()) == 0, F.max("high_key"))
+    return together.groupBy("table_name", "piece").agg(
+        F.min("low_key").alias("low_key"),
+        end.alias("high_key"),
+        F.sum("row_count").alias("row_count"),
+        F.count(F.lit(1)).alias("chunk_count"),
+    )
+
+
+def cover(chunks: DataFrame, tables: list[Keyed]) -> DataFrame:
+    """Whether chunks take every row of their tables once, from the manifest alone.
+
+    (table_name, chunk_count, largest, row_count, missing, overlaps): the rows of all chunks, the
+    rows of the table that they lack, and the ranges that begin before the one ahead ends.
+    """
+    next_low = F.lead("low_key").over(Window.partitionBy("table_name").orderBy("chunk_id"))
+    found = chunks.withColumn("crosses", next_low < F.col("high_key")).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("chunk_count"),
+        F.max("row_count").alias("largest"),
+        F.sum("row_count").alias("row_count"),
+        F.count_if("crosses").alias("overlaps"),
+    )
+    rows = F.create_map(*(F.lit(x) for t in tables for x in (t.name, t.rows + t.nulls)))
+    return found.select(
+        "table_name",
+        "chunk_count",
+        "largest",
+        "row_count",
+        (rows[F.col("table_name")] - F.col("row_count")).alias("missing"),
+        "overlaps",
+    )
+
+
+def predicates(ranges: Iterable[Row], key: tuple[str, ...], chunk_size: int | None = None) -> list[str]:
+    """One predicate for each range; together they take every row once, whatever its key.
+
+    ``ranges`` are rows (low_key, high_key, row_count) in order, those of NULL keys last.  Ranges
+    are stretched over the gaps between them and to both ends.  One over ``chunk_size`` (a key, or
+    NULL, with very many rows) is cut by the remainder of the second key column, where the key has
+    one.
+    """
+    ranges = list(ranges)
+    bounded = [r for r in ranges if r.low_key is not None]
+    edges = [None, *(r.low_key for r in bounded[1:]), None]
+    conditions = [
+        (_between(key[0], edges[i], edges[i + 1]), r.row_count) for i, r in enumerate(bounded)
+    ] or [(_between(key[0], None, None), 0)]
+    nulls = sum(r.row_count for r in ranges if r.low_key is None)
+    conditions.append((f"{key[0]} IS NULL", nulls))
+    found = []
+    for condition, rows in conditions:
+        parts = -(-rows // chunk_size) if chunk_size and len(key) > 1 else 1
+        if parts <= 1:
+            found.append(condition)
+            continue
+        remainder = f"MOD(ABS({key[1]}), {parts})"
+        found.append(f"({condition}) AND ({remainder} = 0 OR {key[1]} IS NULL)")
+        found += [f"({condition}) AND {remainder} = {i}" for i in range(1, parts)]
+    return found
+
+
+def _between(column: str, low: int | None, high: int | None) -> str:
+    parts = [f"{column} >= {low}"] if low is not None else []
+    parts += [f"{column} < {high}"] if high is not None else []
+    return " AND ".join(parts) or f"{column} IS NOT NULL"
+
+
+def scans(df: DataFrame, column: str, chunks: DataFrame, most: int) -> list[DataFrame]:
+    """At most ``most`` + 1 frames that hold every row of a table once, each a range of its keys.
+
+    The ranges are those of the manifest, neighbours put together; the filters reach the scan,
+    which skips row groups outside.
+    """
+    ranges = pieces(chunks, most).orderBy(F.col("piece").asc_nulls_last()).collect()  # bounded
+    return [df.filter(F.expr(p)) for p in predicates(ranges, (column,))]

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from goldseam.schemas import TABLES, Table
-from goldseam.sources.chunks import Chunk, KeyRange, chunk_predicates, even_chunks
+from goldseam.sources.chunks import Counter, Keyed, manifest, predicates
 
 
 class JdbcSource:
     """Reads small tables whole and large ones as parallel key ranges.
 
-    The database does the counting: the driver receives the bounds of a key and row counts of
-    ranges, never rows of the table.  Every chunk is one connection while its task runs, so the
+    The database counts keys by ranges of equal width, Spark makes chunks of the counts, and no row
+    leaves the table for it.  A JDBC read takes its partitions as a list of predicates, so the
+    driver holds one for each chunk.  Every chunk is one connection while its task runs, so the
     running tasks bound the load on the database.
     """
 
@@ -34,9 +36,8 @@ class JdbcSource:
         name = self.prefix + table
         if spec.whole_extract:
             return self.spark.read.jdbc(self.url, name, properties=self.properties)
-        predicates = self._predicates(spec, name)
         return self.spark.read.jdbc(
-            self.url, name, predicates=predicates, properties=self.properties
+            self.url, name, predicates=self._predicates(spec, name), properties=self.properties
         )
 
     def query(self, sql: str) -> DataFrame:
@@ -52,17 +53,28 @@ class JdbcSource:
             f"SELECT MIN({key}) AS low_key, MAX({key}) AS high_key, COUNT({key}) AS n, "
             f"COUNT(*) AS n_all FROM {name}"
         ).first()
-        chunks = []
-        if rows:
+        rows, total = int(rows or 0), int(total or 0)
+        if not rows:
+            return predicates([Row(low_key=None, row_count=total)], spec.key, spec.chunk_size)
+        bounds = (int(low), int(high), rows, total - rows)
+        found = manifest([Keyed(spec.name, spec.chunk_size, self._counter(name, key), *bounds)])
+        return predicates(found.orderBy("chunk_id").collect(), spec.key, spec.chunk_size)
 
-            def count(width: int, ranges: list[KeyRange]) -> dict[int, int]:
-                where = " OR ".join(f"({r.condition(key)})" for r in ranges)
-                counted = self.query(
-                    f"SELECT range_no, COUNT(*) AS n FROM (SELECT FLOOR({key} / {width}.0) AS "
-                    f"range_no FROM {name} WHERE {where}) r GROUP BY range_no"
-                )
-                return {int(r[0]): int(r[1]) for r in counted.collect()}
+    def _counter(self, name: str, key: str) -> Counter:
+        """Counts keys in the database, by the first key of their range."""
 
-            chunks = even_chunks(int(low), int(high), int(rows), spec.chunk_size, count)
-        chunks.append(Chunk(None, int(total or 0) - int(rows or 0)))
-        return chunk_predicates(chunks, spec.key, spec.chunk_size)
+        def count(level: int, low: int | None, high: int | None) -> DataFrame:
+            width = 1 << level
+            first = f"{key} - MOD(MOD({key}, {width}) + {width}, {width})"
+            where = f"{key} IS NOT NULL" if low is None else f"{key} BETWEEN {low} AND {high}"
+            counted = self.query(
+                f"SELECT first_key, COUNT(*) AS n, MIN(k) AS least, MAX(k) AS most FROM "
+                f"(SELECT {first} AS first_key, {key} AS k FROM {name} WHERE {where}) r "
+                "GROUP BY first_key"
+            )
+            return counted.select(
+                F.shiftright(F.col("first_key").cast("long"), level).alias("number"),
+                *(F.col(c).cast("long").alias(c) for c in ("n", "least", "most")),
+            )
+
+        return count

@@ -1,3 +1,4 @@
+import dataclasses
 import time
 
 import pytest
@@ -60,49 +61,126 @@ def test_no_snapshot(spark, tmp_path):
         files.read_snapshot(spark, str(tmp_path), "orders")
 
 
+ORDERS = TABLES["orders"]
+
+
+def halved(keys, size):
+    """Chunks by halving ranges one by one."""
+    found = []
+
+    def halve(number, level, held):
+        if held and (len(held) <= size or not level):
+            found.append((number << level, (number + 1) << level, len(held)))
+        elif held:
+            for half in (2 * number, 2 * number + 1):
+                halve(half, level - 1, [k for k in held if k >> (level - 1) == half])
+
+    known = [k for k in keys if k is not None]
+    for sign in (-1, 0):
+        halve(sign, 62, [k for k in known if k >> 62 == sign])
+    nulls = len(keys) - len(known)
+    return sorted(found) + ([(None, None, nulls)] if nulls else [])
+
+
+def keys_of(spark, keys):
+    return spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint")
+
+
+CLUSTERS = [10**15 + k for k in range(200)] + [-(2**61) + 3 * k for k in range(90)] + [5] * 30 + [2**61]
+
+
+@pytest.mark.parametrize("size", [1, 3, 25, 100, 1000])
+@pytest.mark.parametrize("keys", [list(range(300)), CLUSTERS, [-1, 0], [None] * 4 + [7] * 9, [2**62 - 1]])
+def test_chunks_are_halves_of_halves(spark, keys, size):
+    rows = chunks.chunk_manifest(keys_of(spark, keys), ORDERS, size).orderBy("chunk_id").collect()
+    assert [tuple(r)[2:] for r in rows] == halved(keys, size)
+    assert [r.chunk_id for r in rows] == list(range(len(rows)))
+
+
+def test_keys_at_the_ends_of_their_type(spark):
+    keys = [-(2**63), 0, 2**62, 2**63 - 1]
+    for size, ends in ((4, None), (1, None)):
+        rows = chunks.chunk_manifest(keys_of(spark, keys), ORDERS, size).orderBy("chunk_id").collect()
+        assert sum(r.row_count for r in rows) == 4 and rows[-1].high_key is ends
+        assert all(a.high_key <= b.low_key for a, b in zip(rows, rows[1:]))
+
+
+def test_ranges_stay_in_spark(spark, monkeypatch):
+    """The driver learns one row per table and round, however many ranges there are."""
+    asked, learned = [], []
+    collect = type(spark.range(1)).collect
+
+    def recorded(frame):
+        rows = collect(frame)
+        learned.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(spark.range(1)), "collect", recorded)
+    df = keys_of(spark, [*range(3_000), *(10**12 + k for k in range(2_000))])
+    (table,) = chunks.keyed([(df, ORDERS)], 10)
+    count = table.count
+
+    def counted(*bounds):
+        asked.append(bounds)
+        return count(*bounds)
+
+    found = chunks.cut([dataclasses.replace(table, count=counted)])
+    assert len(asked) <= 4 and learned and max(learned) == 1
+    assert found.count() > 400
+
+
+def test_several_tables_are_cut_together(spark):
+    frames = [
+        (keys_of(spark, range(100)), ORDERS),
+        (spark.range(0).selectExpr("id AS c_custkey"), TABLES["customer"]),
+        (spark.createDataFrame([(None,)], "p_partkey bigint"), TABLES["part"]),
+    ]
+    tables = chunks.keyed(frames, 30)
+    rows = chunks.manifest(tables).orderBy("table_name", "chunk_id").collect()
+    expected = [("orders", *r) for r in halved(list(range(100)), 30)] + [("part", None, None, 1)]
+    assert [(r.table_name, r.low_key, r.high_key, r.row_count) for r in rows] == expected
+    assert {r.table_name: r.chunk_count for r in chunks.cover(chunks.manifest(tables), tables).collect()} == {
+        "orders": len(halved(list(range(100)), 30)),
+        "part": 1,
+    }
+
+
+def test_cover_tells_what_chunks_lack(spark):
+    df = keys_of(spark, [*range(50), None])
+    tables = chunks.keyed([(df, ORDERS)], 10)
+    found = chunks.manifest(tables)
+    assert tuple(chunks.cover(found, tables).first())[3:] == (51, 0, 0)
+    lacking = chunks.cover(found.where("chunk_id != 1"), tables).first()
+    assert lacking.missing == 51 - lacking.row_count > 0
+    shifted = found.selectExpr("table_name", "chunk_id", "low_key", "high_key + 1 AS high_key", "row_count")
+    assert chunks.cover(shifted, tables).first().overlaps > 0
+
+
 @pytest.mark.parametrize("size", [1, 7, 40, 1000])
-def test_chunks_cover_every_row_once(spark, size):
+def test_predicates_and_scans_take_every_row_once(spark, size):
     rows = [(i, i % 5) for i in range(60)] + [(7, n) for n in range(-90, 90)]
     rows += [(None, 1), (7, None), (None, None), (10**12, 1), (-(2**40), 0)]
-    df = spark.createDataFrame(rows, "k bigint, n bigint")
-    found = chunks.table_chunks(df, "k", size)
-    assert sum(c.rows for c in found) == len(rows)
-    assert all(c.rows <= size or c.keys is None or c.keys.high - c.keys.low == 1 for c in found)
-    predicates = chunks.chunk_predicates(found, ("k", "n"), size)
+    df = spark.createDataFrame(rows, "o_orderkey bigint, n bigint")
+    manifest = chunks.chunk_manifest(df, ORDERS, size)
+    found = manifest.orderBy("chunk_id").collect()
+    predicates = chunks.predicates(found, ("o_orderkey", "n"), size)
     hits = [F.coalesce(F.expr(p).cast("int"), F.lit(0)) for p in predicates]
     assert df.filter(sum(hits[1:], hits[0]) != 1).count() == 0
-    frames = chunks.split(df, "k", found)
-    assert sum(f.count() for f in frames) == len(rows)
-
-
-def test_chunks_are_counted_in_few_rounds():
-    asked = []
-    keys = [*range(100_000), 10**12]
-
-    def count(width, ranges):
-        asked.append(len(ranges))
-        found = {}
-        for k in keys:
-            if any((r.low is None or r.low <= k) and (r.high is None or k < r.high) for r in ranges):
-                found[k // width] = found.get(k // width, 0) + 1
-        return found
-
-    found = chunks.even_chunks(0, 10**12, len(keys), 5000, count)
-    assert sum(c.rows for c in found) == len(keys) and max(c.rows for c in found) <= 5000
-    assert len(asked) <= 14 and len(found) <= 60
-
-
-def test_manifest(spark):
-    df = spark.createDataFrame([(k,) for k in (-1, 0, 999, 1000, 2**60, None)], "r_regionkey bigint")
-    rows = chunks.chunk_manifest(df, TABLES["region"], 2).collect()
-    assert [tuple(r)[1:] for r in rows] == [
-        (0, -(2**62), 0, 1),
-        (1, 0, 512, 1),
-        (2, 512, 1024, 2),
-        (3, 2**60, 2**61, 1),
-        (4, None, None, 1),
-    ]
-    assert chunks.chunk_manifest(df.limit(0), TABLES["region"]).collect() == []
+    for most in (1, 3, 100):
+        frames = chunks.scans(df, "o_orderkey", manifest, most)
+        assert len(frames) <= most + 1
+        assert sum(f.count() for f in frames) == len(rows)
+
+
+def test_scans_are_even_and_pruned(spark, tmp_path):
+    spark.range(10_000).selectExpr("id AS o_orderkey").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    frames = chunks.scans(df, "o_orderkey", chunks.chunk_manifest(df, ORDERS, 100), 4)
+    sizes = [f.count() for f in frames]
+    assert sum(sizes) == 10_000 and len(sizes) == 5 and sizes[-1] == 0 and min(sizes[:4]) > 2_000
+    for frame in frames[1:3]:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(o_orderkey," in plan and "LessThan(o_orderkey," in plan
 
 
 def test_listing_of_all_files_or_of_a_suffix(spark, tmp_path):
