@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldseam.llm.common import stored, text_of
-from goldseam.llm.tokens import CACHE_PIECES, byte_letters, encoder
+from goldseam.llm.tokens import byte_letters, encoder
 
-BATCH_TOKENS = 200_000  # tokens of a side aligned at a time
+BATCH_TOKENS = 100_000  # tokens of a side aligned at a time
+KEPT_PIECES = 250_000  # pieces B that a Python process keeps with their ids, some 40 MB
 BATCH_TEXTS = 20_000
 GROUP_LINKS = 1 << 20  # links of a group from which on ids are made distinct before pairing
 BLOCK_PAIRS = 2_000_000  # pairs of ids that a task holds with their counts, some 40 MB
@@ -43,42 +44,73 @@ class PieceEncoder:
     vocabulary has such pieces, or changes texts before it cuts them, texts are encoded whole.
     """
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, cache_pieces: int = KEPT_PIECES):
         from sentencepiece import SentencePieceProcessor
 
         self._library = library = SentencePieceProcessor(model_file=path)
         pieces = [library.id_to_piece(i) for i in range(len(library))]
         plain = b"identity" in library.serialized_model_proto()[-4096:]
         self._cuts = plain and not any("▁" in p.lstrip("▁") for p in pieces)
-        self._known: dict[str, list[int]] = {}
-        self._limit = cache_pieces
         self.bytes = [
             bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
-
-    def _of(self, piece: str) -> list[int]:
-        found = self._known.get(piece)
-        if found is None:
-            found = self._library.encode(piece)
-            if len(self._known) < self._limit:
-                self._known[piece] = found
+        self.dtype = np.dtype("<u2" if len(pieces) <= 1 << 16 else "<u4")
+        self._known = _Pieces(self, cache_pieces)
+
+    def whole(self, text: str) -> np.ndarray:
+        """The ids that the library gives a text, with a blank before it."""
+        return np.array(self._library.encode(text), self.dtype)
+
+    def said(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for."""
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+
+    def encode(self, text: str) -> np.ndarray | None:
+        """The ids of a text with a blank before it; None if they stand for other bytes."""
+        if self._cuts:
+            parts = text.split(" ")
+            if "" in parts:
+                parts = _with_blanks(parts)
+            ids = np.frombuffer(b"".join(map(self._known.__getitem__, parts)), self.dtype)
+            if not self._known.odd:
+                return ids
+            self._known.odd = False
+        ids = self.whole(text)
+        return ids if self.said(ids) == (" " + text).encode("utf-8", "surrogatepass") else None
+
+
+class _Pieces(dict):
+    """Ids by piece; ``odd`` tells that a piece came up whose ids stand for other bytes."""
+
+    def __init__(self, library: PieceEncoder, limit: int):
+        super().__init__()
+        self._library, self._limit, self.odd = library, limit, False
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._library.whole(piece)
+        if self._library.said(ids) != (" " + piece).encode("utf-8", "surrogatepass"):
+            self.odd = True
+            return b""
+        found = ids.tobytes()
+        if len(self) < self._limit:
+            self[piece] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text with a blank before it."""
-        if not self._cuts or "▁" in text:  # which the library takes for a blank
-            return self._library.encode(text)
-        parts, ids, blanks = text.split(" "), [], ""
-        last = len(parts) - 1
-        while last > 0 and not parts[last]:
-            last -= 1
-        parts[last:] = [parts[last] + " " * (len(parts) - 1 - last)]
-        for part in parts:
-            if part or blanks:
-                ids += self._of(blanks + part) if part else []
-            blanks = "" if part else blanks + " "
-        return ids
+
+def _with_blanks(parts: list[str]) -> list[str]:
+    """Parts between single blanks as pieces that hold further blanks before them, the last behind."""
+    pieces, blanks = [], 0
+    for part in parts:
+        if part:
+            pieces.append(" " * blanks + part)
+            blanks = 0
+        else:
+            blanks += 1
+    if not pieces:
+        return [" " * (blanks - 1)]
+    pieces[-1] += " " * blanks
+    return pieces
 
 
 class Tokenizers:
@@ -90,7 +122,9 @@ class Tokenizers:
         self._a, self._b = encoder(path_a), PieceEncoder(path_b)
         letters = byte_letters()
         byte_of = {chr(letters.get(byte, byte)): byte for byte in range(256)}
-        names = {i: name for name, i in Tokenizer.from_file(path_a).get_vocab().items()}
+        library = Tokenizer.from_file(path_a)
+        names = {i: name for name, i in library.get_vocab().items()}
+        self._lossless = library.normalizer is None and set(byte_of) <= set(names.values())
         self.size_a, self.size_b = max(names) + 1, len(self._b.bytes)
         if max(self.size_a, self.size_b) > 1 << BITS:
             raise ValueError(f"more than {1 << BITS} ids")
@@ -109,16 +143,16 @@ class Tokenizers:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both sides, none if either doesn't stand for the text's own bytes."""
         none = np.zeros(0, np.int64)
-        if not text:
-            return none, none
-        data = (" " + text).encode("utf-8", "surrogatepass")
-        a = np.frombuffer(self._a.encode(" " + text), self._a.dtype).astype(np.int64)
-        b = self._b.encode(text)
-        if b"".join(map(self._b.bytes.__getitem__, b)) != data:
+        b = self._b.encode(text) if text else None
+        if b is None:
             return none, none
-        if b"".join(map(self._bytes_a.__getitem__, a.tolist())) != data:
+        a = np.frombuffer(self._a.encode(" " + text), self._a.dtype)
+        # A vocabulary with all bytes changes none; any other is held against the text.
+        if not self._lossless and b"".join(map(self._bytes_a.__getitem__, a.tolist())) != (
+            " " + text
+        ).encode("utf-8", "surrogatepass"):
             return none, none
-        return a, np.array(b, np.int64)
+        return a.astype(np.int64), b.astype(np.int64)
 
 
 _made: dict[tuple[str, str], Tokenizers] = {}

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -119,10 +120,12 @@ def test_pieces_are_those_of_the_library():
     parts = [" ", "  ", "\n", "ab", "the", "Ünd", "日", "▁", "😀", "x", "'s", "\t", "0x41", "<s>", "\x00"]
     texts = [t for t in ODD if t] + ["".join(draw.choices(parts, k=draw.randint(1, 20))) for _ in range(2_000)]
     for text in texts:
-        assert own.encode(text) == library.encode(text), repr(text)
+        ids, found = library.encode(text), own.encode(text)
+        same = own.said(np.array(ids)) == (" " + text).encode()
+        assert (found.tolist() if same else found) == (ids if same else None), repr(text)
 
 
-@pytest.mark.parametrize("limit", [1, 7, 200_000])
+@pytest.mark.parametrize("limit", [1, 7, 100_000])
 def test_batches_against_walking(plain, limit, monkeypatch):
     draw = random.Random(limit)
     parts = ["the ", "internationalization ", "zxq", "😀", "日本", " ", "\n", "aaaaaaa", "don't ", "3.1415 "]
