@@ -19,7 +19,7 @@ from goldseam.plans import quality
 from goldseam.plans.warehouse import Warehouse, bronze_of
 from goldseam.schemas import TABLES
 from goldseam.session import build_session, sized
-from goldseam.sinks.files import register_table, with_audit, write_parquet
+from goldseam.sinks.files import with_audit
 from goldseam.sinks.warehouse import (
     LOAD_ORDER,
     REPORT_SCHEMA,
@@ -30,6 +30,7 @@ from goldseam.sinks.warehouse import (
 )
 from goldseam.sources.files import ParquetSource
 from goldseam.sources.jdbc import JdbcSource
+from goldseam.versions import PublishedSource, point_view, publish
 
 log = logging.getLogger(__name__)
 
@@ -77,7 +78,7 @@ def extract(
     """
     typed = bronze_of(raw)
     return _stage(
-        spark, TABLES, lambda table: write_parquet(typed(table), layout.path("bronze", table))
+        spark, TABLES, lambda table: publish(typed(table), layout.path("bronze", table))
     )
 
 
@@ -88,13 +89,13 @@ def transform(
     failed: Collection[str] = (),
 ) -> DataFrame:
     """Clean every Bronze table into Silver, but for those that failed to be extracted."""
-    store = ParquetSource(spark, layout.path("bronze"))
+    store = PublishedSource(spark, layout.path("bronze"))
 
     def one(table: str) -> int:
         if table in failed:
             raise StageFailed(f"{table} was not extracted in this run")
         typed = bronze.conform(store.read(table), table)
-        return write_parquet(silver.clean(typed, table, rules), layout.path("silver", table))
+        return publish(silver.clean(typed, table, rules), layout.path("silver", table))
 
     return _stage(spark, TABLES, one)
 
@@ -105,7 +106,7 @@ def model(
     run_at: datetime | None = None,
     failed: Collection[str] = (),
 ) -> DataFrame:
-    """Build and store the marts, those of one step together, as catalog tables ``gold.<mart>``.
+    """Build and store the marts, those of one step together; views ``gold.<mart>`` show them.
 
     Later marts read the stored earlier ones, so the join of lines and orders is paid once.  A mart
     that needs a failed table or mart fails, and its last good version stays.
@@ -124,8 +125,8 @@ def model(
                 dated = dated.withColumn(column, F.year(source))
             if split:  # files of even size, however many rows a year has
                 dated = dated.hint("rebalance", *split)
-            written = write_parquet(dated, layout.path("gold", name), tuple(split))
-            register_table(spark, f"gold.{name}", layout.path("gold", name), tuple(split))
+            written = publish(dated, layout.path("gold", name), tuple(split))
+            point_view(spark, f"gold.{name}", layout.path("gold", name))
             return written
 
         done = _together(_reported(one), step)
@@ -143,8 +144,8 @@ class _Modelling(Warehouse):
     """Silver from storage, and those marts from storage that are already written."""
 
     def __init__(self, spark: SparkSession, layout: Layout, stored: frozenset[str]):
-        super().__init__(silver=ParquetSource(spark, layout.path("silver")).read)
-        self._gold_store = ParquetSource(spark, layout.path("gold"))
+        super().__init__(silver=PublishedSource(spark, layout.path("silver")).read)
+        self._gold_store = PublishedSource(spark, layout.path("gold"))
         self._stored = stored
 
     def _build(self, name: str) -> DataFrame:
@@ -155,7 +156,7 @@ def load(
     spark: SparkSession, layout: Layout, sink: Sink, failed: Collection[str] = ()
 ) -> DataFrame:
     """Load the stored marts in order; those that failed to be built are reported, not loaded."""
-    stored = ParquetSource(spark, layout.path("gold"))
+    stored = PublishedSource(spark, layout.path("gold"))
     good = {name: stored.read(name) for name in LOAD_ORDER if name not in failed}
     report = load_all(spark, good, sink)
     bad = [(name, None, FAILED) for name in LOAD_ORDER if name in failed]
@@ -182,14 +183,14 @@ def run(
             raise ValueError("ingest needs a source")
         with sized(spark, _raw_bytes(raw)):
             reports["extract"] = extract(spark, raw, layout)
-        with sized(spark, _bytes_below(spark, layout.path("bronze"))):
+        with sized(spark, PublishedSource(spark, layout.path("bronze")).input_bytes()):
             reports["transform"] = transform(
                 spark, layout, failed=not_loaded(reports["extract"])
             )
-        write_parquet(reports["transform"].coalesce(1), layout.path("runs", "ingest"))
+        publish(reports["transform"].coalesce(1), layout.path("runs", "ingest"))
     if stage in ("model", "all"):
-        last = ParquetSource(spark, layout.path("runs")).read("ingest")
-        with sized(spark, _bytes_below(spark, layout.path("silver"))):
+        last = PublishedSource(spark, layout.path("runs")).read("ingest")
+        with sized(spark, PublishedSource(spark, layout.path("silver")).input_bytes()):
             reports["model"] = model(spark, layout, failed=not_loaded(last))
             if sink is not None:
                 reports["load"] = load(spark, layout, sink, not_loaded(reports["model"]))
@@ -238,6 +239,8 @@ def _reported(one: Callable[[str], int]) -> Callable[[str], tuple[str, int | Non
 
 def _together(one: Callable[[str], tuple], tables: Iterable[str]) -> list[tuple]:
     names = list(tables)
+    if not names:
+        return []
     with ThreadPoolExecutor(max_workers=len(names)) as pool:
         return list(pool.map(one, names))
 
@@ -247,7 +250,7 @@ def validate(
 ) -> dict[str, DataFrame]:
     """Quality rules over the stored layers, their score, and the rows of every layer."""
     warehouse = Warehouse.over_stored(spark, layout.root)
-    with sized(spark, _bytes_below(spark, layout.path("silver"))):
+    with sized(spark, PublishedSource(spark, layout.path("silver")).input_bytes()):
         return {
             "quality": quality.results(warehouse),
             "score": quality.score(warehouse),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from goldseam.operators import bronze, dimensions, facts, silver, staging
 from goldseam.sources.files import ParquetSource
+from goldseam.versions import PublishedSource
 
 Reader = Callable[[str], DataFrame]
 
@@ -55,9 +56,9 @@ class Warehouse:
         """A warehouse whose layers were written below ``root`` by the pipeline."""
         root = root.rstrip("/")
         return cls(
-            bronze=bronze_of(ParquetSource(spark, f"{root}/bronze").read),
-            silver=ParquetSource(spark, f"{root}/silver").read,
-            gold=ParquetSource(spark, f"{root}/gold").read,
+            bronze=bronze_of(PublishedSource(spark, f"{root}/bronze").read),
+            silver=PublishedSource(spark, f"{root}/silver").read,
+            gold=PublishedSource(spark, f"{root}/gold").read,
         )
 
     def bronze(self, table: str) -> DataFrame:

@@ -12,7 +12,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from goldseam.sources.files import SNAPSHOT, list_files
+from goldseam.sources.files import SNAPSHOT, index_snapshot, list_files
 
 
 def with_audit(df: DataFrame, run_at: datetime) -> DataFrame:
@@ -108,9 +108,10 @@ def write_batches(df: DataFrame, path: str, chunk_size: int) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, root: str, table: str, snapshot: str | None = None) -> str:
-    """Write a snapshot beside the earlier ones and return its name; a rerun replaces it."""
+    """Write a snapshot beside the earlier ones, index it and return its name; a rerun replaces it."""
     snapshot = snapshot or datetime.now(UTC).strftime("%Y%m%d_%H%M%S")
-    write_parquet(df, f"{root.rstrip('/')}/{table}/{SNAPSHOT}={snapshot}")
+    rows = write_parquet(df, f"{root.rstrip('/')}/{table}/{SNAPSHOT}={snapshot}")
+    index_snapshot(df.sparkSession, root, table, snapshot, rows)
     return snapshot
 
 

@@ -8,7 +8,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from goldseam.sinks.files import write_parquet
+from goldseam.versions import publish, read
 
 # Load order, dimensions before facts.
 DIMENSIONS = ("dim_date", "dim_customer", "dim_supplier", "dim_part")
@@ -34,10 +34,10 @@ class ParquetSink:
     root: str
 
     def write(self, df: DataFrame, name: str) -> int:
-        return write_parquet(df, f"{self.root.rstrip('/')}/{name}")
+        return publish(df, f"{self.root.rstrip('/')}/{name}")
 
     def row_count(self, name: str) -> int:
-        return self.spark.read.parquet(f"{self.root.rstrip('/')}/{name}").count()
+        return read(self.spark, f"{self.root.rstrip('/')}/{name}").count()
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from goldseam.versions import latest, log_records, record
+
 SNAPSHOT = "snapshot"
 
 
@@ -63,27 +65,54 @@ def list_files(spark: SparkSession, prefix: str, suffix: str = "") -> DataFrame:
 
 
 def list_snapshots(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Snapshots of a table as (snapshot, files, bytes, modified)."""
+    """Snapshots of a table as (snapshot, files, bytes, row_count, modified), from their index.
+
+    The index has a record for every write of a snapshot; no data file is listed.
+    """
+    records = log_records(spark, f"{root.rstrip('/')}/{table}")
+    fields = ("files", "bytes", "row_count", F.col("published").alias("modified"))
+    last = F.max(F.struct("number", *fields)).alias("last")
+    return records.groupBy(F.col("name").alias(SNAPSHOT)).agg(last).select(
+        SNAPSHOT, "last.files", "last.bytes", "last.row_count", "last.modified"
+    )
+
+
+def index_snapshot(spark: SparkSession, root: str, table: str, snapshot: str, rows: int) -> None:
+    """Add a snapshot, whose files are complete, to the index of its table."""
+    folder = f"{root.rstrip('/')}/{table}"
+    held = list_files(spark, f"{folder}/{SNAPSHOT}={snapshot}").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
+    )
+    found = held.first()
+    record(spark, folder, snapshot, rows, found.files, found.bytes)
+
+
+def index_snapshots(spark: SparkSession, root: str, table: str) -> list[str]:
+    """Index the snapshots that were written before there was an index, the oldest first."""
+    folder = f"{root.rstrip('/')}/{table}"
+    try:
+        known = {r.name for r in log_records(spark, folder).select("name").distinct().collect()}
+    except FileNotFoundError:
+        known = set()
     name = F.regexp_extract("path", f"/{SNAPSHOT}=([^/]+)/", 1)
-    return (
-        list_files(spark, f"{root.rstrip('/')}/{table}")
+    times = (
+        list_files(spark, folder, ".parquet")
         .groupBy(name.alias(SNAPSHOT))
-        .agg(
-            F.count(F.lit(1)).alias("files"),
-            F.sum("length").alias("bytes"),
-            F.max("modified").alias("modified"),
-        )
+        .agg(F.max("modified").alias("modified"))
+        .orderBy("modified", SNAPSHOT)
     )
+    new = [r[SNAPSHOT] for r in times.collect() if r[SNAPSHOT] and r[SNAPSHOT] not in known]
+    for snapshot in new:
+        rows = spark.read.parquet(f"{folder}/{SNAPSHOT}={snapshot}").count()
+        index_snapshot(spark, root, table, snapshot, rows)
+    return new
 
 
 def read_snapshot(
     spark: SparkSession, root: str, table: str, snapshot: str | None = None
 ) -> DataFrame:
-    """A named snapshot, or the one modified last (the greater name on equal times)."""
+    """A named snapshot, or the one written last, as the index tells."""
+    folder = f"{root.rstrip('/')}/{table}"
     if snapshot is None:
-        newest = list_snapshots(spark, root, table).orderBy(F.desc("modified"), F.desc(SNAPSHOT))
-        row = newest.first()
-        if row is None:
-            raise FileNotFoundError(f"no snapshot of {table} below {root}")
-        snapshot = row[SNAPSHOT]
-    return spark.read.parquet(f"{root.rstrip('/')}/{table}/{SNAPSHOT}={snapshot}")
+        snapshot = latest(spark, folder).name
+    return spark.read.parquet(f"{folder}/{SNAPSHOT}={snapshot}")

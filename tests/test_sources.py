@@ -39,14 +39,38 @@ def test_catalog_table(spark, tmp_path):
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path)
     write_snapshot(spark.range(1), root, "orders", "20250102_000000")
-    time.sleep(1.1)
     write_snapshot(spark.range(2), root, "orders", "20250101_000000")
     assert files.read_snapshot(spark, root, "orders").count() == 2
     assert files.read_snapshot(spark, root, "orders", "20250102_000000").count() == 1
     write_snapshot(spark.range(5), root, "orders", "20250101_000000")
     assert files.read_snapshot(spark, root, "orders").count() == 5
-    listed = files.list_snapshots(spark, root, "orders").collect()
-    assert {r.snapshot for r in listed} == {"20250101_000000", "20250102_000000"}
+    listed = {r.snapshot: r for r in files.list_snapshots(spark, root, "orders").collect()}
+    assert {name: r.row_count for name, r in listed.items()} == {"20250101_000000": 5, "20250102_000000": 1}
+    held = files.list_files(spark, f"{root}/orders/snapshot=20250101_000000").collect()
+    one = listed["20250101_000000"]
+    assert (one.files, one.bytes) == (len(held), sum(f.length for f in held))
+
+
+def test_the_latest_snapshot_is_found_without_listing_files(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    for n in (1, 2, 3):
+        write_snapshot(spark.range(n), root, "orders", f"2025010{4 - n}_000000")
+    monkeypatch.setattr(files, "list_files", None)
+    assert files.read_snapshot(spark, root, "orders").count() == 3
+    assert files.list_snapshots(spark, root, "orders").count() == 3
+
+
+def test_snapshots_from_before_the_index(spark, tmp_path):
+    for n, name in ((4, "20240101"), (6, "20240102")):
+        spark.range(n).write.parquet(f"{tmp_path}/orders/snapshot={name}")
+        time.sleep(1.1)
+    with pytest.raises(FileNotFoundError):
+        files.read_snapshot(spark, str(tmp_path), "orders")
+    assert files.index_snapshots(spark, str(tmp_path), "orders") == ["20240101", "20240102"]
+    assert files.index_snapshots(spark, str(tmp_path), "orders") == []
+    assert files.read_snapshot(spark, str(tmp_path), "orders").count() == 6
+    counts = {r.snapshot: r.row_count for r in files.list_snapshots(spark, str(tmp_path), "orders").collect()}
+    assert counts == {"20240101": 4, "20240102": 6}
 
 
 def test_one_name_for_all_snapshots(spark, tmp_path):
