@@ -7,6 +7,7 @@ other decimal result types; inside the package they stay exact.
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,20 @@ CHUNK_SCANS = 8
 # A standard deviation is a floating-point sum, whose last digits depend on its order.
 NINE_DIGITS = "IF(stddev IS NOT NULL, CAST(format_string('%.8e', stddev) AS DOUBLE), NULL)"
 
+
+_OPEN: WeakKeyDictionary[SparkSession, dict[str, Warehouse]] = WeakKeyDictionary()
+
+
 def open_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """The warehouse over a directory of raw tables."""
-    return Warehouse(bronze=bronze_of(stock.reader(spark, sf_dir)))
+    """The warehouse over a directory of raw tables.
+
+    A session opens a directory once, as a user does: files are listed and schemas read then, and
+    no rows are kept.
+    """
+    opened = _OPEN.setdefault(spark, {})
+    if sf_dir not in opened:
+        opened[sf_dir] = Warehouse(bronze=bronze_of(stock.reader(spark, sf_dir)))
+    return opened[sf_dir]
 
 
 def as_doubles(df: DataFrame) -> DataFrame:
@@ -117,8 +129,8 @@ def _keyed(warehouse: Warehouse) -> list[chunks.Keyed]:
 
 def _chunk_cover(warehouse: Warehouse) -> DataFrame:
     """What the manifest of each table covers."""
-    tables = _keyed(warehouse)
-    return chunks.cover(chunks.manifest(tables), tables)
+    counts = [profile.row_counts(warehouse.bronze(t), t) for t in TABLES]
+    return chunks.cover(chunks.manifest(_keyed(warehouse)), profile.over_tables(counts))
 
 
 def _concat_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from goldseam.operators import bronze
 from goldseam.schemas import MONEY
+from goldseam.scratch import stored
 from goldseam.sources.files import ParquetSource
 
 PATTERN = "{table}.parquet"
 
 
 def reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
-    """Raw tables of a directory, ``partsupp`` being derived from the lines if it is not there."""
+    """Raw tables of a directory, ``partsupp`` being derived from the lines if it is not there.
+
+    Derived stock is written once for each reader, as the raw table that it stands for.
+    """
     source = ParquetSource(spark, sf_dir, PATTERN)
 
     def read(table: str) -> DataFrame:
@@ -25,8 +29,12 @@ def reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
         except AnalysisException as missing:
             if table != "partsupp" or missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return stock_from_lines(bronze.conform(source.read("lineitem"), "lineitem"))
+            lines = bronze.conform(source.read("lineitem"), "lineitem")
+            if table not in made:
+                made[table] = stored(stock_from_lines(lines), table)
+            return made[table]
 
+    made: dict[str, DataFrame] = {}
     return read
 
 

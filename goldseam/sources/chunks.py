@@ -5,107 +5,97 @@ failure; paging by offset could repeat or lose rows wherever the order is not un
 
 Ranges are halves of halves: the range of all keys is halved, and every half again, until it holds
 at most ``chunk_size`` rows or a single key.  So chunks are even however the keys are spread.  One
-aggregate counts the keys of fine ranges of equal width, some for each chunk that is expected, and
-a second one adds them up to all ranges that hold them.  Only where keys lie so close that a fine
-range is still too large are its keys counted again, in finer ranges.  The driver learns what the
-keys reach from and to, and one row per table and round; ranges and chunks stay in Spark.
+aggregate counts the keys of fine ranges of equal width and is stored; a second one adds them up to
+all ranges that hold them.  Only where keys repeat so often that a fine range is still too large are
+its keys counted again, one by one.  The driver learns one row per table, what its keys reach from
+and to; ranges and chunks stay in Spark.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from goldseam.schemas import Table
+from goldseam.scratch import stored
 
 TOP = 62  # the first ranges are the keys below 0 and those from 0 on, as far as 2**62
-FINE = 16  # fine ranges for each chunk that is expected
+FINE = 16  # fine ranges for each chunk, if every key has one row
 
-# (level, low, high) -> (number, n, least, most): the keys of every range of 2**level keys, counted;
-# with bounds only of ranges between them.
+# (level, low, high) -> (number, n, least, most): the rows of every range of 2**level keys.  With
+# bounds only of keys between them; without, the NULL keys too, under the number NULL.
 Counter = Callable[[int, int | None, int | None], DataFrame]
 
 _CHUNK = "(n <= size OR at = 0) AND ((whole AND at = top) OR n_both > size)"
-_TOO_LARGE = "at = level AND level > 0 AND n > size"
+_TOO_LARGE = "number IS NOT NULL AND n > size AND level > 0"
 
 
 @dataclass(frozen=True)
 class Keyed:
-    """A table to be cut: its key bounds and rows (NULL keys apart), and how keys are counted."""
+    """A table to be cut, and how its keys are counted."""
 
     name: str
     chunk_size: int
     count: Counter
-    low: int | None
-    high: int | None
-    rows: int
-    nulls: int
 
+    @property
+    def level(self) -> int:
+        """Of the fine ranges."""
+        return max(0, (self.chunk_size // FINE).bit_length() - 1)
 
-@dataclass(frozen=True)
-class _Round:
-    """Ranges to be counted: of which width, and below which wider ones."""
-
-    table: Keyed
-    level: int
-    top: int
-    low: int | None = None
-    high: int | None = None
-    within: DataFrame | None = None  # numbers of ranges at level top + 1; None for all keys
-
-    def counted(self) -> DataFrame:
-        ranges = self.table.count(self.level, self.low, self.high)
-        if self.within is not None:
-            wide = self.within.withColumnRenamed("number", "wide")
-            above = F.shiftright("number", self.top + 1 - self.level)
-            ranges = ranges.join(wide, above == F.col("wide"), "left_semi")
-        return ranges.select(
-            F.lit(self.table.name).alias("table_name"),
-            F.lit(self.table.chunk_size).cast("long").alias("size"),
-            F.lit(self.level).alias("level"),
-            F.lit(self.top).alias("top"),
-            F.lit(self.within is None).alias("whole"),
-            "number",
-            "n",
-            "least",
-            "most",
+
+def counter(df: DataFrame, column: str) -> Counter:
+    """Counts keys of a table that Spark can scan; bounds reach the scan as filters."""
+    whole = df.schema[column].dataType.simpleString() == "bigint"
+    key = F.col(column) if whole else F.col(column).cast("long")
+
+    def count(level: int, low: int | None, high: int | None) -> DataFrame:
+        rows = df if low is None else df.where((key >= low) & (key <= high))
+        return rows.groupBy(F.shiftright(key, level).alias("number")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(key).alias("least"), F.max(key).alias("most")
         )
 
+    return count
 
-def _fine_bits(rows: int, chunk_size: int) -> int:
-    return max(0, math.ceil(math.log2(max(1, FINE * rows / chunk_size))))
 
+def keyed(frames: Iterable[tuple[DataFrame, Table]], chunk_size: int | None = None) -> list[Keyed]:
+    """Tables that Spark can scan."""
+    return [
+        Keyed(t.name, chunk_size or t.chunk_size, counter(df, t.key[0])) for df, t in frames
+    ]
+
+
+def _named(ranges: DataFrame, table: Keyed, level: int) -> DataFrame:
+    return ranges.select(
+        F.lit(table.name).alias("table_name"),
+        F.lit(table.chunk_size).cast("long").alias("size"),
+        F.lit(level).alias("level"),
+        "number",
+        "n",
+        "least",
+        "most",
+    )
 
-def _halved(counted: DataFrame) -> DataFrame:
-    """All ranges that hold a counted one, each with its rows and those of it and its sibling."""
-    each = counted.select(
-        "*", F.explode(F.sequence("level", "top")).alias("at")
-    ).selectExpr(
-        "table_name", "size", "level", "top", "whole", "at", "n", "least", "most",
-        "shiftright(number, at - level + 1) AS half",
+
+def _halved(ranges: DataFrame) -> DataFrame:
+    """All ranges up to ``top`` that hold a given one, with their rows and those of both halves."""
+    each = ranges.select("*", F.explode(F.sequence("level", "top")).alias("at")).selectExpr(
+        "table_name", "size", "top", "whole", "at", "n",
+        "shiftright(shiftright(number, at - level), 1) AS half",
         "shiftright(number, at - level) & 1 AS side",
     )
     sides = [
-        what
+        F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).alias(f"n{side}")
         for side in (0, 1)
-        for what in (
-            F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).alias(f"n{side}"),
-            F.min(F.when(F.col("side") == side, F.col("least"))).alias(f"least{side}"),
-            F.max(F.when(F.col("side") == side, F.col("most"))).alias(f"most{side}"),
-        )
     ]
-    pairs = each.groupBy("table_name", "size", "level", "top", "whole", "at", "half").agg(*sides)
-    both = ", ".join(
-        f"2 * half + {side}, n{side}, least{side}, most{side}" for side in (0, 1)
-    )
-    return pairs.selectExpr(
-        "table_name", "size", "level", "top", "whole", "at", "n0 + n1 AS n_both",
-        f"stack(2, {both}) AS (number, n, least, most)",
+    halves = each.groupBy("table_name", "size", "top", "whole", "at", "half").agg(*sides)
+    return halves.selectExpr(
+        "table_name", "size", "top", "whole", "at", "n0 + n1 AS n_both",
+        "stack(2, 2 * half, n0, 2 * half + 1, n1) AS (number, n)",
     ).where("n > 0")
 
 
@@ -125,87 +115,49 @@ def _as_chunks(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _finer(found: Row, before: _Round, nodes: DataFrame) -> _Round:
-    """The round that cuts the ranges of a table that are still too large."""
-    differing = int(found.differing).bit_length()  # no range above this bit parts their keys
-    bits = max(1, _fine_bits(found.n, before.table.chunk_size))
-    level = max(0, min(differing, before.level) - bits)
-    within = nodes.where(_TOO_LARGE).where(F.col("table_name") == before.table.name)
-    return _Round(
-        before.table, level, before.level - 1, found.least, found.most, within.select("number")
-    )
+def _bits(key: int) -> int:
+    """The least level at which a key is in the first range of its sign."""
+    return int(key if key >= 0 else ~key).bit_length()
 
 
 def cut(tables: list[Keyed]) -> DataFrame:
     """Chunks of several tables as (table_name, low_key, high_key, row_count); NULLs have no range."""
-    rounds = []
-    for table in tables:
-        if table.rows:
-            top = max(table.low.bit_length(), table.high.bit_length())
-            level = max(0, top - _fine_bits(table.rows, table.chunk_size))
-            rounds.append(_Round(table, level, top))
-    found = []
-    while rounds:
-        nodes = _halved(reduce(DataFrame.unionByName, [r.counted() for r in rounds]))
-        found.append(_as_chunks(nodes))
-        if not any(r.level for r in rounds):
-            break
-        large = (
-            nodes.where(_TOO_LARGE)
-            .groupBy("table_name")
-            .agg(
-                F.max("n").alias("n"),
-                F.max(F.col("least").bitwiseXOR(F.col("most"))).alias("differing"),
-                F.min("least").alias("least"),
-                F.max("most").alias("most"),
-            )
-            .collect()
-        )  # a row per table
-        before = {r.table.name: r for r in rounds}
-        rounds = [_finer(row, before[row.table_name], nodes) for row in large]
-    nulls = [(t.name, None, None, t.nulls) for t in tables if t.nulls]
-    schema = "table_name string, low_key long, high_key long, row_count long"
-    apart = SparkSession.active().createDataFrame(nulls, schema)
-    return reduce(DataFrame.unionByName, found, apart)
-
-
-def counter(df: DataFrame, column: str) -> Counter:
-    """Counts keys of a table that Spark can scan; bounds reach the scan as filters."""
-    whole = df.schema[column].dataType.simpleString() == "bigint"
-    key = F.col(column) if whole else F.col(column).cast("long")
-
-    def count(level: int, low: int | None, high: int | None) -> DataFrame:
-        rows = df.where(key.isNotNull())
-        if low is not None:
-            rows = rows.where((key >= low) & (key <= high))
-        return rows.groupBy(F.shiftright(key, level).alias("number")).agg(
-            F.count(F.lit(1)).alias("n"), F.min(key).alias("least"), F.max(key).alias("most")
+    counted = [_named(t.count(t.level, None, None), t, t.level) for t in tables]
+    ranges = stored(reduce(DataFrame.unionByName, counted), "key-ranges")
+    known = ranges.where("number IS NOT NULL")
+    told = (
+        known.groupBy("table_name")
+        .agg(
+            F.min("least").alias("low"),
+            F.max("most").alias("high"),
+            F.min(F.when(F.expr(_TOO_LARGE), F.col("least"))).alias("close_low"),
+            F.max(F.when(F.expr(_TOO_LARGE), F.col("most"))).alias("close_high"),
         )
-
-    return count
-
-
-def keyed(frames: Iterable[tuple[DataFrame, Table]], chunk_size: int | None = None) -> list[Keyed]:
-    """Tables that Spark can scan, with the bounds of their keys, which one job reads."""
-    frames = list(frames)
-    bounds = [
-        df.agg(
-            F.lit(table.name).alias("name"),
-            F.min(table.key[0]).cast("long").alias("low"),
-            F.max(table.key[0]).cast("long").alias("high"),
-            F.count(table.key[0]).alias("rows"),
-            F.count_if(F.col(table.key[0]).isNull()).alias("nulls"),
-        )
-        for df, table in frames
-    ]
-    known = {r.name: r for r in reduce(DataFrame.unionByName, bounds).collect()}  # a row per table
-    found = []
-    for df, table in frames:
-        told = known[table.name]
-        size = chunk_size or table.chunk_size
-        count = counter(df, table.key[0])
-        found.append(Keyed(table.name, size, count, told.low, told.high, told.rows, told.nulls))
-    return found
+        .collect()
+    )  # a row per table
+    nulls = ranges.where("number IS NULL").selectExpr(
+        "table_name", "CAST(NULL AS BIGINT) AS low_key", "CAST(NULL AS BIGINT) AS high_key",
+        "n AS row_count",
+    )
+    if not told:
+        return nulls
+    by_name = {t.name: t for t in tables}
+    tops = [(r.table_name, max(_bits(r.low), _bits(r.high))) for r in told]
+    top = F.create_map(*(F.lit(x) for pair in tops for x in pair))[F.col("table_name")]
+    level = F.greatest(top, F.col("level"))
+    wide = known.withColumns({"top": level, "whole": F.lit(True)})
+    found = [nulls, _as_chunks(_halved(wide))]
+    for row in told:
+        if row.close_low is not None:
+            table = by_name[row.table_name]
+            close = ranges.where(_TOO_LARGE).where(F.col("table_name") == table.name)
+            close = close.select(F.col("number").alias("wide"))
+            single = table.count(0, row.close_low, row.close_high)
+            above = F.shiftright("number", table.level) == F.col("wide")
+            keys = _named(single.join(close, above, "left_semi"), table, 0)
+            below = keys.withColumns({"top": F.lit(table.level - 1), "whole": F.lit(False)})
+            found.append(_as_chunks(_halved(below)))
+    return reduce(DataFrame.unionByName, found)
 
 
 def manifest(tables: list[Keyed]) -> DataFrame:
@@ -253,11 +205,12 @@ def pieces(chunks: DataFrame, most: int) -> DataFrame:
     )
 
 
-def cover(chunks: DataFrame, tables: list[Keyed]) -> DataFrame:
-    """Whether chunks take every row of their tables once, from the manifest alone.
+def cover(chunks: DataFrame, counts: DataFrame) -> DataFrame:
+    """Whether chunks take every row of their tables once.
 
-    (table_name, chunk_count, largest, row_count, missing, overlaps): the rows of all chunks, the
-    rows of the table that they lack, and the ranges that begin before the one ahead ends.
+    ``counts`` are the rows of tables (table_name, row_count), counted apart.  (table_name,
+    chunk_count, largest, row_count, missing, overlaps): the rows of all chunks, the rows of the
+    table that they lack, and the ranges that begin before the one ahead ends.
     """
     next_low = F.lead("low_key").over(Window.partitionBy("table_name").orderBy("chunk_id"))
     found = chunks.withColumn("crosses", next_low < F.col("high_key")).groupBy("table_name").agg(
@@ -266,13 +219,13 @@ def cover(chunks: DataFrame, tables: list[Keyed]) -> DataFrame:
         F.sum("row_count").alias("row_count"),
         F.count_if("crosses").alias("overlaps"),
     )
-    rows = F.create_map(*(F.lit(x) for t in tables for x in (t.name, t.rows + t.nulls)))
-    return found.select(
+    there = counts.select("table_name", F.col("row_count").alias("there"))
+    return found.join(there, "table_name").select(
         "table_name",
         "chunk_count",
         "largest",
         "row_count",
-        (rows[F.col("table_name")] - F.col("row_count")).alias("missing"),
+        (F.col("there") - F.col("row_count")).alias("missing"),
         "overlaps",
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldseam.schemas import TABLES, Table
@@ -48,17 +48,9 @@ class JdbcSource:
         return int(self.query(f"SELECT COUNT(*) AS n FROM {self.prefix}{table}").first()[0])
 
     def _predicates(self, spec: Table, name: str) -> list[str]:
-        key = spec.key[0]
-        low, high, rows, total = self.query(
-            f"SELECT MIN({key}) AS low_key, MAX({key}) AS high_key, COUNT({key}) AS n, "
-            f"COUNT(*) AS n_all FROM {name}"
-        ).first()
-        rows, total = int(rows or 0), int(total or 0)
-        if not rows:
-            return predicates([Row(low_key=None, row_count=total)], spec.key, spec.chunk_size)
-        bounds = (int(low), int(high), rows, total - rows)
-        found = manifest([Keyed(spec.name, spec.chunk_size, self._counter(name, key), *bounds)])
-        return predicates(found.orderBy("chunk_id").collect(), spec.key, spec.chunk_size)
+        table = Keyed(spec.name, spec.chunk_size, self._counter(name, spec.key[0]))
+        chunks = manifest([table]).orderBy("chunk_id").collect()
+        return predicates(chunks, spec.key, spec.chunk_size)
 
     def _counter(self, name: str, key: str) -> Counter:
         """Counts keys in the database, by the first key of their range."""
@@ -66,7 +58,7 @@ class JdbcSource:
         def count(level: int, low: int | None, high: int | None) -> DataFrame:
             width = 1 << level
             first = f"{key} - MOD(MOD({key}, {width}) + {width}, {width})"
-            where = f"{key} IS NOT NULL" if low is None else f"{key} BETWEEN {low} AND {high}"
+            where = "1 = 1" if low is None else f"{key} BETWEEN {low} AND {high}"
             counted = self.query(
                 f"SELECT first_key, COUNT(*) AS n, MIN(k) AS least, MAX(k) AS most FROM "
                 f"(SELECT {first} AS first_key, {key} AS k FROM {name} WHERE {where}) r "

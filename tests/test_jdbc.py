@@ -23,16 +23,17 @@ class Answers:
         keys = [k for k in self.keys if k is not None]
         if width := re.search(r"MOD\(\w+, (\d+)\)", table):
             between = re.search(r"BETWEEN (-?\d+) AND (-?\d+)", table)
-            low, high = map(int, between.groups()) if between else (min(keys), max(keys))
             held = {}
-            for k in keys:
-                if low <= k <= high:
-                    held.setdefault(k - k % int(width[1]), []).append(k)
-            rows = [(first, len(ks), min(ks), max(ks)) for first, ks in held.items()]
+            for k in keys if between else self.keys:
+                if not between or int(between[1]) <= k <= int(between[2]):
+                    held.setdefault(None if k is None else k - k % int(width[1]), []).append(k)
+            rows = [
+                (first, len(ks), *((None, None) if first is None else (min(ks), max(ks))))
+                for first, ks in held.items()
+            ]
             return self.spark.createDataFrame(rows, "first_key long, n long, least long, most long")
         frame = MagicMock()
-        bounds = (min(keys), max(keys)) if keys else (None, None)
-        frame.first.return_value = self.result or (*bounds, len(keys), len(self.keys))
+        frame.first.return_value = self.result
         return frame
 
 
