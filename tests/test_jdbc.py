@@ -4,11 +4,12 @@ import dataclasses
 import re
 from unittest.mock import MagicMock
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from goldseam.schemas import TABLES
-from goldseam.sinks.warehouse import JdbcSink
+from goldseam.sinks.warehouse import JdbcSink, LoadFailed
 from goldseam.sources.jdbc import JdbcSource
 
 
@@ -105,13 +106,118 @@ def test_sink_counts_in_the_database():
     assert answers.calls[0][0] == "(SELECT COUNT(*) AS n FROM marts.dim_part) q"
 
 
+class Database:
+    """A database in this process, behind the calls of a JDBC connection; records its statements."""
+
+    def __init__(self, stop_at=None):
+        self.said, self.stop_at = [], stop_at
+        self.held = duckdb.connect()
+        self.held.execute("CREATE SCHEMA marts")
+
+    def __call__(self):
+        return self
+
+    def setAutoCommit(self, on):  # noqa: N802
+        self.said.append(f"autocommit {on}")
+        self.held.execute("BEGIN")
+
+    def createStatement(self):  # noqa: N802
+        return self
+
+    def executeUpdate(self, sql):  # noqa: N802
+        verb = sql.split()[0]
+        self.said.append(verb)
+        if verb == self.stop_at:
+            raise OSError("connection lost")
+        rows = self.held.execute(sql).fetchall()
+        return rows[0][0] if verb in ("INSERT", "DELETE") else 0
+
+    def commit(self):
+        self.said.append("commit")
+        if self.stop_at == "commit":
+            raise OSError("connection lost")
+        self.held.execute("COMMIT")
+
+    def rollback(self):
+        self.said.append("rollback")
+        self.held.execute("ROLLBACK")
+
+    def close(self):
+        self.said.append("close")
+
+    def rows(self, table="marts.dim_part"):
+        return sorted(self.held.execute(f"SELECT id FROM {table}").fetchall())
+
+
+class Staged(JdbcSink):
+    """Writes what Spark would into the database, some tasks more than once."""
+
+    again = ()
+
+    def _jdbc(self, df, table, mode):
+        rows, database = df.collect(), self.connect
+        if mode == "append":
+            database.held.execute(f"CREATE TABLE IF NOT EXISTS {table} (id BIGINT)")
+            return
+        database.held.execute(f"CREATE TABLE {table} (id BIGINT, load_task BIGINT, load_attempt BIGINT)")
+        tasks = {r.load_task for r in rows}
+        assert len({(r.load_task, r.load_attempt) for r in rows}) == len(tasks) > 1
+        for r in rows:
+            for more in range(2 if r.load_task in self.again else 1):
+                database.held.execute(
+                    f"INSERT INTO {table} VALUES (?, ?, ?)", [r.id, r.load_task, r.load_attempt + 1000 * more]
+                )
+
+
+def frame(spark, first, last):
+    return spark.range(first, last, numPartitions=4)
+
+
+@pytest.mark.parametrize("again", [(), (1,), (0, 2, 3)])
+def test_tasks_that_ran_twice_are_loaded_once(spark, again):
+    database = Database()
+    sink = Staged(spark, "jdbc:x", {}, connect=database)
+    object.__setattr__(sink, "again", again)
+    for first, last in ((0, 40), (10, 30)):
+        database.said.clear()
+        assert sink.write(frame(spark, first, last), "dim_part") == last - first
+        assert database.rows() == [(i,) for i in range(first, last)]
+        assert database.said == ["autocommit False", "DELETE", "INSERT", "commit", "close", "DROP", "close"]
+    left = database.held.execute("SELECT table_name FROM information_schema.tables").fetchall()
+    assert left == [("dim_part",)]
+
+
+@pytest.mark.parametrize("stop_at", ["DELETE", "INSERT", "commit"])
+def test_a_load_that_is_stopped_leaves_the_old_rows(spark, stop_at):
+    database = Database()
+    sink = Staged(spark, "jdbc:x", {}, connect=database)
+    sink.write(frame(spark, 0, 9), "dim_part")
+    database.stop_at = stop_at
+    with pytest.raises(OSError, match="lost"):
+        sink.write(frame(spark, 50, 99), "dim_part")
+    assert "rollback" in database.said
+    database.stop_at = None
+    assert database.rows() == [(i,) for i in range(9)]
+    assert sink.write(frame(spark, 50, 99), "dim_part") == 49
+    assert database.rows() == [(i,) for i in range(50, 99)]
+
+
+def test_rows_that_do_not_arrive_fail_the_load(spark):
+    class Lossy(Staged):
+        def _jdbc(self, df, table, mode):
+            super()._jdbc(df.where("id != 3") if mode == "error" else df, table, mode)
+
+    database = Database()
+    with pytest.raises(LoadFailed, match="wrote 20 rows, 19 arrived"):
+        Lossy(spark, "jdbc:x", {}, connect=database).write(frame(spark, 0, 20), "dim_part")
+    assert database.rows() == []
+
+
 @pytest.mark.parametrize("connections", [None, 5])
 def test_connections_are_bounded_only_on_demand(connections):
     df, writer = MagicMock(), MagicMock()
-    df.observe.return_value.write.option.return_value = writer
+    df.write.option.return_value = writer
     writer.option.return_value = writer
-    sink = JdbcSink(MagicMock(), "jdbc:x", {}, connections=connections)
-    with pytest.raises(Exception):  # the frame is a mock, so nothing was observed
-        sink.write(df, "dim_part")
+    JdbcSink(MagicMock(), "jdbc:x", {}, connections=connections)._jdbc(df, "t", "append")
     asked = [c.args for c in writer.option.call_args_list if c.args[0] == "numPartitions"]
     assert asked == ([("numPartitions", 5)] if connections else [])
