@@ -18,7 +18,7 @@ from goldseam.operators import bronze, silver
 from goldseam.plans import quality
 from goldseam.plans.warehouse import Warehouse, bronze_of
 from goldseam.schemas import TABLES
-from goldseam.session import build_session, sized
+from goldseam.session import build_session, shuffle_partitions_for, sized
 from goldseam.sinks.files import with_audit
 from goldseam.sinks.warehouse import (
     LOAD_ORDER,
@@ -30,7 +30,7 @@ from goldseam.sinks.warehouse import (
 )
 from goldseam.sources.files import ParquetSource
 from goldseam.sources.jdbc import JdbcSource
-from goldseam.versions import PublishedSource, point_view, publish
+from goldseam.versions import Buckets, PublishedSource, point_view, publish
 
 log = logging.getLogger(__name__)
 
@@ -57,6 +57,9 @@ PARTITIONS = {
     "fct_revenue_by_supplier": {"date_year": "date_key"},
 }
 
+# Silver tables stored in buckets of a key; those that are joined on it get equally many.
+BUCKET_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -88,18 +91,31 @@ def transform(
     rules: str = "standard",
     failed: Collection[str] = (),
 ) -> DataFrame:
-    """Clean every Bronze table into Silver, but for those that failed to be extracted."""
+    """Clean every Bronze table into Silver, but for those that failed to be extracted.
+
+    Lines and orders are dealt into as many buckets of their order key, so that they are shuffled
+    here once and not by every join of them.
+    """
     store = PublishedSource(spark, layout.path("bronze"))
+    count = bucket_count(spark, store.input_bytes())
 
     def one(table: str) -> int:
         if table in failed:
             raise StageFailed(f"{table} was not extracted in this run")
         typed = bronze.conform(store.read(table), table)
-        return publish(silver.clean(typed, table, rules), layout.path("silver", table))
+        buckets = Buckets(BUCKET_KEYS[table], count) if table in BUCKET_KEYS else None
+        cleaned = silver.clean(typed, table, rules)
+        return publish(cleaned, layout.path("silver", table), buckets=buckets)
 
     return _stage(spark, TABLES, one)
 
 
+def bucket_count(spark: SparkSession, input_bytes: int) -> int:
+    """Buckets for tables of a size: a power of two, so that counts of different runs still fit."""
+    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << (shuffle_partitions_for(input_bytes, at_least) - 1).bit_length()
+
+
 def model(
     spark: SparkSession,
     layout: Layout,

@@ -8,6 +8,9 @@ new one at any moment, and a reader that has begun keeps its files, because the
     <path>/versions/<version>/...     the rows
     <path>/_log/...                   a record for each published version
 
+A version may be bucketed: its files are dealt and sorted by a key, and readers get it as a table of
+the catalog that knows so, whose joins and aggregates on the key need no shuffle.
+
 Only Spark's own readers and writers are used to write, publish and read; files of versions that
 are out of use are deleted through the file system.
 """
@@ -15,6 +18,7 @@ are out of use are deleted through the file system.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
@@ -23,7 +27,22 @@ from pyspark.sql import functions as F
 
 KEEP = 2  # versions that stay: the current one, and the one that readers may still be in
 
-RECORD = "number long, name string, row_count long, files long, bytes long, published timestamp"
+RECORD = (
+    "number long, name string, row_count long, files long, bytes long, published timestamp, "
+    "bucket_key string, buckets int"
+)
+
+BUCKETED = "goldseam_buckets"  # the database of tables over bucketed versions
+UNEVEN = 5  # times the mean rows that the largest bucket may have
+FEW_ROWS = 100_000  # in tables of fewer, uneven buckets do no harm
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """How the rows of a version are dealt: by the hash of a key, sorted by it in every bucket."""
+
+    key: str
+    count: int
 
 
 def log_records(spark: SparkSession, path: str) -> DataFrame:
@@ -45,14 +64,21 @@ def latest(spark: SparkSession, path: str) -> Row:
 
 
 def record(
-    spark: SparkSession, path: str, name: str, rows: int, files: int | None = None, size: int | None = None
+    spark: SparkSession,
+    path: str,
+    name: str,
+    rows: int,
+    files: int | None = None,
+    size: int | None = None,
+    buckets: Buckets | None = None,
 ) -> Row:
     """Add a record behind all others, as one file."""
     try:
         number = latest(spark, path).number + 1
     except FileNotFoundError:
         number = 1
-    values = (number, name, rows, files, size, datetime.now(UTC).replace(tzinfo=None))
+    dealt = (buckets.key, buckets.count) if buckets else (None, None)
+    values = (number, name, rows, files, size, datetime.now(UTC).replace(tzinfo=None), *dealt)
     added = spark.createDataFrame([values], RECORD).coalesce(1)
     added.write.mode("append").json(f"{path.rstrip('/')}/_log")
     return added.first()
@@ -63,37 +89,84 @@ def version_path(path: str, version: str) -> str:
 
 
 def write_version(
-    df: DataFrame, path: str, partition_by: tuple[str, ...] = ()
+    df: DataFrame, path: str, partition_by: tuple[str, ...] = (), buckets: Buckets | None = None
 ) -> tuple[str, int]:
     """Write a version that nobody reads yet; its name and its rows.  A failed write leaves nothing."""
-    observation = Observation()
+    spark, observation = df.sparkSession, Observation()
     version = f"{datetime.now(UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex}"
-    writer = df.observe(observation, F.count(F.lit(1)).alias("rows")).write
+    folder = version_path(path, version)
+    counted = df.observe(observation, F.count(F.lit(1)).alias("rows"))
+    if buckets:  # dealt as the buckets are, so that every bucket is one file
+        counted = counted.repartition(buckets.count, buckets.key)
+    writer = counted.write.option("compression", "snappy")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     try:
-        writer.option("compression", "snappy").parquet(version_path(path, version))
+        if buckets:
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS {BUCKETED}")
+            writer = writer.bucketBy(buckets.count, buckets.key).sortBy(buckets.key)
+            writer.format("parquet").option("path", folder).saveAsTable(_table_of(version))
+        else:
+            writer.parquet(folder)
     except BaseException:
-        _delete(df.sparkSession, version_path(path, version))
+        if buckets:
+            spark.sql(f"DROP TABLE IF EXISTS {_table_of(version)}")
+        _delete(spark, folder)
         raise
     return version, observation.get["rows"]
 
 
 def publish(
-    df: DataFrame, path: str, partition_by: tuple[str, ...] = (), keep: int = KEEP
+    df: DataFrame,
+    path: str,
+    partition_by: tuple[str, ...] = (),
+    keep: int = KEEP,
+    buckets: Buckets | None = None,
 ) -> int:
     """Replace what readers of a dataset see, in one step, and return the rows written.
 
     A write that fails, or is interrupted anywhere, leaves the dataset as it was or as it should
     be.  What a killed one left behind is no version; ``drafts`` tells it, ``drop_drafts`` deletes it.
+
+    Buckets of a hot key can be split neither here nor by a reader.  If the largest one would have
+    more than ``UNEVEN`` times the mean rows, which a count by bucket tells before, the version is
+    written without them, and joins shuffle and split it.
     """
     spark = df.sparkSession
-    version, rows = write_version(df, path, partition_by)
-    record(spark, path, version, rows)
+    buckets = buckets if buckets and even(df, buckets) else None
+    version, rows = write_version(df, path, partition_by, buckets)
+    record(spark, path, version, rows, buckets=buckets)
     clean(spark, path, keep)
     return rows
 
 
+def even(df: DataFrame, buckets: Buckets) -> bool:
+    """Whether no bucket would have far more rows than others; reads the key alone."""
+    number = F.pmod(F.hash(buckets.key), F.lit(buckets.count))
+    sizes = df.groupBy(number.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    return (found.most or 0) * buckets.count <= UNEVEN * max(found.rows or 0, FEW_ROWS)
+
+
+def _table_of(version: str) -> str:
+    return f"{BUCKETED}.v_{version.replace('-', '_').lower()}"
+
+
+def _bucketed(spark: SparkSession, path: str, last: Row) -> DataFrame:
+    """A bucketed version as a table, made known to a catalog that doesn't have it yet."""
+    name, folder = _table_of(last.name), version_path(path, last.name)
+    if not spark.catalog.tableExists(name):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {BUCKETED}")
+        columns = spark.read.parquet(folder).schema
+        listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({listed}) USING parquet "
+            f"CLUSTERED BY (`{last.bucket_key}`) SORTED BY (`{last.bucket_key}`) "
+            f"INTO {last.buckets} BUCKETS LOCATION '{folder}'"
+        )
+    return spark.table(name)
+
+
 def current_path(spark: SparkSession, path: str) -> str:
     """The folder of the version that is current now."""
     return version_path(path, latest(spark, path).name)
@@ -101,7 +174,10 @@ def current_path(spark: SparkSession, path: str) -> str:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The current version; the frame stays with it when another one is published."""
-    return spark.read.parquet(current_path(spark, path))
+    last = latest(spark, path)
+    if last.buckets:
+        return _bucketed(spark, path, last)
+    return spark.read.parquet(version_path(path, last.name))
 
 
 def point_view(spark: SparkSession, name: str, path: str) -> None:
@@ -130,6 +206,7 @@ def clean(spark: SparkSession, path: str, keep: int = KEEP) -> list[str]:
     gone = [name for name in old if name in here]
     for name in gone:
         _delete(spark, version_path(path, name))
+        spark.sql(f"DROP TABLE IF EXISTS {_table_of(name)}")
     return gone
 
 

@@ -8,7 +8,7 @@ from goldseam.schemas import TABLES
 from goldseam.sinks.files import write_batches, write_parquet
 from goldseam.sinks.warehouse import LOAD_ORDER, LoadFailed, ParquetSink, load, load_all
 from goldseam.sources.files import ParquetSource, list_files
-from goldseam.versions import drafts
+from goldseam.versions import PublishedSource, drafts
 from tests.conftest import SMALL
 
 
@@ -73,6 +73,15 @@ def test_marts_are_catalog_tables_partitioned_by_year(spark, built):
     assert files <= 2 * spark.table("gold.fct_sales").select("order_year").distinct().count()
 
 
+def test_the_sales_fact_is_built_from_storage_without_a_shuffle(spark, built, conf):
+    layout, _, _ = built
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    sales = Warehouse(silver=PublishedSource(spark, layout.path("silver")).read).mart("fct_sales")
+    plan = sales._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert sales.count() == 6000
+
+
 def test_stored_silver_keeps_further_columns(spark, source, tmp_path):
     def raw(name):
         df = ParquetSource(spark, source).read(name)

@@ -127,3 +127,57 @@ def test_source_of_published_datasets(spark, tmp_path):
     ]
     assert source.input_bytes() == sum(sizes) > 0
     assert PublishedSource(spark, f"{tmp_path}/nowhere").input_bytes() == 0
+
+
+def bucketed(spark, path, n=1_000, count=4):
+    rows = spark.range(n).selectExpr("id % 100 AS k", "id AS v")
+    return publish(rows, path, buckets=versions.Buckets("k", count))
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_bucketed_versions_join_without_a_shuffle(spark, tmp_path, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    for name in "ab":
+        assert bucketed(spark, f"{tmp_path}/{name}") == 1_000
+        assert len([f for f in versions._names_below(spark, versions.current_path(spark, f"{tmp_path}/{name}"))
+                    if f.startswith("part-")]) == 4
+    source = PublishedSource(spark, str(tmp_path))
+    joined = source.read("a").join(source.read("b").withColumnRenamed("v", "w"), "k")
+    assert exchanges(joined) == 0 and joined.count() == 100 * 10 * 10
+    assert exchanges(source.read("a").groupBy("k").count()) == 0
+
+
+def test_a_catalog_that_does_not_know_a_bucketed_version(spark, tmp_path):
+    bucketed(spark, f"{tmp_path}/a")
+    spark.sql(f"DROP DATABASE {versions.BUCKETED} CASCADE")
+    found = read(spark, f"{tmp_path}/a")
+    assert found.count() == 1_000 and exchanges(found.groupBy("k").count()) == 0
+
+
+def test_old_bucketed_versions_leave_the_catalog(spark, tmp_path):
+    for n in (10, 20, 30, 40):
+        assert bucketed(spark, f"{tmp_path}/a", n) == n
+    names = {r.name for r in versions.log_records(spark, f"{tmp_path}/a").orderBy("number").collect()}
+    known = [n for n in names if spark.catalog.tableExists(versions._table_of(n))]
+    assert len(names) == 4 and len(known) == versions.KEEP
+    assert count(spark, f"{tmp_path}/a") == 40
+
+
+def test_a_hot_key_is_published_without_buckets(spark, tmp_path):
+    path = f"{tmp_path}/hot"
+    rows = spark.range(400_000).selectExpr("IF(id % 10 = 0, id, 7) AS k", "uuid() AS v")
+    assert publish(rows, path, buckets=versions.Buckets("k", 16)) == 400_000
+    assert versions.latest(spark, path).buckets is None
+    assert count(spark, path) == 400_000
+
+
+def test_a_failing_bucketed_write_leaves_no_table(spark, tmp_path):
+    bad = spark.range(9).select(F.expr("IF(id > 7, raise_error('stop'), id)").alias("k"))
+    before = len(spark.catalog.listTables(versions.BUCKETED)) if spark.catalog.databaseExists(versions.BUCKETED) else 0
+    with pytest.raises(Exception, match="stop"):
+        publish(bad, f"{tmp_path}/t", buckets=versions.Buckets("k", 2))
+    assert len(spark.catalog.listTables(versions.BUCKETED)) == before
+    assert versions.drafts(spark, f"{tmp_path}/t") == []
