@@ -537,6 +537,19 @@ def _profiles() -> dict[str, str]:
             lambda t, c, kind: f"""SELECT '{t}' AS table_name, '{c}' AS column_name,
                 count(*) AS distinct_values FROM (SELECT DISTINCT {c} FROM b_{t}) d"""
         ),
+        "profile_distinct_sketch": each_column(
+            lambda t, c, kind: f"""SELECT '{t}' AS table_name, '{c}' AS column_name,
+                count(*) AS distinct_values, TRUE AS near FROM (SELECT DISTINCT {c} FROM b_{t}) d"""
+        ),
+        "profile_quantile_sketch": _union(
+            f"""SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(p AS DOUBLE) AS probability,
+                count({c}) AS value_count, TRUE AS near
+                FROM b_{t}, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS p) q
+                GROUP BY p HAVING count({c}) > 0"""
+            for t in TABLES
+            for c, kind in _columns(t)
+            if kind != "string"
+        ),
         "profile_numeric_stats": _union(
             stats(t, c, kind) for t in TABLES for c, kind in _columns(t) if kind != "date"
         ),

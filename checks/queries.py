@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks import stock
-from goldseam.operators import bronze, dashboards, profile, silver
+from goldseam.operators import bronze, dashboards, profile, silver, sketches
 from goldseam.plans import pipeline, quality
 from goldseam.plans.warehouse import MARTS, Warehouse, bronze_of
 from goldseam.schemas import TABLES
@@ -25,6 +25,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Rows of a chunk in the manifest: few enough for several chunks of every large table.
 CHUNK_ROWS = 1_000
 
+# Parts that every table is sketched in.
+SKETCH_PARTS = 3
+
 # Scans that a table's chunks are read in.
 CHUNK_SCANS = 8
 
@@ -74,6 +77,8 @@ def registered() -> dict[str, Query]:
         "profile_numeric_stats": lambda w: _per_table(w, profile.numeric_stats).withColumn(
             "stddev", F.expr(NINE_DIGITS)
         ),
+        "profile_distinct_sketch": _distinct_sketch,
+        "profile_quantile_sketch": _quantile_sketch,
         "profile_null_counts": lambda w: _per_table(w, profile.null_counts),
         "profile_sample": lambda w: profile.over_tables(
             [profile.sample_rows(w.bronze(t.name), t.name, t.key) for t in TABLES.values()]
@@ -123,6 +128,53 @@ def _over_directory(build: Callable[[Warehouse], DataFrame]) -> Query:
     return lambda spark, sf_dir: as_doubles(build(open_warehouse(spark, sf_dir)))
 
 
+def _sketches(warehouse: Warehouse) -> DataFrame:
+    """Every table sketched in parts, and the sketches merged."""
+    parts = []
+    for table, spec in TABLES.items():
+        df, dealt = warehouse.bronze(table), F.pmod(F.hash(spec.key[0]), F.lit(SKETCH_PARTS))
+        parts += [sketches.sketched(df.where(dealt == p), table, str(p)) for p in range(SKETCH_PARTS)]
+    return sketches.merged(profile.over_tables(parts))
+
+
+def _distinct_sketch(warehouse: Warehouse) -> DataFrame:
+    """Exact distinct values, and whether the estimates of merged sketches are near enough."""
+    exact = _per_table(warehouse, profile.cardinality)
+    found = sketches.distinct_estimates(_sketches(warehouse)).withColumnRenamed("distinct_values", "found")
+    off = F.abs(F.col("found") - F.col("distinct_values"))
+    near = off <= F.greatest(F.lit(1), F.col("distinct_values") * sketches.DISTINCT_ERROR)
+    return exact.join(found, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "distinct_values", near.alias("near")
+    )
+
+
+def _quantile_sketch(warehouse: Warehouse) -> DataFrame:
+    """Values of numeric columns, and whether each quantile's rank is near enough."""
+    found = sketches.quantiles(_sketches(warehouse))
+    values = profile.over_tables([_numbers(warehouse.bronze(t), t) for t in TABLES])
+    at, least = F.col("probability"), F.col("below") / F.col("n")
+    most = (F.col("below") + F.col("same")) / F.col("n")
+    near = (least <= at + sketches.RANK_ERROR) & (most >= at - sketches.RANK_ERROR)
+    ranked = values.join(F.broadcast(found), ["table_name", "column_name"])  # five a column
+    return (
+        ranked.groupBy("table_name", "column_name", "probability")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("value") < F.col("quantile")).alias("below"),
+            F.count_if(F.col("value") == F.col("quantile")).alias("same"),
+        )
+        .select("table_name", "column_name", "probability", F.col("n").alias("value_count"), near.alias("near"))
+    )
+
+
+def _numbers(df: DataFrame, table: str) -> DataFrame:
+    """(table_name, column_name, value) of every number and date."""
+    cells = [f"'{f.name}', {n}" for f in df.schema.fields if (n := sketches.number_of(f))]
+    return df.selectExpr(
+        f"'{table}' AS table_name", f"stack({len(cells)}, {', '.join(cells)}) AS (column_name, value)"
+    ).where("value IS NOT NULL")
+
+
 def _keyed(warehouse: Warehouse) -> list[chunks.Keyed]:
     return chunks.keyed([(warehouse.bronze(t.name), t) for t in TABLES.values()], CHUNK_ROWS)
 
