@@ -419,38 +419,63 @@ def links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFr
     edges = edges.unionByName(answers.where(linked).select("a", "b"))
     answers = answers.where(~linked)  # linked roots need no further answer
 
-    # What the roots' answers say of the sets below them, for pairs that share a list.
-    side = ("uid", "n", "root", "more", "less")
-    one = open_lists.select("shingle", *(F.col(c).alias(f"{c}_a") for c in side))
-    two = open_lists.select("shingle", *(F.col(c).alias(f"{c}_b") for c in side))
+    return edges.unionByName(_derived(docs, doc_id, text, classes, open_lists, answers))
+
+
+def _derived(
+    docs: DataFrame, doc_id: str, text: str, classes: DataFrame, open_lists: DataFrame, answers: DataFrame
+) -> DataFrame:
+    """Links that the roots' answers (a, b, overlap) leave for the sets below them.
+
+    Sets of a tree that have one size and differ from the root by as many shingles are one shape,
+    and get one answer.  A shape is left out where not even the likeliest set of the other tree
+    could link with it.  Two trees that some pair of shapes surely links need no further answer;
+    only of the others the pairs that are left open become pairs of sets and are compared.
+    """
     answers = answers.select(F.col("a").alias("root_a"), F.col("b").alias("root_b"), "overlap")
+    shape = ("root", "n", "more", "less")
+    sets = stored(open_lists.select("uid", *shape).distinct(), "below")
+    shapes = stored(sets.groupBy(*shape).agg(F.min("uid").alias("one")), "shapes")
+    best = shapes.groupBy("root").agg(F.max("more").alias("most"), F.min("n").alias("small"))
+
+    def possible(own: str, other: str) -> DataFrame:
+        mine = shapes.select(*(F.col(c).alias(f"{c}_{own}") for c in (*shape, "one")))
+        far = best.withColumnRenamed("root", f"root_{other}")
+        n, more = F.col(f"n_{own}"), F.col(f"more_{own}")
+        return (
+            answers.join(far, f"root_{other}")
+            .join(mine, f"root_{own}")
+            .where(_links(F.col("overlap") + more + F.col("most"), n, F.col("small")))
+            .drop("most", "small")
+        )
+
     most = F.col("overlap") + F.col("more_a") + F.col("more_b")
     least = F.col("overlap") - F.col("less_a") - F.col("less_b")
-    derived = (
-        one.join(answers, "root_a")
-        .join(two, ["shingle", "root_b"])
+    pairs = (
+        possible("a", "b")
+        .join(possible("b", "a").drop("overlap"), ["root_a", "root_b"])
         .where(_links(most, F.col("n_a"), F.col("n_b")))
-        .select(
-            F.col("uid_a").alias("a"),
-            F.col("uid_b").alias("b"),
-            F.col("root_a"), F.col("root_b"),
-            _links(least, F.col("n_a"), F.col("n_b")).alias("sure"),
-        )
-        .distinct()
-    )
-    derived = stored(derived, "derived")
-    sure = derived.where("sure").select("a", "b")
-    # Trees that a sure pair links need no further answer.
-    unsure = derived.where("NOT sure").join(
-        derived.where("sure").select("root_a", "root_b").distinct(), ["root_a", "root_b"], "left_anti"
+        .withColumn("sure", _links(least, F.col("n_a"), F.col("n_b")))
+    )
+    pairs = stored(pairs, "shape-pairs")
+    sure = pairs.where("sure").groupBy("root_a", "root_b").agg(
+        F.min(F.struct(F.col("one_a").alias("a"), F.col("one_b").alias("b"))).alias("pair")
     )
+    unsure = pairs.where("NOT sure").join(sure.select("root_a", "root_b"), ["root_a", "root_b"], "left_anti")
+    for side in "ab":
+        names = {c: f"{c}_{side}" for c in shape}
+        unsure = unsure.join(
+            sets.select(F.col("uid").alias(side), *(F.col(c).alias(name) for c, name in names.items())),
+            list(names.values()),
+        )
     unsure = stored(unsure.select("a", "b"), "unsure")
-    edges = edges.unionByName(sure)
-    if not unsure.isEmpty():
-        checked = _sized(overlaps(docs, doc_id, text, unsure, classes), sizes)
-        linked = checked.where(_links(F.col("overlap"), F.col("n_a"), F.col("n_b")))
-        edges = edges.unionByName(linked.select("a", "b"))
-    return edges
+    edges = sure.select("pair.a", "pair.b")
+    if unsure.isEmpty():
+        return edges
+    sizes = classes.select("uid", "n")
+    checked = _sized(overlaps(docs, doc_id, text, unsure, classes), sizes)
+    linked = checked.where(_links(F.col("overlap"), F.col("n_a"), F.col("n_b")))
+    return edges.unionByName(linked.select("a", "b"))
 
 
 def _block_pairs(classes: DataFrame) -> DataFrame:
