@@ -39,7 +39,9 @@ _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str) -> bytes:
-    """Lower-case letters of a text, everything else one blank."""
+    """Lower-case letters of a text, everything else one blank; nothing of a text without a letter."""
+    if not any(map(str.isalpha, text)):  # fractions and the like are word characters, too
+        return b""
     return _NO_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 

@@ -147,11 +147,10 @@ def nearest_of_blocks(index: DataFrame, queries: DataFrame, nearest: int) -> Dat
             matrix = np.stack(held["vector"].to_numpy()).astype(np.float64)
             for query, vector in zip(asked["vec_id"], asked["vector"], strict=True):
                 score = distances(matrix, np.asarray(vector, np.float64))
-                score[ids == query] = np.inf
-                chosen = np.flatnonzero(np.isfinite(score))
+                chosen = np.flatnonzero(ids != query)
                 if single and nearest < len(chosen):
                     limit = np.partition(score[chosen], nearest - 1)[nearest - 1]
-                    chosen = np.flatnonzero(score <= limit)
+                    chosen = chosen[score[chosen] <= limit]
                 chosen = chosen[np.lexsort((ids[chosen], score[chosen]))]
                 if not single:
                     chosen = chosen[np.sort(np.unique(ids[chosen], return_index=True)[1])]
@@ -166,9 +165,19 @@ def nearest_of_blocks(index: DataFrame, queries: DataFrame, nearest: int) -> Dat
 
 
 def distances(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
-    """Euclidean distances of a vector to the rows of a matrix."""
-    away = matrix - vector
-    return np.sqrt(np.einsum("ij,ij->i", away, away))
+    """Euclidean distances of a vector to the rows of a matrix.
+
+    Where a square is too large for a double, the differences are scaled first.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        away = matrix - vector
+        found = np.sqrt(np.einsum("ij,ij->i", away, away))
+        large = np.flatnonzero(~np.isfinite(found))
+        if len(large):
+            scale = np.maximum(np.abs(matrix[large]).max(axis=1), np.abs(vector).max())[:, None]
+            away = matrix[large] / scale - vector / scale
+            found[large] = scale[:, 0] * np.sqrt(np.einsum("ij,ij->i", away, away))
+    return found
 
 
 def _best(found: DataFrame, nearest: int) -> DataFrame:
@@ -199,7 +208,8 @@ def nearest_neighbours(
     empty, zero or hold null or non-finite numbers, take no part; vectors of different lengths
     never meet.  Rows with the vec_id of the query are not among its neighbours, and a repeated
     vec_id counts once, with its smallest distance.  A query for which the tables give fewer than
-    ``nearest`` is compared with all vectors, in blocks.  An empty table gives no rows.
+    ``nearest`` is compared with all vectors, in blocks.  A distance beyond the largest double is
+    infinite, and such vectors come last.  An empty table gives no rows.
     """
     rows = vectors(table, vec_id, embedding)
     chosen = rows.where(F.col("vec_id") % 100 == 0 if queries is None else queries)

@@ -60,8 +60,9 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
-    shards = token_files.write_files(documents(spark, sf_dir), folder, vocabulary_path())
-    return token_files.read_files(shards, folder)
+    docs = documents(spark, sf_dir)
+    shards = token_files.write_files(docs, folder, vocabulary_path())
+    return token_files.read_files(shards, folder, docs.schema["doc_id"].dataType.simpleString())
 
 
 def lm_scoring_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,12 @@ def test_texts_without_letters_are_unknown(spark):
     assert found[63]["lang_pred"] in ("en", "de", "fr")
 
 
+def test_numbers_that_are_word_characters_are_no_letters():
+    found = language_id.Languages({"de": b"der die das und", "en": b"the and of"})
+    assert [found.identify(t)[0] for t in ("\u00bd \u2461", "\u2167 \u00b2_", "42 \u0665")] == ["und"] * 3
+    assert found.identify("\u2167 der und")[0] == "de"
+
+
 def test_nothing_learned_and_empty_tables(spark):
     docs = documents(spark, ["some text", None], langs=[None, "en"])
     assert {r["lang_pred"] for r in rows(language_id.language_id(docs))} == {"und"}

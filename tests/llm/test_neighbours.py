@@ -70,6 +70,15 @@ def test_ties_repeated_rows_and_copies(spark):
     assert all(score == 0 for q in found.values() for _, score in q)
 
 
+def test_very_large_vectors_are_candidates_too(spark):
+    given = [(100, [1.0, 0.0]), (1, [1e200, 1e200]), (2, [-1e200, 0.0]), (3, [1.7e308, -1.7e308]), (4, [3.0, 0.0])]
+    table = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+    (found,) = lists(neighbours.nearest_neighbours(table)).values()
+    assert [v for v, _ in found] == [4, 2, 1, 3]
+    scores = [s for _, s in found]
+    assert scores[:2] == [2.0, 1e200] and scores[2] == pytest.approx(2**0.5 * 1e200) and scores[3] == np.inf
+
+
 def test_blocks_of_a_hot_bucket_meet(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 50)
     monkeypatch.setattr(neighbours, "QUERIES", 2)

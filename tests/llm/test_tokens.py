@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from goldseam.llm import packing, queries, token_files
@@ -73,6 +74,20 @@ def test_sequences_have_equal_length_and_masks(spark, library, tmp_path):
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in back)[:2] == [(0, 1), (4, 1)]
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_files_of_documents_with_other_identifiers(spark, library, tmp_path, kind):
+    docs = documents(spark, ["one text", None, "another"], ids=[7, 21, 9]).withColumn(
+        "doc_id", F.col("doc_id").cast(kind)
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = rows(queries.registered()["op8_token_files"](spark, str(tmp_path)))
+    order = sorted([7, 21, 9], key=int if kind == "int" else str)
+    assert [r["doc_id"] for r in sorted(found, key=lambda r: r["start"])] == [
+        i if kind == "int" else str(i) for i in order
+    ]
+    assert {int(r["doc_id"]): r["n_tokens"] for r in found}[21] == 1
+
+
 def test_no_documents_no_files(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     shards = token_files.write_files(empty(spark), folder, vocabulary_path())
