@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
+from time import sleep
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +29,16 @@ from goldseam.sinks.warehouse import (
     Sink,
     load_all,
 )
-from goldseam.sources.files import ParquetSource
+from goldseam.sources.files import ParquetSource, list_files
 from goldseam.sources.jdbc import JdbcSource
-from goldseam.versions import Buckets, PublishedSource, point_view, publish
+from goldseam.versions import (
+    Buckets,
+    PublishedSource,
+    latest,
+    point_view,
+    publish,
+    rows_made_from,
+)
 
 log = logging.getLogger(__name__)
 
@@ -71,8 +79,57 @@ class Layout:
         return f"{self.root.rstrip('/')}/{layer}/{name}".rstrip("/")
 
 
+@dataclass(frozen=True)
+class Effort:
+    """How hard a run tries, and what it may leave as it is.
+
+    A table that fails is tried ``retries`` times more, the first time after ``wait`` seconds and
+    each time after twice as many; a plan that can't be made fails at once.  With ``resume`` a
+    table whose last version was made from the same inputs is not made again, so that a run after
+    a failure does only what is missing.
+    """
+
+    retries: int = 0
+    wait: float = 1.0
+    resume: bool = False
+
+    def publish(self, build: Callable[[], DataFrame], path: str, spark, inputs, **more) -> int:
+        """Publish a dataset unless it is there already; its rows."""
+        if self.resume:
+            rows = rows_made_from(spark, path, inputs)
+            if rows is not None:
+                return rows
+        return publish(build(), path, made_from=inputs, **more)
+
+    def tried(self, one: Callable[[str], int]) -> Callable[[str], int]:
+        """One table's work, again if it fails."""
+
+        def again(table: str) -> int:
+            wait = self.wait
+            for left in range(self.retries, -1, -1):
+                try:
+                    return one(table)
+                except (AnalysisException, StageFailed):
+                    raise
+                except Exception as error:
+                    if not left:
+                        raise
+                    log.warning("%s failed, again in %s s: %s", table, wait, error)
+                    sleep(wait)
+                    wait *= 2
+            raise AssertionError("unreachable")
+
+        return again
+
+
+ONCE = Effort()
+
+
 def extract(
-    spark: SparkSession, raw: Callable[[str], DataFrame], layout: Layout
+    spark: SparkSession,
+    raw: Callable[[str], DataFrame],
+    layout: Layout,
+    effort: Effort = ONCE,
 ) -> DataFrame:
     """Write every table to Bronze; report a table that fails, whatever the reason, and go on.
 
@@ -80,9 +137,30 @@ def extract(
     gaps the large ones leave.  A failed table keeps the Bronze of an earlier run.
     """
     typed = bronze_of(raw)
-    return _stage(
-        spark, TABLES, lambda table: publish(typed(table), layout.path("bronze", table))
-    )
+
+    def one(table: str) -> int:
+        inputs = _raw_inputs(raw, table) if effort.resume else None
+        return effort.publish(lambda: typed(table), layout.path("bronze", table), spark, inputs)
+
+    return _stage(spark, TABLES, effort.tried(one))
+
+
+def _raw_inputs(raw: Callable[[str], DataFrame], table: str) -> str | None:
+    """The files of a raw table as a digest of their names, sizes and times; a database has none."""
+    source = getattr(raw, "__self__", None)
+    if not isinstance(source, ParquetSource):
+        return None
+    listed = list_files(source.spark, source.path(table))
+    found = listed.agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum(F.xxhash64("path", "length", "modified").cast("decimal(38,0)")).alias("mixed"),
+    ).first()
+    return f"{found.files} files, {found.mixed}"
+
+
+def _versions_of(spark: SparkSession, layout: Layout, layer: str, *names: str) -> str:
+    """The versions of datasets of a layer that are current now."""
+    return ", ".join(f"{name} {latest(spark, layout.path(layer, name)).name}" for name in names)
 
 
 def transform(
@@ -90,6 +168,7 @@ def transform(
     layout: Layout,
     rules: str = "standard",
     failed: Collection[str] = (),
+    effort: Effort = ONCE,
 ) -> DataFrame:
     """Clean every Bronze table into Silver, but for those that failed to be extracted.
 
@@ -102,12 +181,15 @@ def transform(
     def one(table: str) -> int:
         if table in failed:
             raise StageFailed(f"{table} was not extracted in this run")
-        typed = bronze.conform(store.read(table), table)
+        inputs = f"{_versions_of(spark, layout, 'bronze', table)}, {rules}"
         buckets = Buckets(BUCKET_KEYS[table], count) if table in BUCKET_KEYS else None
-        cleaned = silver.clean(typed, table, rules)
-        return publish(cleaned, layout.path("silver", table), buckets=buckets)
 
-    return _stage(spark, TABLES, one)
+        def cleaned() -> DataFrame:
+            return silver.clean(bronze.conform(store.read(table), table), table, rules)
+
+        return effort.publish(cleaned, layout.path("silver", table), spark, inputs, buckets=buckets)
+
+    return _stage(spark, TABLES, effort.tried(one))
 
 
 def bucket_count(spark: SparkSession, input_bytes: int) -> int:
@@ -121,6 +203,7 @@ def model(
     layout: Layout,
     run_at: datetime | None = None,
     failed: Collection[str] = (),
+    effort: Effort = ONCE,
 ) -> DataFrame:
     """Build and store the marts, those of one step together; views ``gold.<mart>`` show them.
 
@@ -135,17 +218,27 @@ def model(
         def one(name: str) -> int:
             if bad := sorted(out.intersection(NEEDS[name])):
                 raise StageFailed(f"{name} needs {', '.join(bad)}")
-            dated = with_audit(warehouse.mart(name), run_at)
             split = PARTITIONS.get(name, {})
-            for column, source in split.items():
-                dated = dated.withColumn(column, F.year(source))
-            if split:  # files of even size, however many rows a year has
-                dated = dated.hint("rebalance", *split)
-            written = publish(dated, layout.path("gold", name), tuple(split))
+            marts = [n for n in NEEDS[name] if n in stored]
+            tables = [n for n in NEEDS[name] if n not in stored]
+            inputs = "; ".join(
+                _versions_of(spark, layout, layer, *names)
+                for layer, names in (("silver", tables), ("gold", marts))
+            )
+
+            def dated() -> DataFrame:
+                rows = with_audit(warehouse.mart(name), run_at)
+                for column, source in split.items():
+                    rows = rows.withColumn(column, F.year(source))
+                # files of even size, however many rows a year has
+                return rows.hint("rebalance", *split) if split else rows
+
+            path = layout.path("gold", name)
+            written = effort.publish(dated, path, spark, inputs, partition_by=tuple(split))
             point_view(spark, f"gold.{name}", layout.path("gold", name))
             return written
 
-        done = _together(_reported(one), step)
+        done = _together(_reported(effort.tried(one)), step)
         rows += done
         out.update(name for name, _, status in done if status != LOADED)
         stored.update(step)
@@ -185,6 +278,7 @@ def run(
     raw: Callable[[str], DataFrame] | None = None,
     sink: Sink | None = None,
     stage: str = "all",
+    effort: Effort = ONCE,
 ) -> dict[str, DataFrame]:
     """Run one stage or all of them and return their reports.
 
@@ -198,16 +292,16 @@ def run(
         if raw is None:
             raise ValueError("ingest needs a source")
         with sized(spark, _raw_bytes(raw)):
-            reports["extract"] = extract(spark, raw, layout)
+            reports["extract"] = extract(spark, raw, layout, effort)
         with sized(spark, PublishedSource(spark, layout.path("bronze")).input_bytes()):
             reports["transform"] = transform(
-                spark, layout, failed=not_loaded(reports["extract"])
+                spark, layout, failed=not_loaded(reports["extract"]), effort=effort
             )
         publish(reports["transform"].coalesce(1), layout.path("runs", "ingest"))
     if stage in ("model", "all"):
         last = PublishedSource(spark, layout.path("runs")).read("ingest")
         with sized(spark, PublishedSource(spark, layout.path("silver")).input_bytes()):
-            reports["model"] = model(spark, layout, failed=not_loaded(last))
+            reports["model"] = model(spark, layout, failed=not_loaded(last), effort=effort)
             if sink is not None:
                 reports["load"] = load(spark, layout, sink, not_loaded(reports["model"]))
     return reports
@@ -291,7 +385,8 @@ def main(argv: list[str] | None = None) -> int:
     elif args.target:
         sink = ParquetSink(spark, args.target)
     layout = Layout(args.root)
-    reports = run(spark, layout, raw, sink, args.stage)
+    effort = Effort(args.retries, args.wait, args.resume)
+    reports = run(spark, layout, raw, sink, args.stage, effort)
     good = not any(not_loaded(report) for report in reports.values())
     if args.validate and good:
         found = validate(spark, layout, sink)
@@ -327,6 +422,11 @@ def _arguments() -> argparse.ArgumentParser:
     parser.add_argument(
         "--target-connections", type=int, help="most connections to the target at once"
     )
+    parser.add_argument("--retries", type=int, default=2, help="further tries of a failed table")
+    parser.add_argument("--wait", type=float, default=30, help="seconds before the first of them")
+    parser.add_argument(
+        "--resume", action="store_true", help="leave tables whose inputs are those of their last run"
+    )
     parser.add_argument("--validate", action="store_true", help="run the quality rules at the end")
     parser.add_argument(
         "--min-score", type=float, default=0.99, help="least quality score of a good run"

@@ -29,7 +29,7 @@ KEEP = 2  # versions that stay: the current one, and the one that readers may st
 
 RECORD = (
     "number long, name string, row_count long, files long, bytes long, published timestamp, "
-    "bucket_key string, buckets int"
+    "bucket_key string, buckets int, made_from string"
 )
 
 BUCKETED = "goldseam_buckets"  # the database of tables over bucketed versions
@@ -71,6 +71,7 @@ def record(
     files: int | None = None,
     size: int | None = None,
     buckets: Buckets | None = None,
+    made_from: str | None = None,
 ) -> Row:
     """Add a record behind all others, as one file."""
     try:
@@ -78,7 +79,7 @@ def record(
     except FileNotFoundError:
         number = 1
     dealt = (buckets.key, buckets.count) if buckets else (None, None)
-    values = (number, name, rows, files, size, datetime.now(UTC).replace(tzinfo=None), *dealt)
+    values = (number, name, rows, files, size, datetime.now(UTC).replace(tzinfo=None), *dealt, made_from)
     added = spark.createDataFrame([values], RECORD).coalesce(1)
     added.write.mode("append").json(f"{path.rstrip('/')}/_log")
     return added.first()
@@ -122,6 +123,7 @@ def publish(
     partition_by: tuple[str, ...] = (),
     keep: int = KEEP,
     buckets: Buckets | None = None,
+    made_from: str | None = None,
 ) -> int:
     """Replace what readers of a dataset see, in one step, and return the rows written.
 
@@ -131,11 +133,13 @@ def publish(
     Buckets of a hot key can be split neither here nor by a reader.  If the largest one would have
     more than ``UNEVEN`` times the mean rows, which a count by bucket tells before, the version is
     written without them, and joins shuffle and split it.
+
+    ``made_from`` tells the inputs of the version, for ``rows_made_from``.
     """
     spark = df.sparkSession
     buckets = buckets if buckets and even(df, buckets) else None
     version, rows = write_version(df, path, partition_by, buckets)
-    record(spark, path, version, rows, buckets=buckets)
+    record(spark, path, version, rows, buckets=buckets, made_from=made_from)
     clean(spark, path, keep)
     return rows
 
@@ -167,6 +171,15 @@ def _bucketed(spark: SparkSession, path: str, last: Row) -> DataFrame:
     return spark.table(name)
 
 
+def rows_made_from(spark: SparkSession, path: str, inputs: str | None) -> int | None:
+    """The rows of the current version if it was made from just these inputs, else None."""
+    try:
+        last = latest(spark, path)
+    except FileNotFoundError:
+        return None
+    return last.row_count if inputs is not None and last.made_from == inputs else None
+
+
 def current_path(spark: SparkSession, path: str) -> str:
     """The folder of the version that is current now."""
     return version_path(path, latest(spark, path).name)

@@ -294,3 +294,71 @@ def test_partitioned_write(spark, tmp_path):
         "p=0",
         "p=1",
     }
+
+
+class Flaky:
+    """A source whose table fails some times before it can be read."""
+
+    def __init__(self, spark, source, failures):
+        self.source, self.failures = ParquetSource(spark, source), failures
+
+    def read(self, name):
+        if name == "customer" and self.failures:
+            self.failures -= 1
+            raise OSError("connection lost")
+        return self.source.read(name)
+
+
+@pytest.mark.parametrize("failures, status", [(1, "loaded"), (2, "loaded"), (3, "failed")])
+def test_a_failed_table_is_tried_again(spark, source, tmp_path, monkeypatch, failures, status):
+    waits = []
+    monkeypatch.setattr(pipeline, "sleep", waits.append)
+    effort = pipeline.Effort(retries=2, wait=4)
+    raw = Flaky(spark, source, failures)
+    found = report(pipeline.extract(spark, raw.read, pipeline.Layout(f"{tmp_path}/w"), effort))
+    assert found["customer"][1] == status and waits == [4, 8][:failures]
+
+
+def test_a_plan_that_cannot_be_made_is_not_tried_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pipeline, "sleep", None)
+    raw = ParquetSource(spark, "/nowhere").read
+    found = report(pipeline.extract(spark, raw, pipeline.Layout(f"{tmp_path}/w"), pipeline.Effort(2)))
+    assert {status for _, status in found.values()} == {"failed"}
+
+
+def test_a_resumed_run_does_only_what_is_missing(spark, source, tmp_path, monkeypatch):
+    layout, effort = pipeline.Layout(f"{tmp_path}/w"), pipeline.Effort(resume=True)
+    made = []
+    publish = pipeline.publish
+
+    def published(df, path, **more):
+        if "/runs/" not in path:
+            made.append(path.rpartition("/w/")[2])
+        return publish(df, path, **more)
+
+    monkeypatch.setattr(pipeline, "publish", published)
+    bad = pipeline.run(spark, layout, Flaky(spark, source, 9).read, effort=effort)
+    assert report(bad["model"])["dim_customer"] == (None, "failed")
+    first = set(made)
+    assert "bronze/customer" not in first and "gold/fct_sales" in first
+
+    made.clear()
+    source_again = ParquetSource(spark, source).read
+    # A source without files, such as the flaky one, tells no inputs, so its tables are read again.
+    done = pipeline.run(spark, layout, source_again, effort=effort)
+    assert {r for r in report(done["model"]).values() if r[1] != "loaded"} == set()
+    made.clear()
+    again = pipeline.run(spark, layout, source_again, effort=effort)
+    assert made == [] and report(again["model"]) == report(done["model"])
+
+    changed = f"{tmp_path}/changed"
+    for table in TABLES:
+        spark.read.parquet(f"{source}/{table}").write.parquet(f"{changed}/{table}")
+    made.clear()
+    spark.read.parquet(f"{source}/part").limit(100).write.mode("overwrite").parquet(f"{changed}/part")
+    later = pipeline.run(spark, layout, ParquetSource(spark, changed).read, effort=effort)
+    assert report(later["model"])["dim_part"][0] == 100
+    made.clear()
+    spark.read.parquet(f"{source}/part").limit(50).write.mode("overwrite").parquet(f"{changed}/part")
+    pipeline.run(spark, layout, ParquetSource(spark, changed).read, effort=effort)
+    assert set(made) == {"bronze/part", "silver/part", "gold/dim_part", "gold/fct_inventory"}
