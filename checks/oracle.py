@@ -224,6 +224,8 @@ KEYS = {
 }
 
 CHUNK_ROWS = 1000
+STRATA = {"customer": "c_mktsegment", "orders": "o_orderstatus", "lineitem": "l_returnflag"}
+STRATUM_ROWS = 4
 
 FACT_KEYS = {
     "fct_sales": ("g_fct_sales", "order_key", "line_number"),
@@ -529,7 +531,22 @@ def _profiles() -> dict[str, str]:
             for c in columns
         )
 
+    def strata(t: str, stratum: str, n: int) -> str:
+        columns = [c for c, _ in _columns(t)]
+        key = " || '|' || ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in KEYS[t])
+        order = [*KEYS[t], *(c for c in columns if c not in KEYS[t])]
+        ordering = ", ".join(f"{c} ASC NULLS FIRST" for c in order)
+        chosen = f"""(SELECT *, row_number() OVER (PARTITION BY {stratum}
+                                                   ORDER BY md5({key}), {ordering}) AS place
+                      FROM b_{t}) s WHERE place <= {n}"""
+        return _union(
+            f"""SELECT '{t}' AS table_name, CAST({stratum} AS VARCHAR) AS stratum,
+                {key} AS row_key, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {chosen}"""
+            for c in columns
+        )
+
     return {
+        "profile_strata_sample": _union(strata(t, s, STRATUM_ROWS) for t, s in STRATA.items()),
         "profile_row_counts": _union(
             f"SELECT '{t}' AS table_name, count(*) AS row_count FROM s_{t}" for t in TABLES
         ),

@@ -25,6 +25,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Rows of a chunk in the manifest: few enough for several chunks of every large table.
 CHUNK_ROWS = 1_000
 
+# Strata that samples represent, and rows of each.
+STRATA = {
+    "customer": "c_mktsegment",
+    "orders": "o_orderstatus",
+    "lineitem": "l_returnflag",
+}
+STRATUM_ROWS = 4
+
 # Parts that every table is sketched in.
 SKETCH_PARTS = 3
 
@@ -83,6 +91,7 @@ def registered() -> dict[str, Query]:
         "profile_sample": lambda w: profile.over_tables(
             [profile.sample_rows(w.bronze(t.name), t.name, t.key) for t in TABLES.values()]
         ),
+        "profile_strata_sample": _strata_sample,
         "dq_not_null": quality.not_null,
         "dq_unique": quality.unique,
         "dq_relationships": quality.relationships,
@@ -128,6 +137,16 @@ def _over_directory(build: Callable[[Warehouse], DataFrame]) -> Query:
     return lambda spark, sf_dir: as_doubles(build(open_warehouse(spark, sf_dir)))
 
 
+def _strata_sample(warehouse: Warehouse) -> DataFrame:
+    """Some rows of every stratum of the tables that have strata."""
+    found = []
+    for table, stratum in STRATA.items():
+        key = TABLES[table].key
+        sample = profile.hash_sample(warehouse.bronze(table), key, STRATUM_ROWS, (stratum,))
+        found.append(profile.sample_cells(sample, table, key, stratum))
+    return profile.over_tables(found)
+
+
 def _sketches(warehouse: Warehouse) -> DataFrame:
     """Every table sketched in parts, and the sketches merged."""
     parts = []

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,6 +165,40 @@ def sample_rows(df: DataFrame, table: str, key: tuple[str, ...], n: int = 5) ->
     )
 
 
+def hash_sample(
+    df: DataFrame, key: tuple[str, ...], n: int, strata: tuple[str, ...] = ()
+) -> DataFrame:
+    """``n`` rows of every stratum: those whose keys have the smallest hashes.
+
+    The hash makes the choice even over the table, and the same whatever the partitioning; rows
+    with one key are told apart by their other columns.  Every task keeps its own ``n`` of a
+    stratum before the shuffle, and samples of parts of a table add up: the sample of their union
+    is the sample of the table.
+    """
+    said = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key))
+    rest = [F.col(c) for c in df.columns if c not in key]
+    strata_columns = [F.col(c) for c in strata] or [F.lit(0)]
+    place = Window.partitionBy(*strata_columns).orderBy("_hash", *key, *rest)
+    hashed = df.withColumn("_hash", F.md5(said.cast("binary")))
+    return (
+        hashed.withColumn("_place", F.row_number().over(place))
+        .where(F.col("_place") <= n)
+        .drop("_place", "_hash")
+    )
+
+
+def sample_cells(sample: DataFrame, table: str, key: tuple[str, ...], stratum: str) -> DataFrame:
+    """A sample as one row per cell: (table_name, stratum, row_key, column_name, value)."""
+    cells = [(f"'{c}'", f"CAST(`{c}` AS STRING)") for c in sample.columns]
+    row_key = " || '|' || ".join(f"coalesce(CAST(`{c}` AS STRING), '')" for c in key)
+    return sample.selectExpr(
+        f"'{table}' AS table_name",
+        f"CAST(`{stratum}` AS STRING) AS stratum",
+        f"{row_key} AS row_key",
+        _stack(cells, "column_name", "value"),
+    )
+
+
 def over_tables(profiles: list[DataFrame]) -> DataFrame:
     """The same profile of several tables as one frame."""
     return reduce(DataFrame.unionByName, profiles)

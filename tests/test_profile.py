@@ -75,3 +75,30 @@ def test_cardinality_of_every_kind_of_column(spark):
     rows = profile.cardinality(df, "x").collect()
     found = {r.column_name: r.distinct_values for r in rows}
     assert found == dict(zip("abcdefghij", (2, 2, 2, 2, 2, 3, 2, 3, 3, 3)))
+
+
+def test_a_sample_is_the_same_for_any_partitioning(spark):
+    rows = [(i, "abc"[i % 3], i % 7) for i in range(300)] + [(5, "a", 9), (None, "b", 1), (None, None, 2)]
+    df = spark.createDataFrame(rows, "k int, s string, v int")
+    samples = {
+        frozenset(profile.hash_sample(d, ("k",), 4, ("s",)).collect())
+        for d in (df.coalesce(1), df.repartition(7), df.repartition(3, "v"), df.orderBy("v"))
+    }
+    (one,) = samples
+    assert sorted(str(r.s) for r in one) == ["None"] + ["a"] * 4 + ["b"] * 4 + ["c"] * 4
+    assert profile.hash_sample(df, ("k",), 6).count() == 6
+    assert profile.hash_sample(df.limit(0), ("k",), 6).collect() == []
+
+
+def test_samples_of_parts_add_up(spark):
+    df = spark.range(1_000).selectExpr("id AS k", "id % 4 AS s")
+    parts = [profile.hash_sample(df.where(f"k % 3 = {p}"), ("k",), 5, ("s",)) for p in range(3)]
+    together = profile.hash_sample(parts[0].union(parts[1]).union(parts[2]), ("k",), 5, ("s",))
+    assert set(together.collect()) == set(profile.hash_sample(df, ("k",), 5, ("s",)).collect())
+
+
+def test_every_task_sends_no_more_than_its_own_sample(spark):
+    df = spark.range(1_000, numPartitions=4).selectExpr("id AS k", "id % 2 AS s")
+    plan = profile.hash_sample(df, ("k",), 5, ("s",))._jdf.queryExecution().executedPlan().toString()
+    before, _, after = plan.partition("Exchange hashpartitioning")
+    assert "WindowGroupLimit" in after and ", 5, Partial" in after
