@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from goldseam.llm import decontamination, line_dedup, mixing
+from goldseam.llm import decontamination, line_dedup, mixing, periodic_runs
 
 EXACT_DEDUP = r"""
 WITH rows AS (
@@ -156,11 +156,59 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM texts LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN longest USING (r)
 """
 
+PERIODIC_RUNS = rf"""
+WITH hashed AS (
+    SELECT doc_id, row_number() OVER () AS r,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+           xor(list_reduce(  -- crc32 of the decimal digits, bit by bit
+               list_prepend(4294967295::BIGINT,
+                            list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+               lambda crc, byte: list_reduce(
+                   list_prepend(xor(crc, byte), range(8)),
+                   lambda x, bit: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+               )
+           ), 4294967295::BIGINT) AS h
+    FROM documents
+), sized AS (
+    SELECT *, len(words) AS n, h // 10 AS g, coalesce(h % 10 = 0, FALSE) AS repeated FROM hashed
+), placed AS (
+    SELECT *, g % nullif(n, 0) AS a, 1 + (n - g % nullif(n, 0)) // (3 + g % 8) AS p FROM sized
+), said AS (
+    SELECT r, n, i, words[1 + CASE WHEN repeated AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+    FROM (SELECT *, unnest(range(0, n)) AS i FROM placed)
+), pairs AS (
+    SELECT x.r, x.i, y.i - x.i AS q
+    FROM said x JOIN said y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 2
+), stretches AS (
+    SELECT r, q, min(i) AS start, count(*) AS same
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs)
+    GROUP BY r, q, island
+    HAVING count(*) >= q AND count(*) + q >= {periodic_runs.LEAST}
+), runs AS (  -- multiples of the smallest period make the same stretch
+    SELECT r, start, same + q AS length, min(q) AS period FROM stretches GROUP BY r, start, same + q
+), top AS (
+    SELECT r, arg_min(struct_pack(start, length, period), (-length, start, period)) AS run,
+           count(*) AS n_runs,
+           string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines
+    FROM runs GROUP BY r
+), dropped AS (
+    SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+    SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM said ANTI JOIN dropped USING (r, i) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, run.start::BIGINT AS start,
+       run.length::BIGINT AS length, run.period::BIGINT AS period,
+       (1000 * run.length // run.period)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM placed LEFT JOIN top USING (r) LEFT JOIN kept USING (r)
+"""
+
 
 def statements() -> dict[str, str]:
     return {
         "op2_exact_dedup": EXACT_DEDUP,
         "op7_line_dedup": LINE_DEDUP,
         "op10_source_mixing": MIXING,
+        "op11_periodic_runs": PERIODIC_RUNS,
         "op13_decontamination": DECONTAMINATION,
     }
