@@ -5,8 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from checks import queries
+from checks import queries, stock
 from goldseam.operators import dashboards, facts, quality, silver, staging
+from goldseam.plans.warehouse import Warehouse, bronze_of
 from goldseam.session import sized
 from tests.conftest import SMALL
 
@@ -22,9 +23,14 @@ def final_plan(df):
     return plan(df).split("== Initial Plan ==")[0]
 
 
+def new_warehouse(spark):
+    """One whose frames were not planned under the options of another test."""
+    return Warehouse(bronze=bronze_of(stock.reader(spark, SMALL)))
+
+
 @pytest.fixture
 def warehouse(spark):
-    return queries.open_warehouse(spark, SMALL)
+    return new_warehouse(spark)
 
 
 def read_columns(text):
@@ -60,7 +66,7 @@ def test_flagship_shuffles_lines_once(spark, warehouse, conf):
 def test_small_dimensions_are_broadcast_by_their_size(spark, warehouse, conf):
     assert final_plan(warehouse.mart("dim_customer")).count("BroadcastHashJoin") == 2
     conf(**NO_BROADCAST)
-    fresh = queries.open_warehouse(spark, SMALL)
+    fresh = new_warehouse(spark)
     text = final_plan(fresh.mart("dim_customer"))
     assert "Broadcast" not in text and text.count("SortMergeJoin") == 2
 
