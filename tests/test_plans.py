@@ -63,6 +63,31 @@ def test_flagship_shuffles_lines_once(spark, warehouse, conf):
     ]
 
 
+def test_revenue_holds_no_group_per_line_in_memory(spark, warehouse):
+    """Aggregates with a group per line run in key order; also with the extremes pruned away."""
+    revenue = warehouse.mart("fct_revenue_by_supplier")
+    for df in (revenue, revenue.select("supplier_key", "total_orders", "revenue")):
+        text = plan(df)
+        assert text.count("SortAggregate") >= 4 and "HashAggregate" not in text
+
+
+def test_revenue_in_key_order_keeps_null_keys_and_repeated_orders(spark):
+    from tests.frames import line, order, staged
+
+    lines = [line(k, l_suppkey=s, l_linenumber=n) for k in (1, 2) for s in (None, 5) for n in (1, 2)]
+    orders = [order(1), order(1), order(2, o_orderdate=None)]
+    sales = facts.fct_sales(staged(spark, "lineitem", lines), staged(spark, "orders", orders))
+    found = facts.fct_revenue_by_supplier(sales).select(
+        "supplier_key", F.col("date_key").cast("string"), "total_orders", "total_line_items", "revenue"
+    )
+    assert {tuple(r[:4]): int(r.revenue) for r in found.collect()} == {
+        (None, "1998-01-05", 1, 4): 400,
+        (5, "1998-01-05", 1, 4): 400,
+        (None, None, 1, 2): 200,
+        (5, None, 1, 2): 200,
+    }
+
+
 def test_small_dimensions_are_broadcast_by_their_size(spark, warehouse, conf):
     assert final_plan(warehouse.mart("dim_customer")).count("BroadcastHashJoin") == 2
     conf(**NO_BROADCAST)
