@@ -71,6 +71,18 @@ def test_revenue_holds_no_group_per_line_in_memory(spark, warehouse):
         assert text.count("SortAggregate") >= 4 and "HashAggregate" not in text
 
 
+def test_supplier_dashboard_holds_no_group_per_line_in_memory(spark, warehouse):
+    """The dashboard needs few columns of the fact, and hashes only by supplier and tier."""
+    text = plan(
+        dashboards.supplier_performance(
+            warehouse.mart("fct_revenue_by_supplier"), warehouse.mart("dim_supplier")
+        )
+    )
+    assert text.count("SortAggregate") == 4  # by order twice, by day twice
+    for keys in re.findall(r"HashAggregate\(keys=\[(.*?)\]", text):
+        assert "order" not in keys and "date" not in keys, keys
+
+
 def test_revenue_in_key_order_keeps_null_keys_and_repeated_orders(spark):
     from tests.frames import line, order, staged
 
