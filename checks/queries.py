@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from goldseam.operators import bronze, dashboards, profile, silver, sketches
 from goldseam.plans import pipeline, quality
 from goldseam.plans.warehouse import MARTS, Warehouse, bronze_of
 from goldseam.schemas import TABLES
+from goldseam.scratch import stored
 from goldseam.sources import chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,30 +169,54 @@ def _distinct_sketch(warehouse: Warehouse) -> DataFrame:
 
 
 def _quantile_sketch(warehouse: Warehouse) -> DataFrame:
-    """Values of numeric columns, and whether each quantile's rank is near enough."""
-    found = sketches.quantiles(_sketches(warehouse))
-    values = profile.over_tables([_numbers(warehouse.bronze(t), t) for t in TABLES])
-    at, least = F.col("probability"), F.col("below") / F.col("n")
-    most = (F.col("below") + F.col("same")) / F.col("n")
-    near = (least <= at + sketches.RANK_ERROR) & (most >= at - sketches.RANK_ERROR)
-    ranked = values.join(F.broadcast(found), ["table_name", "column_name"])  # five a column
-    return (
-        ranked.groupBy("table_name", "column_name", "probability")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("value") < F.col("quantile")).alias("below"),
-            F.count_if(F.col("value") == F.col("quantile")).alias("same"),
-        )
-        .select("table_name", "column_name", "probability", F.col("n").alias("value_count"), near.alias("near"))
+    """Values of numeric columns, and whether each quantile's rank is near enough.
+
+    A value is placed among all quantiles of its column at once: it is above the first ``above`` of
+    them and not below the first ``upto``.  The places are few, and give the rank of each quantile.
+    Columns travel as numbers beside the values.
+    """
+    names = ["table_name", "column_name"]
+    fields = [(t, f) for t in TABLES for f in warehouse.bronze(t).schema.fields if sketches.number_of(f)]
+    numbers = {(t, f.name): i for i, (t, f) in enumerate(fields)}
+    cases = " ".join(
+        f"WHEN table_name = '{t}' AND column_name = '{c}' THEN {i}" for (t, c), i in numbers.items()
+    )
+    rising = Window.partitionBy(*names).orderBy("probability")
+    found = sketches.quantiles(_sketches(warehouse)).select(
+        "*", F.expr(f"CASE {cases} END").alias("column_no"), F.row_number().over(rising).alias("turn")
     )
+    found = stored(found, "quantiles")
+    turns = range(1, len(sketches.PROBABILITIES) + 1)
+    beside = found.groupBy("column_no").pivot("turn", list(turns)).agg(F.first("quantile"))
+    values = profile.over_tables([_numbers(warehouse.bronze(t), t, numbers) for t in TABLES])
+    above = " + ".join(f"IF(value > `{i}`, 1, 0)" for i in turns)
+    upto = " + ".join(f"IF(value >= `{i}`, 1, 0)" for i in turns)
+    places = (
+        values.join(F.broadcast(beside), "column_no")  # a row per column
+        .selectExpr("column_no", f"{above} AS above", f"{upto} AS upto")
+        .groupBy("column_no", "above", "upto")
+        .agg(F.count(F.lit(1)).alias("values"))
+    )
+    below = F.when(F.col("upto") < F.col("turn"), F.col("values")).otherwise(0)
+    not_above = F.when(F.col("above") < F.col("turn"), F.col("values")).otherwise(0)
+    ranked = (
+        places.join(F.broadcast(found), "column_no")  # five rows a column
+        .groupBy(*names, "probability")
+        .agg(F.sum("values").alias("n"), F.sum(below).alias("below"), F.sum(not_above).alias("not_above"))
+    )
+    at, least, most = F.col("probability"), F.col("below") / F.col("n"), F.col("not_above") / F.col("n")
+    near = (least <= at + sketches.RANK_ERROR) & (most >= at - sketches.RANK_ERROR)
+    return ranked.select(*names, "probability", F.col("n").alias("value_count"), near.alias("near"))
 
 
-def _numbers(df: DataFrame, table: str) -> DataFrame:
-    """(table_name, column_name, value) of every number and date."""
-    cells = [f"'{f.name}', {n}" for f in df.schema.fields if (n := sketches.number_of(f))]
-    return df.selectExpr(
-        f"'{table}' AS table_name", f"stack({len(cells)}, {', '.join(cells)}) AS (column_name, value)"
-    ).where("value IS NOT NULL")
+def _numbers(df: DataFrame, table: str, numbers: dict[tuple[str, str], int]) -> DataFrame:
+    """(column_no, value) of every number and date."""
+    cells = [
+        f"{numbers[table, f.name]}, {n}" for f in df.schema.fields if (n := sketches.number_of(f))
+    ]
+    return df.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS (column_no, value)").where(
+        "value IS NOT NULL"
+    )
 
 
 def _keyed(warehouse: Warehouse) -> list[chunks.Keyed]:

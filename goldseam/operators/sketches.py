@@ -30,23 +30,31 @@ SKETCHES = (
 def sketched(df: DataFrame, table: str, part: str = "") -> DataFrame:
     """One row per column: its rows, its NULLs and its sketches, from one scan.
 
-    Text has no quantiles; a column without values has a sketch of nothing.
+    Text has no quantiles; a column without values has a sketch of nothing.  Sketches that nobody
+    reads are not made: the rows are picked from arrays, one for each kind of sketch.
     """
-    aggregates, rows = ["count(1) AS row_count"], []
+    aggregates, names, nulls, distinct, quantiles = ["count(1) AS row_count"], [], [], [], []
     for i, field in enumerate(df.schema.fields):
         column = f"`{field.name}`"
         aggregates.append(f"count({column}) AS n{i}")
         aggregates.append(f"hll_sketch_agg({_countable(field)}, {REGISTERS}) AS d{i}")
-        number, quantiles = number_of(field), "CAST(NULL AS BINARY)"
+        number = number_of(field)
         if number:
             aggregates.append(f"kll_sketch_agg_double({number}, {LEVEL_ITEMS}) AS q{i}")
-            quantiles = f"q{i}"
-        rows.append(f"'{field.name}', row_count - n{i}, d{i}, {quantiles}")
-    stacked = f"stack({len(rows)}, {', '.join(rows)})"
-    return df.selectExpr(*aggregates).selectExpr(
+        names.append(f"'{field.name}'")
+        nulls.append(f"row_count - n{i}")
+        distinct.append(f"d{i}")
+        quantiles.append(f"q{i}" if number else "CAST(NULL AS BINARY)")
+    picked = {
+        "column_name": names, "null_count": nulls, "distinct_sketch": distinct, "quantile_sketch": quantiles
+    }
+    numbered = df.selectExpr(*aggregates).selectExpr(
+        "*", f"explode(sequence(0, {len(names) - 1})) AS column_no"
+    )
+    return numbered.selectExpr(
         f"'{table}' AS table_name",
         f"'{part}' AS part",
-        f"{stacked} AS (column_name, null_count, distinct_sketch, quantile_sketch)",
+        *(f"array({', '.join(cells)})[column_no] AS {name}" for name, cells in picked.items()),
         "row_count",
     ).select(*(f.name for f in T.StructType.fromDDL(SKETCHES)))
 

@@ -78,3 +78,22 @@ def test_distinct_keys_are_exact(spark):
     whole = parts[0].union(parts[1]).union(parts[2]).union(parts[1])
     assert sketches.distinct_keys(whole).first().distinct_values == exact
     assert sketches.distinct_keys(sketches.key_bitmaps(keys.limit(0), "k")).first().distinct_values == 0
+
+
+def test_sketches_that_nobody_reads_are_not_made(df):
+    whole = sketches.merged(sketches.sketched(df, "t"))
+    for wanted, other in (("quantile_sketch", "hll"), ("distinct_sketch", "kll")):
+        plan = whole.select("column_name", wanted)._jdf.queryExecution().executedPlan().toString()
+        assert other not in plan
+
+
+def test_a_value_is_ranked_once_against_all_quantiles_of_its_column(spark, small):
+    """What is counted in the end are places of values, fewer than values or quantiles times values."""
+    from checks import queries
+
+    query = queries.registered()["profile_quantile_sketch"](spark, small)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "column_no" in plan and "hll" not in plan
+    counted = plan.index("keys=[column_no")
+    assert "probability" not in plan[counted:plan.index("FileScan", counted)]
+    assert query.where("NOT near").isEmpty()
