@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 # ASCII white space, the only white space that these operators know.
 SPACE = "[\\x20\\x09-\\x0D]"
 
+#: Bytes of texts, or of sets, that a task hands to Python at a time.
+BATCH_BYTES = 4 * 1024 * 1024
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -41,6 +45,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """From now on, hand rows to Python in batches of ``BATCH_BYTES``, unless the session sets a size.
+
+    Ten thousand rows of whole texts, Spark's batch up to 64 MB, stand in memory several times: in
+    the queue and the buffers of the executor, and as a batch and as strings in each of its Python
+    processes, which live on and keep what they once took.  Plans read the setting when they run, so it
+    stays set.
+    """
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+
 def text_of(name: str) -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import back, renamed, stored, text_of
+from goldseam.llm.common import back, in_small_batches, renamed, stored, text_of
 from goldseam.llm.shingles import band_keys, digest, shingle_sets
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -80,9 +80,10 @@ def frequent_shingles(docs: DataFrame, text: str, most: int = FREQUENT) -> np.nd
         held, size = [], 0
 
         def report() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            often = counts >= _OFTEN
+            met = np.concatenate([*held, np.zeros(0, np.uint64)])
             held.clear()
+            values, counts = np.unique(met, return_counts=True)
+            often = counts >= _OFTEN
             return pa.RecordBatch.from_arrays(
                 [_signed(values[often]), pa.array(counts[often])], names=["shingle", "n"]
             )
@@ -650,6 +651,7 @@ def grouped_sets(
 ) -> tuple[DataFrame, DataFrame]:
     """Every row with the key of its set (uid, doc_id, n, key), and the classes of equal sets with
     their group (uid, doc_id, smallest, copies, n, key, group, component_id)."""
+    in_small_batches(docs.sparkSession)
     heavy = frequent_shingles(docs, text, frequent)
     members = stored(described(docs, doc_id, text, heavy, uid), "sets")
     classes = stored(

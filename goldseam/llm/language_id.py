@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import in_crc32_fold
+from goldseam.llm.common import in_crc32_fold, in_small_batches
 
 UNKNOWN = "und"
 MIN_MARGIN = 0.002  # part of the runner-up's size
@@ -154,6 +154,7 @@ def language_id(
     """
     held = in_crc32_fold(doc_id, folds, held_out)
     languages = learn(docs.where(~held), text, lang)
+    in_small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"))
     found = rows.withColumn("found", identified(F.col("text"), languages))
     return found.select("doc_id", "held_out", "found.*")
@@ -165,6 +166,7 @@ def in_known_language(
     """The documents whose language is accepted, with their own columns."""
     held = in_crc32_fold(doc_id, FOLDS, HELD_OUT)
     languages = learn(docs.where(~held), text, lang)
+    in_small_batches(docs.sparkSession)
     inner = [f"_in{at}" for at in range(len(docs.columns))]
     plain = docs.toDF(*inner)
     found = plain.withColumn("_found", identified(F.col(inner[docs.columns.index(text)]), languages))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import stored, text_of
+from goldseam.llm.common import in_small_batches, stored, text_of
 from goldseam.llm.tokens import crc32_of, encoder
 
 CAPACITY = 2048
@@ -46,6 +46,7 @@ def pieces(
     A document's ids end with ``separator_id``.  The last pieces have full length, so the first
     may be shorter.  ``ids`` are little-endian, two bytes each where the vocabulary allows it.
     """
+    in_small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {PIECES}"
 

@@ -1,14 +1,18 @@
 """The pipeline, stage by stage, against brute force over each stage's own input."""
 
 import inspect
+import tracemalloc
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from goldseam.llm import language_id, queries, sql
+from goldseam.llm.common import in_small_batches
+from goldseam.llm.shingles import shingle_sets
 from goldseam.llm.tokens import vocabulary_path
 from tests.llm.tables import documents, empty, rows
 from tests.llm.test_jaccard_join import brute
@@ -122,3 +126,37 @@ def test_odd_documents_and_empty_tables(spark, tmp_path):
             if name != "best_fit_packing":
                 assert given.columns == stored.columns
         given.collect()
+
+
+def test_stages_hand_whole_texts_to_python_in_small_batches(spark):
+    """A batch was ten thousand rows up to 64 MB, held several times in a task and its Python process."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3_000).selectExpr(
+        "id AS doc_id", "concat(id, repeat(' ein paar Worte', 500)) AS text", "'de' AS lang", "'a' AS source"
+    )
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["bytes"])
+
+    named = dict(corpus_pipeline.STAGES)
+    for name in ("language_id", "jaccard_join", "best_fit_packing"):
+        spark.conf.unset(key)
+        named[name](spark, docs.limit(9), "")
+        found = [r.bytes for r in docs.coalesce(1).mapInArrow(sizes, "bytes long").collect()]
+        assert sum(found) > 20_000_000 and max(found) < 5_000_000, name
+    spark.conf.set(key, "1m")  # the session's own choice stays
+    in_small_batches(spark)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
+
+
+def test_hashing_takes_little_memory():
+    texts = [f"{at} ein paar Worte mehr " * 100 for at in range(500)]
+    list(shingle_sets(texts[:9]))
+    tracemalloc.start()
+    for _ in shingle_sets(texts):
+        pass
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 1_000_000 and most < 24_000_000
