@@ -10,8 +10,11 @@ frequent ones last, and any two that link share a shingle among the first fifth
   comparisons as it has sets.  Sets that agree in a band of min-hashes get further pivots, the
   first sets of their bands;
 * lists in which all sets are in one group are skipped whole;
-* for what is left, sets are skipped by blocks: the sets of one tree in a list are one entry, and a
-  pair of trees that shares too few lists for its sizes can hold no link;
+* for what is left, a set enters only the lists that can decide on a link. Partners are told apart by
+  the ratio of sizes; it and the place of a shingle say how many of a set's lists a linked partner must
+  share, so the longest of them but one may go, and with too few lists the set goes (``_meetings``);
+* the sets of one tree in a list are one entry, two trees meet in the first list that they share, not in
+  each, and a pair of trees that shares too few lists for its sizes can hold no link;
 * the overlap of two roots then answers for the sets below them: a set differs from its root by a
   known number of shingles, which bounds its overlap with any set of the other tree from above and
   from below.  Only pairs that the bounds leave open are compared.
@@ -46,6 +49,10 @@ TURNS, BANDS, ROWS = 2, 6, 16
 BLOCK = 4_096
 #: Rows up to which a list of documents to look up is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 400_000
+#: Lists of a tree up to which they are counted against another's; trees with more are compared at once.
+LISTS = 10_000
+#: Lists before its own that an entry names, by which trees that met there do not meet again.
+BEFORE = 4
 #: Sets, and shingles of them, of a block whose links one task counts, on average.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
 
@@ -334,7 +341,7 @@ def _ceil_share(n: Column) -> Column:
 
 def links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFrame:
     """Edges (``a``, ``b``) between classes (uid, doc_id, n, key, prefix) that make the groups."""
-    postings = classes.select("uid", "n", F.explode("prefix").alias("shingle"))
+    postings = classes.select("uid", "n", F.posexplode("prefix").alias("place", "shingle"))
     pivots = (
         postings.groupBy("shingle")
         .agg(F.min("uid").alias("pivot"), F.count("*").alias("sets"))
@@ -376,7 +383,7 @@ def links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFr
     labels = components(edges)
     placed = lists.join(tree, "uid", "left").join(labels, F.col("uid") == F.col("node"), "left")
     placed = placed.select(
-        "shingle", "uid", "n",
+        "shingle", "place", "uid", "n",
         F.coalesce("root", "uid").alias("root"),
         F.coalesce("more", zero).alias("more"),
         F.coalesce("less", zero).alias("less"),
@@ -384,35 +391,12 @@ def links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFr
     )
     mixed = (
         placed.groupBy("shingle")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("sets"))
         .where("low != high")
-        .select("shingle")
+        .select("shingle", "sets")
     )
     open_lists = stored(placed.join(mixed, "shingle"), "open")
-    trees_of = open_lists.groupBy("shingle", "root", "label").agg(
-        F.min("n").alias("small"), F.max("n").alias("large")
-    )
-    about = ("root", "label", "small", "large")
-    left = trees_of.select("shingle", *(F.col(c).alias(f"{c}_a") for c in about))
-    right = trees_of.select("shingle", *(F.col(c).alias(f"{c}_b") for c in about))
-    # Beyond the prefixes a pair can share no more than the longer rest of the two.
-    beyond = F.greatest(_ceil_share(F.col("large_a")), _ceil_share(F.col("large_b"))) - 1
-    needed = F.ceil((F.col("small_a") + F.col("small_b")) * PERCENT / (100 + PERCENT))
-    pairs = (
-        left.join(right, "shingle")
-        .where("root_a > root_b AND label_a != label_b")
-        .groupBy("root_a", "root_b")
-        .agg(
-            F.count("*").alias("shared"),
-            *(F.min(f"small_{s}").alias(f"small_{s}") for s in "ab"),
-            *(F.max(f"large_{s}").alias(f"large_{s}") for s in "ab"),
-        )
-        .where(F.col("large_a") * 100 >= F.col("small_b") * PERCENT)
-        .where(F.col("large_b") * 100 >= F.col("small_a") * PERCENT)
-        .where(F.col("shared") + beyond >= needed)
-        .select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    )
-    roots = stored(pairs, "roots")
+    roots = stored(_tree_pairs(open_lists), "roots")
     if roots.isEmpty():
         return edges
     answers = stored(_sized(overlaps(docs, doc_id, text, roots, classes), sizes), "answers")
@@ -423,6 +407,125 @@ def links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFr
     return edges.unionByName(_derived(docs, doc_id, text, classes, open_lists, answers))
 
 
+def _range(n: Column) -> Column:
+    """The range of a size; sets of two ranges that aren't the same or neighbours can't link."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / PERCENT)).cast("int")
+
+
+def _size_at(range_: Column) -> Column:
+    """About the smallest size of a range."""
+    return F.exp(range_ * math.log(100 / PERCENT))
+
+
+def _must_share(smaller: Column, larger: Column) -> Column:
+    """A bound, from below, of what linked sets of two sizes share of the larger one's prefix and the first
+    ``smaller - _ceil_share(larger) + 1`` shingles of the smaller one.
+
+    These beginnings leave out equally many of the least overlap, all but k of it, in either set. The
+    shared shingles in the beginning that ends first lie in the other one too, and they are k or more.
+    """
+    least = (smaller * 100 - larger * PERCENT) * PERCENT / (100 * (100 + PERCENT))
+    return F.greatest(F.floor(least) + 1, F.lit(1))
+
+
+def _meetings(open_lists: DataFrame) -> DataFrame:
+    """Trees (root_a, root_b) of different groups that meet: every pair with a link, few pairs twice.
+
+    A set looks for larger ones and for smaller ones, of its own range of sizes and of the next one
+    (``step``).  For each it knows which of its lists count and how many of them a linked partner shares, k;
+    among all but the k - 1 longest of either, two such sets share one.  Where a list follows within
+    ``BEFORE`` lists on one that both trees enter, they have met, and don't meet in it.
+    """
+    sets = stored(
+        open_lists.groupBy("uid", "n", "root", "label").agg(
+            F.sort_array(F.collect_list(F.struct("sets", "shingle", "place"))).alias("held")
+        ),
+        "held",
+    )
+    n, range_, zero = F.col("n"), _range(F.col("n")), F.lit(0).cast("int")
+
+    def entries(side: str) -> DataFrame:
+        step = F.explode(F.array(zero, zero + 1)).alias("step")
+        rows = sets.withColumn("range", range_).select("*", step)
+        if side == "a":  # the smaller set
+            partner = F.col("range") + F.col("step")
+            low = F.greatest(n, F.floor(_size_at(partner)) - 1)
+            high = F.least(F.floor(n * 100 / PERCENT), F.ceil(_size_at(partner + 1)) + 1)
+            rows = rows.where(low <= high).select(
+                "*",
+                F.col("range").alias("key"),
+                (n - _ceil_share(low) + 1).alias("places"),
+                _must_share(n, high).alias("share"),
+            )
+            counted = F.filter("held", lambda entry: entry["place"] < F.col("places"))
+        else:
+            partner = F.col("range") - F.col("step")
+            low = F.greatest(_ceil_share(n), F.floor(_size_at(partner)) - 1)
+            rows = rows.where(low <= n).select("*", partner.alias("key"), _must_share(low, n).alias("share"))
+            counted = F.col("held")
+        rows = rows.withColumn("counted", F.transform(counted, lambda entry: entry["shingle"]))
+        rows = rows.where(F.size("counted") >= F.col("share")).select(
+            "root", "label", "key", "step",
+            F.expr("slice(counted, 1, int(size(counted) - share + 1))").alias("entered"),
+        )
+        earlier = {
+            f"before{k}": F.expr(f"slice(concat(array_repeat(CAST(null AS long), {k}), entered), 1, size(entered))")
+            for k in range(1, BEFORE + 1)
+        }
+        rows = rows.withColumns(earlier).select(
+            "root", "label", "key", "step", F.inline(F.arrays_zip("entered", *earlier))
+        )
+        return (
+            rows.select("key", "step", "root", "label", F.col("entered").alias("shingle"), F.array(*earlier).alias("before"))
+            .repartition("shingle", "key", "step")
+            .groupBy("shingle", "key", "step", F.col("root").alias(f"root_{side}"), F.col("label").alias(f"label_{side}"))
+            .agg(F.min("before").alias(f"before_{side}"))
+        )
+
+    return (
+        entries("a")
+        .join(entries("b"), ["shingle", "key", "step"])
+        .where("label_a != label_b")
+        .where(~F.coalesce(F.arrays_overlap("before_a", "before_b"), F.lit(False)))
+        .select("root_a", "root_b")
+    )
+
+
+def _tree_pairs(open_lists: DataFrame) -> DataFrame:
+    """Pairs of trees (a, b) that can hold a link, by the lists that still join several groups."""
+    met = stored(
+        _meetings(open_lists)
+        .select(F.greatest("root_a", "root_b").alias("a"), F.least("root_a", "root_b").alias("b"))
+        .distinct(),
+        "met",
+    )
+    named = met.select(F.explode(F.array("a", "b")).alias("root")).distinct()
+    rows = open_lists.select("root", "shingle", "n").join(named, "root", "left_semi")
+    about = stored(
+        rows.groupBy("root").agg(
+            F.min("n").alias("small"), F.max("n").alias("large"), F.count("*").alias("entries")
+        ),
+        "about",
+    )
+    few = about.where(F.col("entries") <= LISTS).select("root")
+    listed = rows.join(few, "root", "left_semi").groupBy("root").agg(F.collect_set("shingle").alias("lists"))
+    about = stored(about.drop("entries").join(listed, "root", "left"), "about")
+    pairs = met
+    for side in "ab":
+        pairs = pairs.join(about.toDF(side, f"small_{side}", f"large_{side}", f"lists_{side}"), side)
+    # Beyond the prefixes a pair can share no more than the longer rest of the two.
+    beyond = F.greatest(_ceil_share(F.col("large_a")), _ceil_share(F.col("large_b"))) - 1
+    needed = F.ceil((F.col("small_a") + F.col("small_b")) * PERCENT / (100 + PERCENT))
+    shared = F.size(F.array_intersect("lists_a", "lists_b"))
+    uncounted = F.col("lists_a").isNull() | F.col("lists_b").isNull()
+    return (
+        pairs.where(F.col("large_a") * 100 >= F.col("small_b") * PERCENT)
+        .where(F.col("large_b") * 100 >= F.col("small_a") * PERCENT)
+        .where(uncounted | (shared + beyond >= needed))
+        .select("a", "b")
+    )
+
+
 def _derived(
     docs: DataFrame, doc_id: str, text: str, classes: DataFrame, open_lists: DataFrame, answers: DataFrame
 ) -> DataFrame:
@@ -486,7 +589,7 @@ def _block_pairs(classes: DataFrame) -> DataFrame:
     ranges that aren't neighbours can't link.  Small groups are one block.
     """
     size = classes.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    range_ = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int")
+    range_ = _range(F.col("n"))
     small = (F.col("sets") <= BLOCK_SETS) & (F.col("shingles") <= BLOCK_SHINGLES)
     placed = classes.join(size.where("sets > 1"), "group").select(
         "uid", "doc_id", "key", "n", "copies", "group", F.when(small, -1).otherwise(range_).alias("range")

@@ -126,6 +126,57 @@ def test_blocks_and_lookups_without_broadcast(spark, monkeypatch):
     check(by_id(jaccard_join.jaccard_groups(documents(spark, texts))), dict(enumerate(texts)))
 
 
+def joined_rows(plan):
+    """The rows that each join of a plan that ran has made."""
+    name, found = plan.nodeName(), []
+    if name == "AdaptiveSparkPlan":
+        return joined_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return joined_rows(plan.plan())
+    if "Join" in name and plan.metrics().contains("numOutputRows"):
+        found.append(plan.metrics().apply("numOutputRows").value())
+    children = plan.children()
+    return found + [n for k in range(children.size()) for n in joined_rows(children.apply(k))]
+
+
+def test_a_pair_of_trees_meets_once_not_in_each_shared_list(spark, monkeypatch):
+    draw = random.Random(4)
+    base = [f"w{k}" for k in range(240)]
+    texts = [edited(draw, base, 14) for _ in range(70)]  # similar, but most not linked
+    passage = [f"p{k}" for k in range(60)]  # a quarter of its documents
+    texts += [" ".join([*passage, *(f"o{draw.randrange(10**9)}" for _ in range(180))]) for _ in range(70)]
+    real, made = jaccard_join.stored, []
+
+    def counted(df, label):
+        if label in ("met", "roots"):
+            df.collect()
+            made.extend(joined_rows(df._jdf.queryExecution().executedPlan()))
+        return real(df, label)
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    check(by_id(jaccard_join.jaccard_groups(documents(spark, texts), frequent=0)), dict(enumerate(texts)))
+    assert 0 < max(made) <= 3 * (70 * 69 // 2)  # pairs of the similar ones; each shares dozens of lists
+
+
+def test_sizes_at_the_ends_of_links(spark):
+    draw, texts = random.Random(6), []
+    for size in range(5, 75):
+        words = [f"{size}-{k}" for k in range(size + 4)]
+        for part in (80, 81, 90, 99):  # a beginning, the whole of which is shared
+            texts.append(" ".join(words[: max(5, -(-size * part // 100) + 4)]))
+        texts += [" ".join(words), " ".join(words[:-1]), " ".join([*words, *"xyz"])]
+    draw.shuffle(texts)
+    check(by_id(jaccard_join.jaccard_groups(documents(spark, texts), frequent=40)), dict(enumerate(texts)))
+
+
+def test_trees_of_many_lists_are_compared_without_counting(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LISTS", 10)
+    draw = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    texts = [edited(draw, base, draw.randint(0, 9)) for _ in range(90)]
+    check(by_id(jaccard_join.jaccard_groups(documents(spark, texts))), dict(enumerate(texts)))
+
+
 def test_odd_rows(spark):
     same = "one two three four five six"
     docs = documents(
